@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("sharding", "langid", "toxicity", "media", "packing")
+_MODULES = ("sharding", "langid", "toxicity", "media", "packing", "contain", "minhash")
 
 
 def queries() -> dict:
