@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("sharding", "langid", "toxicity", "media", "packing", "contain", "minhash")
+_MODULES = ("sharding", "langid", "toxicity", "media", "packing", "contain", "minhash", "lm", "substring", "suffix")
 
 
 def queries() -> dict:
