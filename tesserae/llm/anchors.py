@@ -113,25 +113,23 @@ def runs(s: Symbols, scheme: Scheme) -> Runs:
 class Chunk:
     """A chunk's documents in order, with the runs of all blocks."""
 
-    ids: pa.Array
-    order: np.ndarray  # doc_id of each row, null least
+    rows: pa.Table  # doc_id, text and the columns that were asked to be kept
+    order: np.ndarray  # doc_id of each row, null greatest
     symbols: list[Symbols]
     runs: Runs
     block: np.ndarray  # of each run
 
 
 def read_chunk(group: pa.Table, scheme: Scheme) -> Chunk:
-    group = group.select(["doc_id", "text"]).combine_chunks().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    group = group.combine_chunks().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     ids = group.column("doc_id").combine_chunks()
     some = [symbols(b, scheme) for b in blocks(values(group.column("text")))]
     each = [runs(s, scheme) for s in some]
     joined = Runs(*(np.concatenate([getattr(r, f) for r in each]) for f in ("key", "hash", "start", "count", "doc")))
-    order = np.asarray(ids.fill_null(-(1 << 63)), np.int64)
-    # nulls sort last in Arrow; as the least id they would come first, so they keep the largest here
-    order = np.where(np.asarray(ids.is_null()), (1 << 63) - 1, order)
+    order = np.asarray(ids.fill_null((1 << 63) - 1), np.int64)  # nulls sort last
     for s in some:  # prefixes are long and not needed again
         s.prefix = np.zeros(0, np.uint64)
-    return Chunk(ids, order, some, joined, np.repeat(np.arange(len(each)), [len(r.key) for r in each]))
+    return Chunk(group.drop_columns(["chunk"]), order, some, joined, np.repeat(np.arange(len(each)), [len(r.key) for r in each]))
 
 
 def bucket_of(keys: np.ndarray, n_buckets: int) -> np.ndarray:
@@ -312,14 +310,14 @@ def removed(c: Chunk, answers: pa.Table, scheme: Scheme, first_stays: bool) -> l
     return out
 
 
-def repeated(docs: DataFrame, scheme: Scheme, solver: Callable[[Strings], np.ndarray], first_stays: bool, finish: Callable[[Chunk, list[np.ndarray]], pa.Table], schema: str) -> DataFrame:
-    """finish's rows for the documents (doc_id, text) of each chunk."""
+def repeated(docs: DataFrame, scheme: Scheme, solver: Callable[[Strings], np.ndarray], first_stays: bool, finish: Callable[[Chunk, list[np.ndarray]], pa.Table], schema: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """finish's rows for the documents (doc_id, text, keep's columns) of each chunk."""
     total = text_bytes(docs)
     n_chunks, n_buckets = chunks_for(total), max(64, -(-total // BUCKET_BYTES))
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(n_chunks)).cast("int")
     # rows without an id are dealt by their text
     spread = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(n_chunks)).cast("int")).otherwise(spread)
-    dealt = docs.select("doc_id", "text").withColumn("chunk", spread).repartition(n_chunks, "chunk")
+    dealt = docs.select("doc_id", "text", *keep, spread.alias("chunk")).repartition(n_chunks, "chunk")
     asked = dealt.groupBy("chunk").applyInArrow(ask(scheme, n_buckets), "chunk int, bucket int, keys binary, again binary")
     met = asked.groupBy("bucket").applyInArrow(answer, "chunk int, bucket int, met binary")
     sent = dealt.groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(send(scheme, n_buckets), "chunk int, bucket int, rows binary, body binary")

@@ -171,7 +171,7 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     ids = members.select("rep").distinct()
     labels = ids.select("rep", F.col("rep").alias("comp"))
     if not edges.isEmpty():
-        sets = materialize(full_sets(docs.dropDuplicates(["doc_id"]) if _repeats(docs) else docs, ids, s), "sets")
+        sets = materialize(full_sets(docs.dropDuplicates(["doc_id"]) if repeats(docs) else docs, ids, s), "sets")
         labels = components(materialize(labels, "labels"), confirmed(edges, sets, s.percent))
         for k in range(s.hub_rounds + 1):
             here = members.drop("hub").join(labels, "rep")
@@ -194,6 +194,6 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _repeats(docs: DataFrame) -> bool:
+def repeats(docs: DataFrame) -> bool:
     """Whether an id stands in more than one row."""
     return not docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty()

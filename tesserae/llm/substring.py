@@ -109,7 +109,7 @@ def digests(c: Chunk, gone: list[np.ndarray]) -> pa.Table:
             rows.append((b - a, n, hashlib.sha256(b" ".join(kept)).hexdigest()))
     columns = list(zip(*rows)) or [[]] * 3
     kinds = (pa.int64(), pa.int64(), pa.string())
-    return pa.table([c.ids, *(pa.array(x, k) for x, k in zip(columns, kinds))], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+    return pa.table([c.rows.column("doc_id"), *(pa.array(x, k) for x, k in zip(columns, kinds))], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
 def removal_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -127,6 +127,6 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 stay = (np.flatnonzero(~g[a:b]) + a).tolist()
                 kept.append(b" ".join([raw[s.starts[i] : s.ends[i]] for i in stay]).decode())
                 counts.append(b - a - len(stay))
-        return pa.table([c.ids, pa.array(kept, pa.string()), pa.array(counts, pa.int64())], names=["doc_id", "text", "n_removed"])
+        return pa.table([c.rows.column("doc_id"), pa.array(kept, pa.string()), pa.array(counts, pa.int64())], names=["doc_id", "text", "n_removed"])
 
     return repeated(docs, Scheme(length, words=True), elsewhere(length), False, texts, "doc_id bigint, text string, n_removed bigint")

@@ -18,6 +18,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tesserae.llm.anchors import Chunk, Scheme, Strings, repeated
@@ -114,27 +115,28 @@ def digests(c: Chunk, gone: list[np.ndarray]) -> pa.Table:
             rows.append((b - a, n, spans(here) if n else 0, hashlib.sha256(data[~here] if n else data).hexdigest()))
     columns = list(zip(*rows)) or [[]] * 4
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-    return pa.table([c.ids, *(pa.array(x, k) for x, k in zip(columns, kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    return pa.table([c.rows.column("doc_id"), *(pa.array(x, k) for x, k in zip(columns, kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def removal_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return repeated(docs, Scheme(length, words=False), earlier(length), True, digests, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
-def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, text, n_removed): the texts without their removed bytes.
+def deduplicated(docs: DataFrame, length: int = LENGTH, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, keep's columns, n_removed): the texts without their removed bytes.
 
-    A character of which a part is removed goes as a whole.
+    A character of which a part is removed goes as a whole. A null text stays null.
     """
+    kept_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
 
     def texts(c: Chunk, gone: list[np.ndarray]) -> pa.Table:
         kept, counts = [], []
         for s, g in zip(c.symbols, gone):
             for a, b in zip(s.block.starts.tolist(), s.block.ends.tolist()):
-                here = g[a:b]
+                here, data = g[a:b], s.block.data[a:b]
                 counts.append(int(here.sum()))
-                data = s.block.data[a:b]
                 kept.append((data[~here] if counts[-1] else data).tobytes().decode("utf-8", "ignore"))
-        return pa.table([c.ids, pa.array(kept, pa.string()), pa.array(counts, pa.int64())], names=["doc_id", "text", "n_removed"])
+        text = pc.if_else(c.rows.column("text").is_null(), None, pa.chunked_array([pa.array(kept, pa.string())]))
+        return pa.table([c.rows.column("doc_id"), text, *(c.rows.column(k) for k in keep), pa.array(counts, pa.int64())], names=["doc_id", "text", *keep, "n_removed"])
 
-    return repeated(docs, Scheme(length, words=False), earlier(length), True, texts, "doc_id bigint, text string, n_removed bigint")
+    return repeated(docs, Scheme(length, words=False), earlier(length), True, texts, f"doc_id bigint, text string, {kept_schema + ', ' if keep else ''}n_removed bigint", keep)
