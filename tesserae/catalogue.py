@@ -6,14 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tesserae.plans import queries_meta, queries_pixels
+from tesserae.plans.queries_pixels import flagship
+from tesserae.session import configure
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+_ALL = queries_pixels.QUERIES | queries_meta.QUERIES
+
+
+def _configured(query: Callable) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: query(configure(spark), sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: _configured(query) for name, (query, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
