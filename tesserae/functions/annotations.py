@@ -19,9 +19,13 @@ def bounding_box(points: Column) -> Column:
     return F.struct(of(F.array_min, "x").alias("left"), of(F.array_min, "y").alias("top"), of(F.array_max, "x").alias("right"), of(F.array_max, "y").alias("bottom"))
 
 
-def corners(points: Column) -> Column:
-    """The four corners of the bounding box, clockwise from the top left."""
-    b = bounding_box(points)
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value evaluated once, however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def corners(b: Column) -> Column:
+    """The four corners of a bounding box, clockwise from the top left."""
     at = lambda x, y: F.struct(b[x].alias("x"), b[y].alias("y"))
     return F.array(at("left", "top"), at("right", "top"), at("right", "bottom"), at("left", "bottom"))
 
@@ -31,7 +35,8 @@ def _edges(points: Column, closed: Column, edge: Callable[[Column, Column], Colu
     n = F.size(points)
     last = F.when(closed, n - 1).otherwise(n - 2)
     ids = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(ids, lambda i: edge(F.get(points, i), F.get(points, (i + 1) % n)))
+    ends = F.transform(ids, lambda i: F.struct(F.get(points, i).alias("a"), F.get(points, (i + 1) % n).alias("b")))
+    return F.transform(ends, lambda e: edge(e["a"], e["b"]))
 
 
 def segment_distance(px: Column, py: Column, a: Column, b: Column) -> Column:
@@ -65,13 +70,13 @@ def hit(kind: Column, points: Column, filled: Column, px: Column, py: Column, to
 
     A rectangle's inside has its left and top edges and not the others.
     """
-    b = bounding_box(points)
-    inside = (px >= b["left"]) & (px < b["right"]) & (py >= b["top"]) & (py < b["bottom"])
+    inside = lambda b: (px >= b["left"]) & (px < b["right"]) & (py >= b["top"]) & (py < b["bottom"])
+    outline = lambda b: bind(corners(b), lambda c: on_outline(c, px, py, tolerance, F.lit(True)))
     first = F.get(points, F.lit(0))
     return (
         F.when(kind == "point", segment_distance(px, py, first, first) <= tolerance)
         .when(kind == "polyline", on_outline(points, px, py, tolerance, F.lit(False)))
-        .when(kind == "rectangle", (filled & inside) | on_outline(corners(points), px, py, tolerance, F.lit(True)))
+        .when(kind == "rectangle", bind(bounding_box(points), lambda b: (filled & inside(b)) | outline(b)))
         .when(kind == "polygon", (filled & in_polygon(points, px, py)) | on_outline(points, px, py, tolerance, F.lit(True)))
     )
 
