@@ -3,11 +3,13 @@
 Each permutation of the shingle hashes (an odd multiplier and an addend modulo 2**32) gives two
 signature values, its minimum and its maximum, so half the hash evaluations serve a signature.
 Bands of a few permutations are hashed to keys; sets that share a key are candidates. Equal sets
-are one class from the start. In each key the class with the least id is the hub: members are
-confirmed against hubs on full sets, in rounds with other hubs between the components that
-remain, and at last between all members of different components in a key, so no candidate link
-is lost while groups of copies are never expanded into all pairs. Components are contracted by
-minimum labels and pointer jumping in tables.
+are one class from the start. In each key the member with the least share of shingles of its own
+is the hub: members are confirmed against hubs on full sets, in rounds with other hubs between
+the components that remain, and at last between all members of different components in a key, so
+no candidate link is lost while groups of copies are never expanded into all pairs. Before each
+round, members are left out whose links are ruled out by counts: a set with u shingles that any
+other candidate has cannot share more than u with a partner. Components are contracted by minimum
+labels and pointer jumping in tables.
 
 A text without words has an empty set and is linked with nothing. Null texts count as empty.
 Shorter texts are one shingle. Rows that repeat a doc_id are repeated in the result. Null ids
@@ -21,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tesserae.llm.common import materialize
 from tesserae.llm.textblocks import blocks, distinct, mix, shingles, values, words
@@ -105,11 +107,11 @@ def full_sets(docs: DataFrame, ids: DataFrame, s: Settings) -> DataFrame:
         for batch in batches:
             for b in blocks(values(batch.column("text"))):
                 hashes, bounds = distinct(*shingles(words(b, fold=True), s.width), len(b.starts))
-                raw = pa.array([hashes[i:j].tobytes() for i, j in zip(bounds, bounds[1:])], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("rep").slice(b.lo, len(b.starts)), raw], names=["rep", "hashes"])
+                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(hashes.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("rep").slice(b.lo, len(b.starts)), lists], names=["rep", "hashes"])
 
     found = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep", "left_semi")
-    return found.mapInArrow(run, "rep bigint, hashes binary")
+    return found.mapInArrow(run, "rep bigint, hashes array<bigint>")
 
 
 def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -117,13 +119,11 @@ def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            (xs, xo), (ys, yo) = ((c.flatten().to_numpy().view(np.uint64), np.concatenate(([0], np.cumsum(c.value_lengths().to_numpy())))) for c in (batch.column("x"), batch.column("y")))
             keep = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            for i in range(batch.num_rows):
+                p, q = xs[xo[i] : xo[i + 1]], ys[yo[i] : yo[i + 1]]
                 small, large = (p, q) if len(p) < len(q) else (q, p)
-                if 100 * len(small) < percent * len(large):
-                    keep.append(False)
-                    continue
                 at = np.searchsorted(large, small)
                 shared = int((large[np.minimum(at, len(large) - 1)] == small).sum())
                 keep.append(100 * shared >= percent * (len(p) + len(q) - shared))
@@ -163,37 +163,63 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     classes = real.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
     classes = materialize(classes, "classes")
     banded = classes.select("rep", "n_shingles", F.explode("keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     members = materialize(banded.join(shared, "key"), "members")
-    votes = members.where("rep <> hub").groupBy("rep", "hub").agg(F.count(F.lit(1)).alias("n"))
-    best = votes.groupBy("rep").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub"))
-    edges = materialize(best.select(F.col("rep").alias("a"), F.col("hub").alias("b")), "edges")
     ids = members.select("rep").distinct()
     labels = ids.select("rep", F.col("rep").alias("comp"))
-    if not edges.isEmpty():
+    if not members.isEmpty():
         sets = materialize(full_sets(docs.dropDuplicates(["doc_id"]) if repeats(docs) else docs, ids, s), "sets")
-        labels = components(materialize(labels, "labels"), confirmed(edges, sets, s.percent))
-        for k in range(s.hub_rounds + 1):
-            here = members.drop("hub").join(labels, "rep")
-            mixed = here.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("rep", "comp", "n_shingles"), F.xxhash64("rep", F.lit(k))).alias("hub")).where("lo < hi")
-            here = here.join(mixed.select("key", "hub"), "key")
-            small, large = F.least("n", "m"), F.greatest("n", "m")
-            if k < s.hub_rounds:
-                pairs = here.where("comp <> hub.comp").select(F.col("rep").alias("a"), F.col("hub.rep").alias("b"), F.col("n_shingles").alias("n"), F.col("hub.n_shingles").alias("m"))
-            else:
-                one = here.select("key", F.col("rep").alias("a"), F.col("comp").alias("c"), F.col("n_shingles").alias("n"))
-                two = here.select("key", F.col("rep").alias("b"), F.col("comp").alias("d"), F.col("n_shingles").alias("m"))
-                pairs = one.join(two, "key").where(F.col("c") < F.col("d"))
-            pairs = materialize(pairs.where(100 * small >= s.percent * large).select("a", "b").distinct(), "pairs")
-            if pairs.isEmpty():
-                continue
-            some = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-            labels = components(labels, confirmed(pairs, sets.join(some, "rep", "left_semi"), s.percent))
+        members = materialize(members.join(common_counts(sets), "rep"), "counted")
+        labels = materialize(labels, "labels")
+        for k in range(s.hub_rounds + 2):
+            pairs = materialize(open_pairs(members.join(labels, "rep"), k, k > s.hub_rounds, s), "pairs")
+            if not pairs.isEmpty():
+                some = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+                labels = components(labels, confirmed(pairs, sets.join(some, "rep", "left_semi"), s.percent))
     groups = classes.drop("keys").join(labels, "rep", "left").select("k1", "k2", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))
     out = signed.drop("keys").join(groups, ["k1", "k2", "n_shingles"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def common_counts(sets: DataFrame) -> DataFrame:
+    """(rep, u): how many of a set's shingles another set has, too."""
+    own = sets.select("rep", F.explode("hashes").alias("h")).groupBy("h").agg(F.min("rep").alias("rep"), F.count(F.lit(1)).alias("n")).where("n = 1")
+    counts = own.groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
+    return sets.select("rep", F.size("hashes").alias("size")).join(counts, "rep", "left").select("rep", (F.col("size") - F.coalesce("own", F.lit(0))).alias("u"))
+
+
+def linkable(u: Column, n: Column, v: Column, m: Column, percent: int) -> Column:
+    """Whether sets of n and m shingles that share u and v at most can be linked."""
+    return ((100 + percent) * F.least(u, v) >= percent * (n + m)) & (100 * F.least(n, m) >= percent * F.greatest(n, m))
+
+
+def open_pairs(here: DataFrame, k: int, all_pairs: bool, s: Settings) -> DataFrame:
+    """Pairs (a, b) of different components to confirm in round k, from (key, rep, n_shingles, u, comp).
+
+    Members that no other in their key can be linked with, by the least size and the largest
+    common count there, are left out first, and with them keys of a single component. In round 0
+    each member meets one hub, that of most of its keys.
+    """
+    own_share = (F.col("n_shingles") - F.col("u")) / F.col("n_shingles")
+    order = F.struct(own_share, "rep") if k == 0 else F.struct(F.xxhash64("rep", F.lit(k)), "rep")
+    mixed = lambda df: df.groupBy("key").agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n_shingles").alias("least"), F.max("u").alias("most"), F.min_by(F.struct("rep", "comp", "n_shingles", "u"), order).alias("hub")
+    ).where("lo < hi")
+    for _ in range(2):
+        here = here.select("key", "rep", "n_shingles", "u", "comp").join(mixed(here).drop("lo", "hi"), "key")
+        here = here.where((100 + s.percent) * F.least("u", "most") >= s.percent * (F.col("n_shingles") + F.col("least")))
+    if all_pairs:
+        one = here.select("key", F.col("rep").alias("a"), F.col("comp").alias("c"), F.col("n_shingles").alias("n"), F.col("u"))
+        two = here.select("key", F.col("rep").alias("b"), F.col("comp").alias("d"), F.col("n_shingles").alias("m"), F.col("u").alias("v"))
+        return one.join(two, "key").where((F.col("c") < F.col("d")) & linkable(F.col("u"), F.col("n"), F.col("v"), F.col("m"), s.percent)).select("a", "b").distinct()
+    hub = lambda f: F.col(f"hub.{f}")
+    pairs = here.where((F.col("comp") != hub("comp")) & linkable(F.col("u"), F.col("n_shingles"), hub("u"), hub("n_shingles"), s.percent))
+    votes = pairs.groupBy(F.col("rep").alias("a"), hub("rep").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    if k == 0:
+        return votes.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
+    return votes.drop("n")
+
+
 def repeats(docs: DataFrame) -> bool:
     """Whether an id stands in more than one row."""
     return not docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty()
