@@ -16,6 +16,8 @@ from tesserae.llm.queries_packing import tokenizer_path
 #: No SQL: language profiles and packing are not expressible; tests compare with brute force.
 ORACLE_SQL = None
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
 #: The cosine from which a prediction that contradicts the declared language rejects a document.
 CERTAIN = 0.5
 #: Ids of this many documents at most go to all tasks.
@@ -30,12 +32,13 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter, and those clearly not in their declared language."""
+    docs = docs.select(*COLUMNS)  # other columns could bear the names of results
     languages, prototypes = langid.learn(docs.where(split_of(F.col("doc_id"), 4) != 2))
     told = langid.predict(docs, languages, prototypes, docs.columns)
     wrong = (F.col("lang_pred") != F.col("lang")) & (F.col("score") >= CERTAIN)
     keep = (F.col("lang_pred") != langid.UNDETERMINED) & ~F.coalesce(wrong, F.lit(False))
     # without a single language to learn, nothing is rejected
-    return (told.where(keep) if languages else docs).select(*docs.columns)
+    return (told.where(keep) if languages else docs).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,20 +48,19 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if minhash.repeats(rest):
         one = rest.where("doc_id is not null").dropDuplicates(["doc_id"])
         rest = one.unionByName(rest.where("doc_id is null"))
-    return rest.select(*docs.columns)
+    return rest.select(*COLUMNS)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes repeated passages of 100 bytes or more; documents with nothing left go."""
-    keep = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    cut = suffix.deduplicated(docs, keep=keep).where("n_removed = 0 or trim(text) <> ''")
-    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    cut = suffix.deduplicated(docs, keep=("lang", "source")).where("n_removed = 0 or trim(text) <> ''")
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes documents that contain a benchmark item."""
     found = contain.search(docs, table(spark, sf_dir, "benchmark"))
-    return without(docs, found.select("doc_id")).select(*docs.columns)
+    return without(docs, found.select("doc_id")).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
