@@ -35,7 +35,7 @@ UNDETERMINED = "und"
 def letter_classes() -> np.ndarray:
     """Class of each code point: 0 no letter, 1 to 26 a to z, and a multiplicative hash of other letters, case folded."""
     out = np.zeros(0x110000, np.uint8)
-    for cp in range(0x30000):
+    for cp in range(0x33500):  # no letter lies beyond
         if unicodedata.category(chr(cp))[0] == "L":
             low = ord(chr(cp).lower()[0])
             out[cp] = low - 96 if 97 <= low <= 122 else 27 + (low * 2654435761 % (1 << 32) >> 8) % (CLASSES - 27)
@@ -110,7 +110,7 @@ def learn(train: DataFrame, dim: int = DIM) -> tuple[list[str], np.ndarray]:
     parts = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang").mapInArrow(partial, "lang string, v array<bigint>")
     sums = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
     rows = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "x")))["x"].alias("v")).orderBy("lang").collect()
-    return [r["lang"] for r in rows], np.array([r["v"] for r in rows], np.float64).reshape(len(rows), -1)
+    return [r["lang"] for r in rows], np.array([r["v"] for r in rows], np.float64).reshape(len(rows), dim)
 
 
 def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, keep: list[str], dim: int = DIM) -> DataFrame:
