@@ -5,11 +5,13 @@ signature values, its minimum and its maximum, so half the hash evaluations serv
 Bands of a few permutations are hashed to keys; sets that share a key are candidates. Equal sets
 are one class from the start. In each key the member with the least share of shingles of its own
 is the hub: members are confirmed against hubs on full sets, in rounds with other hubs between
-the components that remain, and at last between all members of different components in a key, so
-no candidate link is lost while groups of copies are never expanded into all pairs. Before each
-round, members are left out whose links are ruled out by counts: a set with u shingles that any
-other candidate has cannot share more than u with a partner. Components are contracted by minimum
-labels and pointer jumping in tables.
+the components that remain. Before each round, members are left out whose links are ruled out by
+counts: a set with u shingles that any other candidate has cannot share more than u with a
+partner. At last every pair of different components in a key is decided: two sets share at most
+the smaller of their overlaps with the hub, and shingles outside the hub; so pairs are confirmed
+whose overlaps with the hub alone could do, and those that meet in a shingle outside it. No
+candidate link is lost, while groups of copies are never expanded into all pairs. Components are
+contracted by minimum labels and pointer jumping in tables.
 
 A text without words has an empty set and is linked with nothing. Null texts count as empty.
 Shorter texts are one shingle. Rows that repeat a doc_id are repeated in the result. Null ids
@@ -172,7 +174,8 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
         members = materialize(members.join(common_counts(sets), "rep"), "counted")
         labels = materialize(labels, "labels")
         for k in range(s.hub_rounds + 2):
-            pairs = materialize(open_pairs(members.join(labels, "rep"), k, k > s.hub_rounds, s), "pairs")
+            here = open_members(members.join(labels, "rep"), k, s)
+            pairs = materialize(hub_pairs(here, k, s) if k <= s.hub_rounds else all_pairs(here, sets, s), "pairs")
             if not pairs.isEmpty():
                 some = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
                 labels = components(labels, confirmed(pairs, sets.join(some, "rep", "left_semi"), s.percent))
@@ -193,25 +196,26 @@ def linkable(u: Column, n: Column, v: Column, m: Column, percent: int) -> Column
     return ((100 + percent) * F.least(u, v) >= percent * (n + m)) & (100 * F.least(n, m) >= percent * F.greatest(n, m))
 
 
-def open_pairs(here: DataFrame, k: int, all_pairs: bool, s: Settings) -> DataFrame:
-    """Pairs (a, b) of different components to confirm in round k, from (key, rep, n_shingles, u, comp).
+def open_members(here: DataFrame, k: int, s: Settings) -> DataFrame:
+    """(key, rep, n_shingles, u, comp, hub) of the keys that still hold different components.
 
     Members that no other in their key can be linked with, by the least size and the largest
-    common count there, are left out first, and with them keys of a single component. In round 0
-    each member meets one hub, that of most of its keys.
+    common count there, are left out first, and with them keys of a single component. Each key
+    has the most common member as its hub, or in rounds 1 to hub_rounds another one.
     """
     own_share = (F.col("n_shingles") - F.col("u")) / F.col("n_shingles")
-    order = F.struct(own_share, "rep") if k == 0 else F.struct(F.xxhash64("rep", F.lit(k)), "rep")
-    mixed = lambda df: df.groupBy("key").agg(
-        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n_shingles").alias("least"), F.max("u").alias("most"), F.min_by(F.struct("rep", "comp", "n_shingles", "u"), order).alias("hub")
-    ).where("lo < hi")
+    order = F.struct(F.xxhash64("rep", F.lit(k)), "rep") if 0 < k <= s.hub_rounds else F.struct(own_share, "rep")
     for _ in range(2):
-        here = here.select("key", "rep", "n_shingles", "u", "comp").join(mixed(here).drop("lo", "hi"), "key")
+        mixed = here.groupBy("key").agg(
+            F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n_shingles").alias("least"), F.max("u").alias("most"), F.min_by(F.struct("rep", "comp", "n_shingles", "u"), order).alias("hub")
+        ).where("lo < hi")
+        here = here.select("key", "rep", "n_shingles", "u", "comp").join(mixed.drop("lo", "hi"), "key")
         here = here.where((100 + s.percent) * F.least("u", "most") >= s.percent * (F.col("n_shingles") + F.col("least")))
-    if all_pairs:
-        one = here.select("key", F.col("rep").alias("a"), F.col("comp").alias("c"), F.col("n_shingles").alias("n"), F.col("u"))
-        two = here.select("key", F.col("rep").alias("b"), F.col("comp").alias("d"), F.col("n_shingles").alias("m"), F.col("u").alias("v"))
-        return one.join(two, "key").where((F.col("c") < F.col("d")) & linkable(F.col("u"), F.col("n"), F.col("v"), F.col("m"), s.percent)).select("a", "b").distinct()
+    return here
+
+
+def hub_pairs(here: DataFrame, k: int, s: Settings) -> DataFrame:
+    """Pairs (a, b) of a member and its hub; in round 0 the hub of most of its keys only."""
     hub = lambda f: F.col(f"hub.{f}")
     pairs = here.where((F.col("comp") != hub("comp")) & linkable(F.col("u"), F.col("n_shingles"), hub("u"), hub("n_shingles"), s.percent))
     votes = pairs.groupBy(F.col("rep").alias("a"), hub("rep").alias("b")).agg(F.count(F.lit(1)).alias("n"))
@@ -220,6 +224,52 @@ def open_pairs(here: DataFrame, k: int, all_pairs: bool, s: Settings) -> DataFra
     return votes.drop("n")
 
 
+def against_hubs(near: DataFrame, sets: DataFrame) -> DataFrame:
+    """near (hub, rep, comp, n, u) with c, the shingles in the hub's set, too, and the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts, outside = [], []
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                mine, hub = x.values.to_numpy(), y.values.to_numpy()
+                inside = np.isin(mine, hub, assume_unique=True)
+                counts.append(int(inside.sum()))
+                outside.append(mine[~inside])
+            base = batch.select(["hub", "rep", "comp", "n", "u"])
+            yield pa.RecordBatch.from_arrays([*base.columns, pa.array(counts, pa.int64()), pa.array(outside, pa.list_(pa.int64()))], names=[*base.schema.names, "c", "outside"])
+
+    left = sets.select("rep", F.col("hashes").alias("x"))
+    right = sets.select(F.col("rep").alias("hub"), F.col("hashes").alias("y"))
+    met = near.join(left, "rep").join(right, "hub").select("hub", "rep", "comp", "n", "u", "x", "y")
+    return met.mapInArrow(run, "hub bigint, rep bigint, comp bigint, n bigint, u bigint, c bigint, outside array<bigint>")
+
+
+def all_pairs(here: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """All pairs (a, b) of different components in a key that could be linked."""
+    near = here.groupBy(F.col("hub.rep").alias("hub"), "rep", "comp").agg(F.first("n_shingles").alias("n"), F.first("u").cast("long").alias("u"))
+    near = materialize(near, "near")
+    some = near.select("rep").union(near.select("hub")).distinct()
+    told = materialize(against_hubs(near, sets.join(some, "rep", "left_semi")), "told")
+    mixed = lambda df, *key: df.groupBy(*key).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(*key)
+    other = lambda df, *key: df.select(*key, *(F.col(f).alias(f"{f}2") for f in ("rep", "comp", "n", "u", "c")))
+    whole, share = 100 + s.percent, s.percent
+    sizes = 100 * F.least("n", "n2") >= share * F.greatest("n", "n2")
+
+    # the overlaps with the hub could do alone: both sides need one as large as the least partner asks
+    least = told.groupBy("hub").agg(F.min("n").alias("n_least"))
+    big = told.drop("outside").join(least, "hub").where(whole * F.col("c") >= share * (F.col("n") + F.col("n_least")))
+    big = big.join(mixed(big, "hub"), "hub")
+    inside = big.join(other(big, "hub"), "hub").where((F.col("comp") < F.col("comp2")) & sizes & (whole * F.least("c", "c2") >= share * (F.col("n") + F.col("n2"))))
+
+    # they meet in a shingle outside the hub
+    each = told.select("hub", F.explode("outside").alias("h"), "rep", "comp", "n", "u", "c")
+    each = each.join(mixed(each, "hub", "h"), ["hub", "h"])
+    most = F.least("c", "c2") + F.least(F.col("u") - F.col("c"), F.col("u2") - F.col("c2"))
+    outside = each.join(other(each, "hub", "h"), ["hub", "h"]).where((F.col("comp") < F.col("comp2")) & sizes & (whole * most >= share * (F.col("n") + F.col("n2"))))
+    pick = lambda df: df.select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
+    return pick(inside).union(pick(outside)).distinct()
+
+
 def repeats(docs: DataFrame) -> bool:
     """Whether an id stands in more than one row."""
     return not docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty()
