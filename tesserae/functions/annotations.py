@@ -6,7 +6,9 @@ Points are level-0 pixels. Types: point, rectangle (bounding box of its points),
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import ROUND_HALF_UP, Decimal
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 POINTS = "array<struct<x:double,y:double>>"
@@ -149,9 +151,16 @@ def format_area(um2: Column) -> Column:
 def fixed_exact(v: Column, digits: int) -> Column:
     """Decimals of the exact binary value, ties away from zero.
 
-    decimal(38, 18) holds the value well enough to tell ties of up to a dozen decimals.
+    Catalyst casts doubles by their shortest decimal form, which rounds 0.49905 up although its
+    binary value lies below; so this runs in Python, batch by batch.
     """
-    return F.round(v.cast("decimal(38,18)"), digits).cast(f"decimal(38,{digits})").cast("string")
+    step = Decimal(1).scaleb(-digits)
+
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: None if pd.isna(x) else str(Decimal(x).quantize(step, ROUND_HALF_UP)))
+
+    return run(v.cast("double"))
 
 
 # Lengths of a scale bar in microns.
