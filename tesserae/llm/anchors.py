@@ -6,8 +6,10 @@ Equal windows have equal anchors at equal places, so only runs whose anchor hash
 anywhere can hold a repeated window, and only strings under one anchor hash need comparing.
 
 Documents are dealt to chunks by id, once; all steps below read that one exchange.
-1. Chunks send their distinct anchor hashes to buckets, which answer one bit each: met again?
-2. Chunks send the distinct strings of the runs that are left, each with its first place (least
+1. Chunks send their distinct anchor hashes, with their numbers of distinct strings, to buckets,
+   which answer two bits each: met again, and with how many strings?
+2. Runs under an anchor with very many strings (the edges of a passage that stands in many
+   contexts) are split into single windows, which need no comparing beyond their hashes. Chunks send the distinct strings of the runs that are left, each with its first place (least
    doc_id, then start), to the buckets, where a solver finds the repeated windows.
 3. Chunks get a bit mask of windows for each string, and apply it to their whole documents.
 A passage that many documents share is one entry a chunk, whatever its count.
@@ -27,7 +29,7 @@ from tesserae.llm.textblocks import Block, blocks, prefix_hash, sequence_prefix,
 
 #: Bits of a packed minimum that hold its place; a document has fewer symbols than that.
 PLACE = np.uint64((1 << 28) - 1)
-BUCKET_BYTES = 6 << 20
+BUCKET_BYTES = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -36,6 +38,10 @@ class Scheme:
 
     length: int
     words: bool
+    #: Distinct strings under one anchor from which its runs are split into windows.
+    crowded: int = 512
+    #: Bytes of strings that a solver compares at a time.
+    solve_bytes: int = 1 << 19
 
     @property
     def span(self) -> int:
@@ -151,26 +157,64 @@ def table(names: str, rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(c, kinds.get(f, pa.binary())) for f, c in zip(fields, columns)], names=fields)
 
 
-def distinct_keys(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
+def distinct_keys(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor hashes, whether they occur again in the chunk, and their numbers of distinct strings."""
     keys, counts = np.unique(c.runs.key, return_counts=True)
-    return keys, counts > 1
+    _, first = np.unique(c.runs.hash, return_index=True)
+    of = np.searchsorted(keys, c.runs.key[first])
+    return keys, counts > 1, np.bincount(of, minlength=len(keys))
 
 
 def ask(scheme: Scheme, n_buckets: int) -> Callable:
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        keys, again = distinct_keys(read_chunk(group, scheme))
-        return table("chunk bucket keys again", [(key[0].as_py(), b, keys[at].tobytes(), np.packbits(again[at]).tobytes()) for b, at in by_bucket(keys, n_buckets)])
+        keys, again, strings = distinct_keys(read_chunk(group, scheme))
+        strings = np.minimum(strings, 0xFFFF).astype(np.uint16)
+        rows = [(key[0].as_py(), b, keys[at].tobytes(), np.packbits(again[at]).tobytes(), pa.compress(strings[at].tobytes(), codec="zstd", asbytes=True)) for b, at in by_bucket(keys, n_buckets)]
+        return table("chunk bucket keys again strings", rows)
 
     return run
 
 
-def answer(key: tuple, group: pa.Table) -> pa.Table:
-    keys = [np.frombuffer(k, np.uint64) for k in group.column("keys").to_pylist()]
-    again = [np.unpackbits(np.frombuffer(a, np.uint8), count=len(k)) for a, k in zip(group.column("again").to_pylist(), keys)]
-    every, at = np.unique(np.concatenate(keys), return_inverse=True)
-    met = np.bincount(at, weights=1 + np.concatenate(again)) > 1
-    bits = [np.packbits(met[w]).tobytes() for w in np.split(at, np.cumsum([len(k) for k in keys])[:-1])]
-    return table("chunk bucket met", list(zip(group.column("chunk").to_pylist(), [key[0].as_py()] * len(bits), bits)))
+def answer(scheme: Scheme) -> Callable:
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        keys = [np.frombuffer(k, np.uint64) for k in group.column("keys").to_pylist()]
+        again = [np.unpackbits(np.frombuffer(a, np.uint8), count=len(k)) for a, k in zip(group.column("again").to_pylist(), keys)]
+        strings = [np.frombuffer(pa.decompress(n, 2 * len(k), codec="zstd"), np.uint16) for n, k in zip(group.column("strings").to_pylist(), keys)]
+        every, at = np.unique(np.concatenate(keys), return_inverse=True)
+        met = np.bincount(at, weights=1 + np.concatenate(again)) > 1
+        crowded = np.bincount(at, weights=np.concatenate(strings)) > scheme.crowded
+        rows = []
+        for chunk, w in zip(group.column("chunk").to_pylist(), np.split(at, np.cumsum([len(k) for k in keys])[:-1])):
+            rows.append((chunk, key[0].as_py(), np.packbits(met[w]).tobytes(), np.packbits(crowded[w]).tobytes()))
+        return table("chunk bucket met crowded", rows)
+
+    return run
+
+
+def prefix_of(s: Symbols, scheme: Scheme) -> np.ndarray:
+    return symbols(s.block, scheme).prefix
+
+
+def split_crowded(c: Chunk, crowded: np.ndarray, scheme: Scheme) -> Chunk:
+    """The chunk with runs under a crowded anchor (sorted hashes) as single windows, keyed by their own hash."""
+    if not len(crowded):
+        return c
+    r = c.runs
+    at = np.minimum(np.searchsorted(crowded, r.key), len(crowded) - 1)
+    split = crowded[at] == r.key
+    parts, blocks_of = [Runs(*(getattr(r, f)[~split] for f in ("key", "hash", "start", "count", "doc")))], [c.block[~split]]
+    for b, s in enumerate(c.symbols):
+        of = np.flatnonzero(split & (c.block == b))
+        if len(of):
+            n = r.count[of]
+            start = np.repeat(r.start[of] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            hashes = span_hash(prefix_of(s, scheme), start, start + scheme.length)
+            parts.append(Runs(hashes, hashes, start, np.ones(len(start), np.int64), np.repeat(r.doc[of], n)))
+            blocks_of.append(np.full(len(start), b))
+    joined = [np.concatenate([getattr(x, f) for x in parts]) for f in ("key", "hash", "start", "count", "doc")]
+    block = np.concatenate(blocks_of)
+    order = np.lexsort((joined[2], block))
+    return Chunk(c.rows, c.order, c.symbols, Runs(*(a[order] for a in joined)), block[order])
 
 
 #: What a chunk sends of each distinct string: anchor and string hashes, first place, windows, whether it occurs again in the chunk, bytes.
@@ -180,12 +224,16 @@ STRING = np.dtype([("key", "<u8"), ("hash", "<u8"), ("doc", "<i8"), ("start", "<
 def send(scheme: Scheme, n_buckets: int) -> Callable:
     def run(key: tuple, group: pa.Table, answers: pa.Table) -> pa.Table:
         c = read_chunk(group, scheme)
-        keys, _ = distinct_keys(c)
-        met = np.zeros(len(keys), bool)
-        bits = answers.sort_by("bucket").column("met").to_pylist()
-        for (_, at), raw in zip(by_bucket(keys, n_buckets), bits, strict=True):
+        keys, _, _ = distinct_keys(c)
+        met, crowded = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+        answers = answers.sort_by("bucket")
+        for (_, at), raw, more in zip(by_bucket(keys, n_buckets), answers.column("met").to_pylist(), answers.column("crowded").to_pylist(), strict=True):
             met[at] = np.unpackbits(np.frombuffer(raw, np.uint8), count=len(at)).astype(bool)
-        left = np.flatnonzero(np.isin(c.runs.key, keys[met], kind="sort"))
+            crowded[at] = np.unpackbits(np.frombuffer(more, np.uint8), count=len(at)).astype(bool)
+        left = np.isin(c.runs.key, keys[met], kind="sort")
+        c = Chunk(c.rows, c.order, c.symbols, Runs(*(getattr(c.runs, f)[left] for f in ("key", "hash", "start", "count", "doc"))), c.block[left])
+        c = split_crowded(c, keys[crowded], scheme)
+        left = np.arange(len(c.runs.key))
         _, first, n = np.unique(c.runs.hash[left], return_index=True, return_counts=True)
         back = np.argsort(first)
         first, n = left[first[back]], n[back]
@@ -194,7 +242,9 @@ def send(scheme: Scheme, n_buckets: int) -> Callable:
         for b, s in enumerate(c.symbols):
             of = first[c.block[first] == b]
             if len(of):
-                texts += s.strings(c.runs.start[of], c.runs.start[of] + c.runs.count[of] + scheme.length - 1)
+                plain = c.runs.key[of] != c.runs.hash[of]  # single windows are known by their hash
+                some = iter(s.strings(c.runs.start[of[plain]], c.runs.start[of[plain]] + c.runs.count[of[plain]] + scheme.length - 1))
+                texts += [next(some) if p else b"" for p in plain.tolist()]
                 origin[len(texts) - len(of) : len(texts)] = s.bounds[c.runs.doc[of], 0]
         rows = np.zeros(len(first), STRING)
         rows["key"], rows["hash"], rows["count"], rows["again"] = c.runs.key[first], c.runs.hash[first], c.runs.count[first], n > 1
@@ -206,6 +256,8 @@ def send(scheme: Scheme, n_buckets: int) -> Callable:
         for bucket, at in by_bucket(rows["key"], n_buckets):
             body = b"".join([texts[i] for i in at.tolist()])
             out.append((key[0].as_py(), bucket, rows[at].tobytes(), pa.compress(body, codec="zstd", asbytes=True)))
+        if crowded.any():  # a message to itself, beside the buckets
+            out.append((key[0].as_py(), -1 - key[0].as_py(), keys[crowded].tobytes(), None))
         return table("chunk bucket rows body", out)
 
     return run
@@ -222,7 +274,23 @@ class Strings:
     again: np.ndarray  # occurs more than once in the corpus
 
 
-def solve(solver: Callable[[Strings], np.ndarray], first_stays: bool) -> Callable:
+def strings_at(wanted: np.ndarray, parts: list[np.ndarray], bodies: pa.ChunkedArray) -> dict[int, bytes]:
+    """Bytes of some of a bucket's rows, by their place among all."""
+    out: dict[int, bytes] = {}
+    wanted = np.sort(wanted)
+    at = 0
+    for part, body in zip(parts, bodies):
+        here = wanted[np.searchsorted(wanted, at) : np.searchsorted(wanted, at + len(part))] - at
+        if len(here):
+            ends = np.cumsum(part["bytes"].astype(np.int64))
+            raw = pa.decompress(body.as_buffer(), int(ends[-1]), codec="zstd", asbytes=True)
+            for i in here.tolist():
+                out[at + i] = raw[ends[i] - part["bytes"][i] : ends[i]]
+        at += len(part)
+    return out
+
+
+def solve(scheme: Scheme, solver: Callable[[Strings], np.ndarray], first_stays: bool) -> Callable:
     """Masks of repeated windows for each chunk's strings.
 
     first_stays: the first occurrence of a window is not repeated (bit 0), and of equal strings
@@ -230,6 +298,8 @@ def solve(solver: Callable[[Strings], np.ndarray], first_stays: bool) -> Callabl
     """
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
+        if key[0].as_py() < 0:
+            return table("chunk hashes masks", list(zip(group.column("chunk").to_pylist(), group.column("rows").to_pylist(), [None] * group.num_rows)))
         parts = [np.frombuffer(r, STRING) for r in group.column("rows").to_pylist()]
         rows = np.concatenate(parts)
         order = np.lexsort((rows["start"], rows["doc"], rows["hash"]))
@@ -245,20 +315,14 @@ def solve(solver: Callable[[Strings], np.ndarray], first_stays: bool) -> Callabl
         full = (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - rows["count"].astype(np.uint64)))[lead]
         mask = np.where(again & (not first_stays), full, np.uint64(0))
         if len(some):
-            need = np.zeros(len(rows), bool)
-            need[lead[some]] = True
-            texts: dict[int, bytes] = {}
-            at = 0
-            for part, body in zip(parts, group.column("body").to_pylist()):
-                ends = np.cumsum(part["bytes"].astype(np.int64))
-                here = np.flatnonzero(need[at : at + len(part)])
-                if len(here):
-                    raw = pa.decompress(body, int(ends[-1]), codec="zstd", asbytes=True)
-                    for i in here.tolist():
-                        texts[at + i] = raw[ends[i] - part["bytes"][i] : ends[i]]
-                at += len(part)
-            of = lead[some]
-            mask[some] |= solver(Strings([texts[i] for i in of.tolist()], rows["doc"][of], rows["start"][of], rows["count"][of].astype(np.int64), again[some]))
+            some = some[np.argsort(anchor[some], kind="stable")]
+            ends = np.cumsum(rows["bytes"][lead[some]].astype(np.int64))
+            batch = ends // scheme.solve_bytes  # whole anchors, about so many bytes together
+            batch = np.maximum.accumulate(batch[np.searchsorted(anchor[some], anchor[some], "left")])
+            for mine in np.split(some, np.flatnonzero(np.diff(batch)) + 1):
+                of = lead[mine]
+                texts = strings_at(of, parts, group.column("body"))
+                mask[mine] |= solver(Strings([texts[i] for i in of.tolist()], rows["doc"][of], rows["start"][of], rows["count"][of].astype(np.int64), again[mine]))
         result = mask[string]
         if first_stays:
             is_lead = np.zeros(len(rows), bool)
@@ -279,6 +343,11 @@ def solve(solver: Callable[[Strings], np.ndarray], first_stays: bool) -> Callabl
 
 def removed(c: Chunk, answers: pa.Table, scheme: Scheme, first_stays: bool) -> list[np.ndarray]:
     """Of each block, which symbols a repeated window covers."""
+    told = answers.column("masks").is_null().to_pylist()
+    crowded = [np.frombuffer(h, np.uint64) for h, t in zip(answers.column("hashes").to_pylist(), told) if t]
+    if crowded:
+        c = split_crowded(c, np.sort(np.concatenate(crowded)), scheme)
+        answers = answers.filter(pa.array([not t for t in told]))
     raw = answers.column("hashes").to_pylist()
     hashes = np.concatenate([np.frombuffer(h, np.uint64) for h in raw]) if raw else np.zeros(0, np.uint64)
     masks = [np.frombuffer(pa.decompress(m, len(h), codec="zstd"), np.uint64) for m, h in zip(answers.column("masks").to_pylist(), raw)]
@@ -313,15 +382,15 @@ def removed(c: Chunk, answers: pa.Table, scheme: Scheme, first_stays: bool) -> l
 def repeated(docs: DataFrame, scheme: Scheme, solver: Callable[[Strings], np.ndarray], first_stays: bool, finish: Callable[[Chunk, list[np.ndarray]], pa.Table], schema: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """finish's rows for the documents (doc_id, text, keep's columns) of each chunk."""
     total = text_bytes(docs)
-    n_chunks, n_buckets = chunks_for(total), max(64, -(-total // BUCKET_BYTES))
+    n_chunks, n_buckets = chunks_for(total, 4 << 20), max(64, -(-total // BUCKET_BYTES))
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(n_chunks)).cast("int")
     # rows without an id are dealt by their text
     spread = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(n_chunks)).cast("int")).otherwise(spread)
     dealt = docs.select("doc_id", "text", *keep, spread.alias("chunk")).repartition(n_chunks, "chunk")
-    asked = dealt.groupBy("chunk").applyInArrow(ask(scheme, n_buckets), "chunk int, bucket int, keys binary, again binary")
-    met = asked.groupBy("bucket").applyInArrow(answer, "chunk int, bucket int, met binary")
+    asked = dealt.groupBy("chunk").applyInArrow(ask(scheme, n_buckets), "chunk int, bucket int, keys binary, again binary, strings binary")
+    met = asked.groupBy("bucket").applyInArrow(answer(scheme), "chunk int, bucket int, met binary, crowded binary")
     sent = dealt.groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(send(scheme, n_buckets), "chunk int, bucket int, rows binary, body binary")
-    masks = sent.groupBy("bucket").applyInArrow(solve(solver, first_stays), "chunk int, hashes binary, masks binary")
+    masks = sent.groupBy("bucket").applyInArrow(solve(scheme, solver, first_stays), "chunk int, hashes binary, masks binary")
 
     def apply(key: tuple, group: pa.Table, answers: pa.Table) -> pa.Table:
         c = read_chunk(group, scheme)

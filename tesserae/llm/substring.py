@@ -112,8 +112,8 @@ def digests(c: Chunk, gone: list[np.ndarray]) -> pa.Table:
     return pa.table([c.rows.column("doc_id"), *(pa.array(x, k) for x, k in zip(columns, kinds))], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def removal_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    return repeated(docs, Scheme(length, words=True), elsewhere(length), False, digests, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+def removal_digests(docs: DataFrame, length: int = LENGTH, **limits: int) -> DataFrame:
+    return repeated(docs, Scheme(length, words=True, **limits), elsewhere(length), False, digests, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:

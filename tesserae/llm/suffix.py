@@ -118,8 +118,8 @@ def digests(c: Chunk, gone: list[np.ndarray]) -> pa.Table:
     return pa.table([c.rows.column("doc_id"), *(pa.array(x, k) for x, k in zip(columns, kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def removal_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    return repeated(docs, Scheme(length, words=False), earlier(length), True, digests, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+def removal_digests(docs: DataFrame, length: int = LENGTH, **limits: int) -> DataFrame:
+    return repeated(docs, Scheme(length, words=False, **limits), earlier(length), True, digests, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -22,7 +22,7 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 
 
 @lru_cache(maxsize=4)
@@ -33,7 +33,7 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 def powers_to(base: int, n: int) -> np.ndarray:
-    return powers(base, 1 << max(21, int(n).bit_length()))[:n]
+    return powers(base, 1 << max(20, int(n).bit_length()))[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

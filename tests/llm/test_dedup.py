@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
+from tesserae.llm import substring, suffix
 from tesserae.llm.queries_minhash import op1_min_max_hashing
 from tesserae.llm.queries_substring import op9_suffix_automata
 from tesserae.llm.queries_suffix import op5_interval_expansion
@@ -112,6 +113,19 @@ def test_op5_and_op9(spark, sf, edge, docs, small, query, brute):
     assert got == collections.Counter(brute(edge_docs() if small else rows_of(docs)))
 
 
+@pytest.mark.parametrize("module,brute", [(suffix, brute_bytes), (substring, brute_words)])
+def test_a_passage_in_many_contexts(spark, module, brute):
+    """Its edges give each document another string under the same anchors, which are split into windows."""
+    rnd = np.random.default_rng(8)
+    prose = lambda n: " ".join("".join(rnd.choice(list("abcdefgh"), rnd.integers(1, 8))) for _ in range(n))
+    passage, other = prose(60), prose(50)
+    rows = [(i, prose(40) + " " + (passage if i % 3 else passage[: 150 + i]) + " " + prose(30) + (" " + other if i % 7 == 0 else "")) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for limits in ({}, {"crowded": 10, "solve_bytes": 1000}, {"crowded": 0}):
+        got = collections.Counter(tuple(r) for r in module.removal_digests(docs, **limits).collect())
+        assert got == collections.Counter(brute(rows))
+
+
 @pytest.mark.parametrize("query", [op1_min_max_hashing, op5_interval_expansion, op9_suffix_automata])
 def test_empty_table(spark, empty, query):
     assert query(spark, empty).count() == 0
