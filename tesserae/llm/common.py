@@ -9,7 +9,13 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of few megabytes, in which whole texts go to Python and back; results do not depend on it."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

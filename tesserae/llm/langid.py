@@ -28,6 +28,8 @@ CLASSES = 64
 #: Fixed-point scale in which vectors are summed, so that sums do not depend on their order.
 SCALE = 1 << 20
 BLOCK = 1 << 19
+#: Rows handled and sent back at a time.
+ROWS = 1024
 UNDETERMINED = "und"
 
 
@@ -119,21 +121,25 @@ def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, keep:
     centre = profile.mean(axis=0) if len(languages) > 1 else np.zeros(dim)
     heads = unit(profile - centre).astype(np.float32)
     centre, names = centre.astype(np.float32), [*languages, UNDETERMINED]
-    kept = docs.select(*keep, F.col("text").alias("__text"))
-    schema = docs.select(*keep).schema
-    out_fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    at = keep.index("text") if "text" in keep else len(keep)
+    kept = docs.select(*keep) if "text" in keep else docs.select(*keep, F.col("text").alias("__text"))
+    out_fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = values(batch.column(batch.num_columns - 1))
-            best, cosine = np.full(len(texts), len(names) - 1), np.zeros(len(texts))
-            for lo, hi in grouped(texts) if languages else ():
-                vectors, has = bundle(texts[lo:hi], dim)
-                cos = unit(unit(vectors) - centre) @ heads.T
-                top = cos.argmax(axis=1)
-                best[lo:hi] = np.where(has, top, len(names) - 1)
-                cosine[lo:hi] = np.where(has, np.clip(cos[np.arange(hi - lo), top], 0, 1), 0)
-            cols = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([names[i] for i in best], pa.string()), pa.array(cosine)], names=[*keep, "lang_pred", "score"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, ROWS):
+                yield part(whole.slice(lo, ROWS))
+
+    def part(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = values(batch.column(at))
+        best, cosine = np.full(len(texts), len(names) - 1), np.zeros(len(texts))
+        for lo, hi in grouped(texts) if languages else ():
+            vectors, has = bundle(texts[lo:hi], dim)
+            cos = unit(unit(vectors) - centre) @ heads.T
+            top = cos.argmax(axis=1)
+            best[lo:hi] = np.where(has, top, len(names) - 1)
+            cosine[lo:hi] = np.where(has, np.clip(cos[np.arange(hi - lo), top], 0, 1), 0)
+        cols = [batch.column(i) for i in range(len(keep))]
+        return pa.RecordBatch.from_arrays([*cols, pa.array([names[i] for i in best], pa.string()), pa.array(cosine)], names=[*keep, "lang_pred", "score"])
 
     return kept.mapInArrow(score, f"{out_fields}, lang_pred string, score double")
