@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tesserae.llm import contain, langid, minhash, packing, suffix
-from tesserae.llm.common import materialize, split_of, table
+from tesserae.llm.common import bounded_batches, materialize, split_of, table
 from tesserae.llm.queries_packing import tokenizer_path
 
 #: No SQL: language profiles and packing are not expressible; tests compare with brute force.
@@ -32,6 +32,7 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter, and those clearly not in their declared language."""
+    bounded_batches(spark)
     docs = docs.select(*COLUMNS)  # other columns could bear the names of results
     languages, prototypes = langid.learn(docs.where(split_of(F.col("doc_id"), 4) != 2))
     told = langid.predict(docs, languages, prototypes, docs.columns)
