@@ -26,28 +26,40 @@ from tesserae.llm.anchors import Chunk, Scheme, Strings, repeated
 LENGTH = 100
 
 
+#: Symbols (below 512) that one integer holds, so that prefixes double from there.
+PACKED = 7
+
+
+def ranks_of(keys: np.ndarray) -> np.ndarray:
+    order = np.argsort(keys)
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[order][1:] != keys[order][:-1]
+    rank = np.empty(len(keys), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    return rank
+
+
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes sorted by their first symbols, as many as the power of two above depth; ties by place."""
-    _, rank = np.unique(text, return_inverse=True)
-    order, step = np.argsort(rank, kind="stable"), 1
+    """Suffixes sorted by more than depth of their first symbols (0 to 511); ties by place."""
+    n = len(text)
+    padded = np.concatenate((text, np.zeros(PACKED, np.int64)))
+    key = np.zeros(n, np.int64)
+    for k in range(PACKED):
+        key = key << 9 | padded[k : n + k]
+    rank, step = ranks_of(key), PACKED
     while step <= depth:
-        after = np.zeros(len(rank), np.int64)
+        after = np.zeros(n, np.int64)
         after[:-step] = rank[step:] + 1
-        pair = rank * (len(rank) + 1) + after
-        order = np.argsort(pair, kind="stable")
-        new = np.ones(len(rank), bool)
-        new[1:] = pair[order][1:] != pair[order][:-1]
-        rank = np.empty(len(rank), np.int64)
-        rank[order] = np.cumsum(new) - 1
+        rank = ranks_of(rank * (n + 1) + after)
         step *= 2
-    return order
+    return np.argsort(rank * n + np.arange(n))
 
 
 def long_common_prefixes(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     """Of each suffix in order, whether it shares its first `length` symbols with the one before."""
     n = len(text)
     last = text[order - 1]  # the transform; the text is taken as a circle
-    by_symbol = np.argsort(last, kind="stable")
+    by_symbol = np.argsort(last.astype(np.int16), kind="stable")
     forward = np.empty(n, np.int64)  # place of the suffix one symbol longer
     forward[by_symbol] = np.arange(n)
     valued = np.zeros(n + 1, bool)
@@ -65,10 +77,10 @@ def long_common_prefixes(text: np.ndarray, order: np.ndarray, length: int) -> np
             interval = np.repeat(np.arange(len(a)), size)
             place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(a, size)
             key = interval * width + last[place]
-            sort = np.argsort(key, kind="stable")
+            sort = np.argsort(key)
             key, place = key[sort], place[sort]
             first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            new_lo.append(forward[place[first]])
+            new_lo.append(forward[np.minimum.reduceat(place, first)])
             new_hi.append(new_lo[-1] + np.diff(np.append(first, len(key))))
         lo, hi = np.concatenate(new_lo), np.concatenate(new_hi)
         fresh = ~valued[hi]
