@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 from tesserae.codecs.jpeg2000.arith import RUN, UNIFORM, MqDecoder, MqEncoder, RawBits, fresh_contexts
@@ -32,7 +34,8 @@ def _zero_context(band: int, h: int, v: int, d: int) -> int:
     return min(d, 2)
 
 
-ZERO = [[[[_zero_context(b, h, v, d) for d in range(5)] for v in range(3)] for h in range(3)] for b in range(4)]
+#: Context by band, and 15 h + 5 v + d.
+ZERO = [[_zero_context(b, k // 15, k // 5 % 3, k % 5) for k in range(45)] for b in range(4)]
 
 
 def _sign_context(h: int, v: int) -> tuple[int, int]:
@@ -43,11 +46,33 @@ def _sign_context(h: int, v: int) -> tuple[int, int]:
     return (12 + v if h else 9 + v), int(flip)
 
 
-SIGN = {(h, v): _sign_context(h, v) for h in (-1, 0, 1) for v in (-1, 0, 1)}
+def _clamped_sign_context(h: int, v: int) -> tuple[int, int]:
+    return _sign_context((h > 0) - (h < 0), (v > 0) - (v < 0))
+
+
+#: By 5 (h + 2) + v + 2, of the summed signs of two neighbours each.
+SIGN = [_clamped_sign_context(k // 5 - 2, k % 5 - 2) for k in range(25)]
+
+
+@lru_cache(maxsize=64)
+def _orders(width: int, height: int) -> tuple[list[int], list[tuple[int, int]]]:
+    """Places in the order of a pass (stripes of four rows, column by column), and (place, rows) of the columns."""
+    stride, order, columns = width + 2, [], []
+    for y0 in range(0, height, 4):
+        rows = min(4, height - y0)
+        for x in range(width):
+            first = (y0 + 1) * stride + x + 1
+            columns.append((first, rows))
+            order += [first + j * stride for j in range(rows)]
+    return order, columns
 
 
 class _Block:
-    """State of a code block with a border of one; index = (y + 1) * stride + x + 1."""
+    """State of a code block with a border of one; place = (y + 1) * stride + x + 1.
+
+    Sums over significant neighbours are kept up to date as coefficients become significant,
+    which is rare, so that passes only look them up.
+    """
 
     def __init__(self, width: int, height: int, band: int, causal: bool):
         self.w, self.h, self.stride = width, height, width + 2
@@ -57,30 +82,30 @@ class _Block:
         self.magnitude = [0] * n
         self.visited = [0] * n
         self.refined = [0] * n
+        self.near = [0] * n  # 15 h + 5 v + d
+        self.signs = [12] * n  # 5 (h + 2) + v + 2
         self.zero = ZERO[band]
         self.causal = causal
-
-    def stripes(self):
-        """(index, whether it closes its stripe) column by column, for each pass."""
-        s = self.stride
-        for y0 in range(0, self.h, 4):
-            y1 = min(y0 + 4, self.h)
-            for x in range(self.w):
-                for y in range(y0, y1):
-                    yield (y + 1) * s + x + 1, y == y0 + 3
-
-    def counts(self, i: int, closes: bool) -> tuple[int, int, int]:
-        g, s = self.significant, self.stride
-        up, down = i - s, i + s
-        if closes and self.causal:
-            return g[i - 1] + g[i + 1], g[up], g[up - 1] + g[up + 1]
-        return g[i - 1] + g[i + 1], g[up] + g[down], g[up - 1] + g[up + 1] + g[down - 1] + g[down + 1]
-
-    def sign_context(self, i: int, closes: bool) -> tuple[int, int]:
-        t, s = self.sign, self.stride
-        h = t[i - 1] + t[i + 1]
-        v = t[i - s] + (0 if closes and self.causal else t[i + s])
-        return SIGN[(h > 0) - (h < 0), (v > 0) - (v < 0)]
+        self.order, self.columns = _orders(width, height)
+
+    def grow(self, i: int, negative: int) -> None:
+        """Coefficient i becomes significant."""
+        near, signs, s = self.near, self.signs, self.stride
+        sign = -1 if negative else 1
+        self.significant[i], self.sign[i] = 1, sign
+        near[i - 1] += 15
+        near[i + 1] += 15
+        signs[i - 1] += 5 * sign
+        signs[i + 1] += 5 * sign
+        near[i + s] += 5
+        signs[i + s] += sign
+        near[i + s - 1] += 1
+        near[i + s + 1] += 1
+        if not (self.causal and (i // s - 1) % 4 == 0):  # a stripe does not look into the next one
+            near[i - s] += 5
+            signs[i - s] += sign
+            near[i - s - 1] += 1
+            near[i - s + 1] += 1
 
 
 class _Decoder(_Block):
@@ -113,64 +138,50 @@ class _Decoder(_Block):
                 if kind == 3:
                     kind, plane = 0, plane - 1
 
-    def _found(self, i: int, closes: bool, coder, contexts, raw: bool) -> None:
+    def found(self, i: int, coder, contexts, raw: bool) -> None:
         if raw:
             negative = coder.bit()
         else:
-            c, flip = self.sign_context(i, closes)
+            c, flip = SIGN[self.signs[i]]
             negative = coder.bit(contexts, c) ^ flip
-        self.significant[i] = 1
-        self.sign[i] = -1 if negative else 1
+        self.grow(i, negative)
         self.magnitude[i] = self.one + (self.one >> 1)
 
     def propagate(self, coder, contexts, raw: bool) -> None:
-        g, zero = self.significant, self.zero
-        for i, closes in self.stripes():
-            if g[i]:
-                continue
-            h, v, d = self.counts(i, closes)
-            c = zero[h][v][d]
-            if c:
-                self.visited[i] = 1
-                if coder.bit() if raw else coder.bit(contexts, c):
-                    self._found(i, closes, coder, contexts, raw)
+        g, near, zero, visited, bit = self.significant, self.near, self.zero, self.visited, coder.bit
+        for i in self.order:
+            if near[i] and not g[i]:
+                visited[i] = 1
+                if bit() if raw else bit(contexts, zero[near[i]]):
+                    self.found(i, coder, contexts, raw)
 
     def refine(self, coder, contexts, raw: bool) -> None:
+        g, near, visited, refined, magnitude, bit = self.significant, self.near, self.visited, self.refined, self.magnitude, coder.bit
         half = self.one >> 1
-        for i, closes in self.stripes():
-            if not self.significant[i] or self.visited[i]:
-                continue
-            if raw:
-                bit = coder.bit()
-            else:
-                c = 16 if self.refined[i] else 15 if any(self.counts(i, closes)) else 14
-                bit = coder.bit(contexts, c)
-            self.refined[i] = 1
-            self.magnitude[i] += half if bit else -half
+        for i in self.order:
+            if g[i] and not visited[i]:
+                b = bit() if raw else bit(contexts, 16 if refined[i] else 15 if near[i] else 14)
+                refined[i] = 1
+                magnitude[i] += half if b else -half
 
     def clean(self, coder, contexts, style: int) -> None:
-        g, s, visited = self.significant, self.stride, self.visited
-        for y0 in range(0, self.h, 4):
-            rows = min(4, self.h - y0)
-            for x in range(self.w):
-                i0 = (y0 + 1) * s + x + 1
-                k = 0
-                if rows == 4 and not any(g[i0 + j * s] or visited[i0 + j * s] for j in range(4)) and not any(any(self.counts(i0 + j * s, j == 3)) for j in range(4)):
-                    if not coder.bit(contexts, RUN):
-                        continue
-                    k = coder.bit(contexts, UNIFORM) << 1 | coder.bit(contexts, UNIFORM)
-                    self._found(i0 + k * s, k == 3, coder, contexts, False)
-                    k += 1
-                for j in range(k, rows):
-                    i = i0 + j * s
-                    if not g[i] and not visited[i]:
-                        h, v, d = self.counts(i, j == 3)
-                        if coder.bit(contexts, self.zero[h][v][d]):
-                            self._found(i, j == 3, coder, contexts, False)
+        g, near, zero, s, visited, bit = self.significant, self.near, self.zero, self.stride, self.visited, coder.bit
+        for first, rows in self.columns:
+            i, end = first, first + rows * s
+            if rows == 4 and not (near[i] or near[i + s] or near[i + 2 * s] or near[i + 3 * s] or g[i] or g[i + s] or g[i + 2 * s] or g[i + 3 * s]):
+                if not bit(contexts, RUN):
+                    continue
+                i += (bit(contexts, UNIFORM) << 1 | bit(contexts, UNIFORM)) * s
+                self.found(i, coder, contexts, False)
+                i += s
+            while i < end:
+                if not g[i] and not visited[i] and bit(contexts, zero[near[i]]):
+                    self.found(i, coder, contexts, False)
+                i += s
         self.visited = [0] * len(g)
         if style & SEGMARK:
             for _ in range(4):
-                coder.bit(contexts, UNIFORM)
+                bit(contexts, UNIFORM)
 
 
 def decode_block(segments: list[tuple[bytes, int]], width: int, height: int, band: int, planes: int, style: int) -> np.ndarray:
@@ -201,65 +212,57 @@ class _Encoder(_Block):
         data = coder.flush()
         return planes, data, [min(n, len(data)) for n in lengths[:-1]] + [len(data)], gains
 
-    def _gained(self, i: int, before: float) -> None:
+    def gained(self, i: int, before: float) -> None:
         """Squared error that the bit took away; a coefficient decodes to the middle of its interval."""
         m, p = self.target[i], self.p
         after = ((m >> p) + 0.5) * (1 << p) if p else m
         self.gain += (m - before) ** 2 - (m - after) ** 2
 
-    def _found(self, i: int, closes: bool, coder, contexts) -> None:
-        c, flip = self.sign_context(i, closes)
+    def found(self, i: int, coder, contexts) -> None:
+        c, flip = SIGN[self.signs[i]]
         coder.bit(contexts, c, self.negative[i] ^ flip)
-        self.significant[i] = 1
-        self.sign[i] = -1 if self.negative[i] else 1
-        self._gained(i, 0.0)
+        self.grow(i, self.negative[i])
+        self.gained(i, 0.0)
 
     def propagate(self, coder, contexts) -> None:
-        for i, closes in self.stripes():
-            if self.significant[i]:
-                continue
-            h, v, d = self.counts(i, closes)
-            c = self.zero[h][v][d]
-            if c:
-                self.visited[i] = 1
-                bit = self.target[i] >> self.p & 1
-                coder.bit(contexts, c, bit)
-                if bit:
-                    self._found(i, closes, coder, contexts)
+        g, near, zero, visited, target, p, bit = self.significant, self.near, self.zero, self.visited, self.target, self.p, coder.bit
+        for i in self.order:
+            if near[i] and not g[i]:
+                visited[i] = 1
+                b = target[i] >> p & 1
+                bit(contexts, zero[near[i]], b)
+                if b:
+                    self.found(i, coder, contexts)
 
     def refine(self, coder, contexts) -> None:
-        for i, closes in self.stripes():
-            if self.significant[i] and not self.visited[i]:
-                c = 16 if self.refined[i] else 15 if any(self.counts(i, closes)) else 14
-                coder.bit(contexts, c, self.target[i] >> self.p & 1)
-                self.refined[i] = 1
-                self._gained(i, ((self.target[i] >> self.p + 1) + 0.5) * (2 << self.p))
+        g, near, visited, refined, target, p, bit = self.significant, self.near, self.visited, self.refined, self.target, self.p, coder.bit
+        for i in self.order:
+            if g[i] and not visited[i]:
+                bit(contexts, 16 if refined[i] else 15 if near[i] else 14, target[i] >> p & 1)
+                refined[i] = 1
+                self.gained(i, ((target[i] >> p + 1) + 0.5) * (2 << p))
 
     def clean(self, coder, contexts) -> None:
-        g, s, visited = self.significant, self.stride, self.visited
-        for y0 in range(0, self.h, 4):
-            rows = min(4, self.h - y0)
-            for x in range(self.w):
-                i0 = (y0 + 1) * s + x + 1
-                k = 0
-                if rows == 4 and not any(g[i0 + j * s] or visited[i0 + j * s] for j in range(4)) and not any(any(self.counts(i0 + j * s, j == 3)) for j in range(4)):
-                    ones = [j for j in range(4) if self.target[i0 + j * s] >> self.p & 1]
-                    coder.bit(contexts, RUN, int(bool(ones)))
-                    if not ones:
-                        continue
-                    k = ones[0]
-                    coder.bit(contexts, UNIFORM, k >> 1)
-                    coder.bit(contexts, UNIFORM, k & 1)
-                    self._found(i0 + k * s, k == 3, coder, contexts)
-                    k += 1
-                for j in range(k, rows):
-                    i = i0 + j * s
-                    if not g[i] and not visited[i]:
-                        h, v, d = self.counts(i, j == 3)
-                        bit = self.target[i] >> self.p & 1
-                        coder.bit(contexts, self.zero[h][v][d], bit)
-                        if bit:
-                            self._found(i, j == 3, coder, contexts)
+        g, near, zero, s, visited, target, p, bit = self.significant, self.near, self.zero, self.stride, self.visited, self.target, self.p, coder.bit
+        for first, rows in self.columns:
+            i, end = first, first + rows * s
+            if rows == 4 and not (near[i] or near[i + s] or near[i + 2 * s] or near[i + 3 * s] or g[i] or g[i + s] or g[i + 2 * s] or g[i + 3 * s]):
+                k = next((j for j in range(4) if target[i + j * s] >> p & 1), 4)
+                bit(contexts, RUN, int(k < 4))
+                if k == 4:
+                    continue
+                bit(contexts, UNIFORM, k >> 1)
+                bit(contexts, UNIFORM, k & 1)
+                i += k * s
+                self.found(i, coder, contexts)
+                i += s
+            while i < end:
+                if not g[i] and not visited[i]:
+                    b = target[i] >> p & 1
+                    bit(contexts, zero[near[i]], b)
+                    if b:
+                        self.found(i, coder, contexts)
+                i += s
         self.visited = [0] * len(g)
 
 
