@@ -156,4 +156,36 @@ def level_region(x: Column, y: Column, w: Column, h: Column, downsample: Column,
 def overview_matches(w: Column, h: Column, width: Column, height: Column) -> Column:
     """Whether an associated image can serve as the overview of a slide."""
     ratio = (w / h) / (width / height)
-    return (F.abs(ratio - 1) <= 0.02) & (w.cast("long") * h <= 4096 * 4096)
+    return (F.abs(ratio - 1) < 0.02) & (w.cast("long") * h <= 4096 * 4096)
+
+
+def tile_screen_rect(tx: Column, ty: Column, span: Column, reduction: Column, image_w: Column, image_h: Column, tile: tuple[Column, Column], downsample: Column, scale: Column, origin: tuple[Column, Column]) -> Column:
+    """Where a decoded tile lies on the screen, with a pixel of overlap into its neighbours.
+
+    Sized by the decoded image: an edge tile may be smaller than the grid's.
+    """
+    shift = lambda v, n: F.call_function("shiftleft", v, n)
+    texels = shift(F.lit(1).cast("long"), reduction) * downsample
+    x, y = tx * shift(tile[0], span) * downsample, ty * shift(tile[1], span) * downsample
+    return F.struct(
+        to_screen(x, origin[0], scale).alias("left"),
+        to_screen(y, origin[1], scale).alias("top"),
+        (image_w * texels * scale + 1).alias("width"),
+        (image_h * texels * scale + 1).alias("height"),
+    )
+
+
+def minimap(width: Column, height: Column, view: tuple[Column, Column], origin: tuple[Column, Column], scale: Column, most: float) -> Column:
+    """Size of a minimap's box, and the viewport's rectangle in it, cut to the box."""
+    aspect = width / height
+    w = F.when(aspect >= 1, F.lit(most)).otherwise(most * aspect)
+    h = F.when(aspect >= 1, most / aspect).otherwise(F.lit(most))
+    zero = F.lit(0.0)
+    left, top = origin[0] * w / width, origin[1] * h / height
+    right, bottom = left + view[0] / scale * w / width, top + view[1] / scale * h / height
+    return F.struct(w.alias("box_w"), h.alias("box_h"), F.greatest(left, zero).alias("left"), F.greatest(top, zero).alias("top"), F.least(right, w).alias("right"), F.least(bottom, h).alias("bottom"))
+
+
+def minimap_target(local: Column, box: Column, extent: Column) -> Column:
+    """The level-0 coordinate that a tap on the minimap means (one axis)."""
+    return clamp(local / box, F.lit(0.0), F.lit(1.0)) * extent

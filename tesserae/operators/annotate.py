@@ -29,3 +29,28 @@ def finished_paths(vertices: DataFrame, least: int) -> DataFrame:
     """Draft vertices (draft, seq, x, y) as paths; drafts with fewer than least vertices are dropped."""
     p = vertices.groupBy("draft").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "x", "y"))), lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"))).alias("points"))
     return p.where(F.size("points") >= least)
+
+
+def rectangle_drafts(drags: DataFrame) -> DataFrame:
+    """Rectangles (draft, points) of drags (draft, seq, x, y): from the first to the last point; without extent, none."""
+    at = lambda f: f(F.struct("x", "y"), "seq")
+    d = drags.groupBy("draft").agg(at(F.min_by).alias("a"), at(F.max_by).alias("b"))
+    return d.where((F.col("a.x") != F.col("b.x")) | (F.col("a.y") != F.col("b.y"))).select("draft", F.array("a", "b").alias("points"))
+
+
+def taps(pointers: DataFrame, slop: float = 18.0) -> DataFrame:
+    """Taps (session, gesture, seq, x, y) of pointer events (session, seq, pointer, op down | move | up, x, y).
+
+    A gesture lasts from the first pointer down to the last one up. It is a tap if a single
+    pointer took part and never moved beyond the slop.
+    """
+    order = Window.partitionBy("session").orderBy("seq")
+    step = F.when(F.col("op") == "down", 1).when(F.col("op") == "up", -1).otherwise(0)
+    e = pointers.withColumn("down", F.sum(step).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    e = e.withColumn("begins", ((F.col("op") == "down") & (F.col("down") == 1)).cast("int"))
+    e = e.withColumn("gesture", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    start = F.min_by(F.struct("x", "y"), "seq").over(Window.partitionBy("session", "gesture"))
+    far = F.sqrt((F.col("x") - F.col("start.x")) ** 2 + (F.col("y") - F.col("start.y")) ** 2) > slop
+    e = e.withColumn("start", start).withColumn("moved", (F.col("op") == "move") & far)
+    g = e.groupBy("session", "gesture").agg(F.max("moved").alias("moved"), F.max("down").alias("most"), F.min_by("down", -F.col("seq")).alias("left"), F.max_by(F.struct("seq", "op", "x", "y"), "seq").alias("last"))
+    return g.where("gesture > 0 and not moved and most = 1 and left = 0 and last.op = 'up'").select("session", "gesture", "last.seq", "last.x", "last.y")

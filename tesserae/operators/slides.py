@@ -126,6 +126,33 @@ def export_associated(spark: SparkSession, path: str, kind: str, image_format: s
     return raster.encode_image(array(got[0]["width"], got[0]["height"], bytes(got[0]["rgba"])), image_format, quality, adjustments)
 
 
+def composites(rasters: DataFrame, span: int, reduction: int, tile_w: int, tile_h: int) -> DataFrame:
+    """RASTERS merged 2**span x 2**span: members shrunk to 1 / 2**reduction at their place.
+
+    A group is the tiles of one composite; sparse members stay blank, and a group of sparse
+    members only is sparse.
+    """
+    up = lambda c: F.call_function("shiftright", F.col(c), F.lit(span))
+
+    def merge(key: tuple, group: pa.Table) -> pa.Table:
+        slide, level, tx, ty = (k.as_py() for k in key)
+        rows = [r for r in group.to_pylist() if r["rgba"] is not None]
+        row = {"slide_id": slide, "level": level, "tx": tx, "ty": ty, "width": None, "height": None, "rgba": None}
+        if rows:
+            place = lambda r: ((r["tx"] - (tx << span)) * tile_w, (r["ty"] - (ty << span)) * tile_h)
+            w = max(place(r)[0] + r["width"] for r in rows)
+            h = max(place(r)[1] + r["height"] for r in rows)
+            out = np.zeros(((h + (1 << reduction) - 1) >> reduction, (w + (1 << reduction) - 1) >> reduction, 4), np.uint8)
+            for r in rows:
+                x, y = place(r)
+                raster.paste(out, raster.shrink(array(r["width"], r["height"], r["rgba"]), reduction), x >> reduction, y >> reduction)
+            row |= {"width": out.shape[1], "height": out.shape[0], "rgba": out.tobytes()}
+        kinds = {"slide_id": pa.string(), "rgba": pa.binary()}
+        return pa.table({k: pa.array([v], kinds.get(k, pa.int32())) for k, v in row.items()})
+
+    return rasters.groupBy("slide_id", "level", up("tx").alias("cx"), up("ty").alias("cy")).applyInArrow(merge, RASTERS)
+
+
 # ---- pyramids ----
 
 

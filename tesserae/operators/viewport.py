@@ -67,3 +67,30 @@ def needs_fetch(requests: DataFrame, cached: DataFrame, in_flight: DataFrame, sp
     r, s = out.alias("r"), sharp.alias("s")
     same = [F.col(f"r.{k}") == F.col(f"s.{k}") for k in key]
     return r.join(s, [*same, F.col("s.have") <= F.col("r.reduction")], "left_anti")
+
+
+def fallback(viewports: DataFrame, planned: DataFrame, cached: DataFrame, levels: list[dict]) -> DataFrame:
+    """(vid, level, span) of the cached group that stands in for missing tiles.
+
+    Of the groups with a tile in view, the level nearest to the wanted one, coarser first, then
+    the nearest span. The groups are few; tiles meet viewports by group.
+    """
+    arr = F.array(*(F.struct(*(F.lit(l[k]).cast("long").alias(k) for k in ("width", "height", "tile_w", "tile_h")), F.lit(float(l["downsample"])).alias("downsample")) for l in levels))
+    aim = planned.select("vid", F.col("level").alias("aim_level"), F.col("span").alias("aim_span"))
+    groups = cached.where(F.col("level") < len(levels)).select("level", "span").distinct()
+    v = viewports.join(aim, "vid").join(F.broadcast(groups)).where((F.col("level") != F.col("aim_level")) | (F.col("span") != F.col("aim_span")))
+    v = v.withColumn("g", F.get(arr, F.col("level").cast("int")))
+    side = lambda c: F.call_function("shiftleft", F.col(c), F.col("span").cast("int"))
+    v = v.withColumn("tw", side("g.tile_w")).withColumn("th", side("g.tile_h"))
+    for axis, o, n, t, extent in (("x", "ox", "w", "tw", "g.width"), ("y", "oy", "h", "th", "g.height")):
+        lo, hi = G.visible_range(F.col(o), F.col(n), F.col("scale"), F.col("g.downsample"), F.col(t), G.tiles_across(F.col(extent), F.col(t)))
+        v = v.withColumn(f"lo_{axis}", lo).withColumn(f"hi_{axis}", hi)
+    seen = v.join(cached.select("level", "span", "tx", "ty"), ["level", "span"]).where(F.col("tx").between(F.col("lo_x"), F.col("hi_x")) & F.col("ty").between(F.col("lo_y"), F.col("hi_y")))
+    order = F.struct(F.abs(F.col("level") - F.col("aim_level")), -F.col("level"), F.abs(F.col("span") - F.col("aim_span")))
+    best = seen.groupBy("vid").agg(F.min_by(F.struct("level", "span"), order).alias("b"))
+    return best.select("vid", F.col("b.level").cast("long").alias("level"), F.col("b.span").cast("long").alias("span"))
+
+
+def layered(pixels: DataFrame) -> DataFrame:
+    """What is seen of layers (layer, x, y, c, v) painted over one another: the highest at each place."""
+    return pixels.groupBy("x", "y", "c").agg(F.max_by("v", "layer").alias("v"))

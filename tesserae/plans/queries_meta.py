@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tesserae.functions import annotations as A, geometry as G, metadata as M
 from tesserae.operators import annotate, cache, viewport
-from tesserae.plans.slide import table
+from tesserae.plans.slide import PIXELS_SQL, table
 
 LEVELS = [
     {"width": 40000, "height": 30000, "tile_w": 256, "tile_h": 256, "downsample": 1.0},
@@ -241,6 +241,50 @@ def view_fit(spark, sf_dir):
     return v.select("vid", F.round(fit, 9).alias("fit"), s.alias("scale"), o.alias("ox"), G.recentred(F.lit(512.0), F.col("w"), F.col("scale")).alias("recentred"))
 
 
+def tile_screen_rect(spark, sf_dir):
+    v, k = _viewports(spark, sf_dir), F.col("vid")
+    r = G.tile_screen_rect(k % 40, k % 30, (k % 3).cast("int"), (k % 4).cast("int"), k % 256 + 1, k % 200 + 1, (F.lit(256).cast("long"), F.lit(256).cast("long")), F.lit(4.0), F.col("scale"), (F.col("ox"), F.col("oy")))
+    return v.select("vid", r.alias("r")).select("vid", "r.*")
+
+
+def minimap(spark, sf_dir):
+    m = G.minimap(F.lit(40000.0), F.lit(20000.0), (F.col("w"), F.col("h")), (F.col("ox"), F.col("oy")), F.col("scale"), 160.0)
+    return _viewports(spark, sf_dir).select("vid", m.alias("m")).select("vid", *(F.round(f"m.{c}", 6).alias(c) for c in ("box_w", "box_h", "left", "top", "right", "bottom")))
+
+
+def label_anchor(spark, sf_dir):
+    a = A.label_anchor(F.when(F.col("l_orderkey") % 2 == 0, "rectangle").otherwise("polygon"), F.col("points"))
+    return _polygons(spark, sf_dir).select("l_orderkey", a.alias("a")).select("l_orderkey", F.round("a.x", 6).alias("x"), F.round("a.y", 6).alias("y"))
+
+
+def find_fallback(spark, sf_dir):
+    v = _viewports(spark, sf_dir)
+    k = F.col("event_id").cast("long")
+    cached = table(spark, sf_dir, "events").where("event_id % 3 = 0").select((k % 3).cast("int").alias("level"), (k % 2).cast("int").alias("span"), (k * 5 % 30).alias("tx"), (k * 7 % 20).alias("ty")).distinct()
+    return viewport.fallback(v, viewport.plan(v, LEVELS), cached, LEVELS)
+
+
+def taps(spark, sf_dir):
+    """Gestures of three to five events: some move, some have a second pointer."""
+    k = F.col("event_id").cast("long")
+    e = table(spark, sf_dir, "events").select(k.alias("session"), (k * 13 % 40).cast("double").alias("d"))
+    row = lambda seq, pointer, op, x: F.struct(F.lit(seq).cast("long").alias("seq"), F.lit(pointer).alias("pointer"), F.lit(op).alias("op"), x.alias("x"), F.lit(5.0).alias("y"))
+    zero, two = F.lit(0.0), F.col("session") % 5 == 0
+    events = F.when(two, F.array(row(1, 1, "down", zero), row(2, 2, "down", zero), row(3, 2, "up", zero), row(4, 1, "up", zero))).otherwise(F.array(row(1, 1, "down", zero), row(2, 1, "move", F.col("d")), row(3, 1, "up", F.col("d"))))
+    return annotate.taps(e.select("session", F.explode(events).alias("e")).select("session", "e.*")).select("session", F.col("gesture").cast("long").alias("gesture"), "seq", "x", "y")
+
+
+def layer_compose(spark, sf_dir):
+    """A slide's pixels over its own halved level drawn at double size, where the full tiles of even columns are missing."""
+    from tesserae.operators import pyramid
+    from tesserae.plans.slide import pixels
+
+    full = pixels(spark, sf_dir)
+    small = pyramid.halve(full)
+    doubled = small.withColumn("k", F.explode(F.array(*(F.lit(i) for i in range(4))))).select(F.lit(0).alias("layer"), (F.col("x") * 2 + F.col("k") % 2).alias("x"), (F.col("y") * 2 + F.floor(F.col("k") / 2)).alias("y"), "c", "v")
+    return viewport.layered(full.where("tx % 2 = 1").select(F.lit(1).alias("layer"), "x", "y", "c", "v").unionByName(doubled))
+
+
 _R = "CASE WHEN k % 3 = 0 THEN 'Macro ' ELSE '' END || CASE WHEN k % 2 = 0 THEN 'my LABEL ' ELSE '' END || p_name"
 _RING = "greatest(abs(tx - cx), abs(ty - cy))"
 _ORDER = f"{_RING}, CASE WHEN ty = cy - {_RING} THEN 0 WHEN ty = cy + {_RING} THEN 1 WHEN tx = cx - {_RING} THEN 2 ELSE 3 END, CASE WHEN abs(ty - cy) = {_RING} THEN tx ELSE ty END"
@@ -344,6 +388,36 @@ SELECT vid, n AS length_um, n / u AS pixels, CASE WHEN n >= 1000 THEN CAST(n / 1
         """WITH t AS (SELECT CAST(p_partkey AS BIGINT) AS k, CAST(p_partkey * 0.25 AS DECIMAL(30, 12)) AS v FROM part)
 SELECT k AS p_partkey, CASE WHEN v < 1000 THEN CAST(CAST(round(v, 1) AS DECIMAL(20, 1)) AS VARCHAR) || ' µm' ELSE CAST(CAST(round(CAST(v / 1000 AS DECIMAL(30, 12)), 2) AS DECIMAL(20, 2)) AS VARCHAR) || ' mm' END AS length,
 CASE WHEN v * 4096 < 1000000 THEN CAST(CAST(round(v * 4096, 1) AS DECIMAL(20, 1)) AS VARCHAR) || ' µm²' ELSE CAST(CAST(round(CAST(v * 4096 / 1000000 AS DECIMAL(30, 12)), 2) AS DECIMAL(20, 2)) AS VARCHAR) || ' mm²' END AS area FROM t""",
+    ),
+    "tile_screen_rect": (
+        tile_screen_rect,
+        f"""WITH v AS ({_VIEWPORTS}), t AS (SELECT *, CAST(1 << (vid % 4) AS DOUBLE) * 4 AS texels FROM v)
+SELECT vid, (vid % 40 * (256 << (vid % 3)) * 4 - ox) * scale AS "left", (vid % 30 * (256 << (vid % 3)) * 4 - oy) * scale AS top, (vid % 256 + 1) * texels * scale + 1 AS width, (vid % 200 + 1) * texels * scale + 1 AS height FROM t""",
+    ),
+    "minimap": (
+        minimap,
+        f"""WITH v AS ({_VIEWPORTS}), m AS (SELECT *, ox * 160 / 40000 AS l, oy * 80 / 20000 AS t FROM v)
+SELECT vid, CAST(160 AS DOUBLE) AS box_w, CAST(80 AS DOUBLE) AS box_h, round(greatest(l, 0), 6) AS "left", round(greatest(t, 0), 6) AS top, round(least(l + w / scale * 160 / 40000, 160), 6) AS "right", round(least(t + h / scale * 80 / 20000, 80), 6) AS bottom FROM m""",
+    ),
+    "label_anchor": (
+        label_anchor,
+        f"WITH {_VERTICES} SELECT l_orderkey, round(CASE WHEN l_orderkey % 2 = 0 THEN (min(x) + max(x)) / 2 ELSE sum(x) / count(*) END, 6) AS x, round(CASE WHEN l_orderkey % 2 = 0 THEN (min(y) + max(y)) / 2 ELSE sum(y) / count(*) END, 6) AS y FROM p GROUP BY l_orderkey",
+    ),
+    "find_fallback": (
+        find_fallback,
+        f"""WITH {_PLANNED}, k AS (SELECT DISTINCT event_id % 3 AS kl, event_id % 2 AS ks, event_id * 5 % 30 AS tx, event_id * 7 % 20 AS ty FROM events WHERE event_id % 3 = 0),
+q AS (SELECT DISTINCT kl, ks, CASE kl WHEN 2 THEN 16.0 WHEN 1 THEN 4.0 ELSE 1.0 END::DOUBLE AS kd, CAST(256 << ks AS BIGINT) AS kt, CASE kl WHEN 2 THEN 2500 WHEN 1 THEN 10000 ELSE 40000 END AS kw, CASE kl WHEN 2 THEN 1875 WHEN 1 THEN 7500 ELSE 30000 END AS kh FROM k),
+z AS (SELECT vid, level, span, kl, ks, least(greatest(floor(ox / kd / kt), 0), ceil(kw / kt) - 1) AS x0, least(greatest(floor((ox + w / scale) / kd / kt), 0), ceil(kw / kt) - 1) AS x1,
+least(greatest(floor(oy / kd / kt), 0), ceil(kh / kt) - 1) AS y0, least(greatest(floor((oy + h / scale) / kd / kt), 0), ceil(kh / kt) - 1) AS y1 FROM p, q WHERE kl <> level OR ks <> span),
+y AS (SELECT vid, kl, ks, row_number() OVER (PARTITION BY vid ORDER BY abs(kl - level), kl DESC, abs(ks - span)) AS rn FROM z WHERE EXISTS (SELECT 1 FROM k WHERE k.kl = z.kl AND k.ks = z.ks AND tx BETWEEN x0 AND x1 AND ty BETWEEN y0 AND y1))
+SELECT vid, CAST(kl AS BIGINT) AS level, CAST(ks AS BIGINT) AS span FROM y WHERE rn = 1""",
+    ),
+    "taps": (taps, "SELECT CAST(event_id AS BIGINT) AS session, CAST(1 AS BIGINT) AS gesture, CAST(3 AS BIGINT) AS seq, CAST(event_id * 13 % 40 AS DOUBLE) AS x, CAST(5 AS DOUBLE) AS y FROM events WHERE event_id % 5 <> 0 AND event_id * 13 % 40 <= 18"),
+    "layer_compose": (
+        layer_compose,
+        f"""WITH {PIXELS_SQL}, a AS (SELECT x // 2 AS x, y // 2 AS y, c, CAST((2 * sum(v) + count(*)) // (2 * count(*)) AS BIGINT) AS v FROM pixels GROUP BY ALL),
+d AS (SELECT x * 2 + k % 2 AS x, y * 2 + k // 2 AS y, c, v FROM a, range(0, 4) t(k)), f AS (SELECT x, y, c, v FROM pixels WHERE tx % 2 = 1)
+SELECT CAST(d.x AS BIGINT) AS x, CAST(d.y AS BIGINT) AS y, d.c, coalesce(f.v, d.v) AS v FROM d LEFT JOIN f ON f.x = d.x AND f.y = d.y AND f.c = d.c""",
     ),
     "view_fit": (
         view_fit,
