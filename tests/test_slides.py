@@ -177,3 +177,30 @@ def test_jpeg_surgery():
     assert jpeg.splice_tables(b"\xff\xd8TT\xff\xd9", b"\xff\xd8xx") == b"\xff\xd8TTxx"
     marked = jpeg.decode(jpeg.mark_rgb(whole))
     assert np.abs(marked.astype(int) - jpeg.decode(whole)).max() > 20
+
+
+def test_composites(spark, tmp_path):
+    path = f"{tmp_path}/a.svs"
+    image = make(path, 200, 170, 64, 33005, sparse={(0, 0)})
+    image[:64, :64] = 0
+    register(spark)
+    tiles = slides.decode_tiles(spark.read.format("slide_tiles").load(path))
+    got = {(r["tx"], r["ty"]): r for r in slides.composites(tiles, 1, 1, 64, 64).collect()}
+    assert set(got) == {(0, 0), (1, 0), (0, 1), (1, 1)}
+    first = slides.array(got[0, 0]["width"], got[0, 0]["height"], bytes(got[0, 0]["rgba"]))
+    assert first.shape[:2] == (64, 64) and (first[32:, :] == raster.resize(image[64:128, :128], 64, 32)).all() and not first[:32, :32].any()
+
+
+def test_disk_cache(spark, tmp_path):
+    from tesserae.operators.disk_cache import DiskTileCache, listing
+
+    tile = picture(5, 4)
+    c = DiskTileCache(f"{tmp_path}/c", max_bytes=200)
+    c.put(0, 1, 2, tile)
+    c.put(0, 2, 2, tile)
+    assert (c.get(0, 1, 2) == tile).all() and c.get(9, 9, 9) is None
+    c.put(0, 3, 2, tile)  # 88 bytes a tile: the least recent goes
+    assert c.get(0, 2, 2) is None and c.bytes == 176
+    again = DiskTileCache(f"{tmp_path}/c", max_bytes=100)
+    assert again.bytes == 88
+    assert [(r["level"], r["ty"], r["size"]) for r in listing(spark, f"{tmp_path}/c").collect()] == [(0, 2, 88)]
