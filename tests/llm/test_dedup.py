@@ -3,11 +3,12 @@
 import collections
 import hashlib
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from tesserae.llm import substring, suffix
+from tesserae.llm import queries_minhash, queries_substring, queries_suffix, substring, suffix
 from tesserae.llm.queries_minhash import op1_min_max_hashing
 from tesserae.llm.queries_substring import op9_suffix_automata
 from tesserae.llm.queries_suffix import op5_interval_expansion
@@ -113,6 +114,17 @@ def test_op5_and_op9(spark, sf, edge, docs, small, query, brute):
     assert got == collections.Counter(brute(edge_docs() if small else rows_of(docs)))
 
 
+@pytest.mark.parametrize("module", [queries_minhash, queries_suffix, queries_substring])
+def test_sql(spark, sf, module):
+    ((name, sql),) = module.ORACLE_SQL.items()
+    got = getattr(module, name)(spark, sf)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = con.execute(sql)
+    names = [c[0] for c in want.description]
+    assert collections.Counter(map(tuple, got.select(*names).collect())) == collections.Counter(want.fetchall())
+
+
 @pytest.mark.parametrize("module,brute", [(suffix, brute_bytes), (substring, brute_words)])
 def test_a_passage_in_many_contexts(spark, module, brute):
     """Its edges give each document another string under the same anchors, which are split into windows."""
