@@ -11,6 +11,7 @@ from pyspark.sql.functions import udtf
 from pyspark.sql.types import BinaryType, IntegerType, StringType, StructField, StructType
 
 from tesserae.codecs import raster, strips
+from tesserae.session import reachable
 from tesserae.sources.datasource import tag_value
 from tesserae.sources.slide import open_slide
 from tesserae.functions.metadata import TAG_NAMES
@@ -70,6 +71,7 @@ class VisibleTiles:
 
 
 def register_functions(spark: SparkSession) -> None:
+    reachable(spark)
     spark.udf.register("decode_tile", decode_tile)
     spark.udf.register("encode_image", encode_image)
     spark.udf.register("decompress_strip", decompress_strip)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 #: Settings that change results (map keys) or let predicates reach the slide sources.
@@ -12,7 +14,20 @@ RUNTIME = {
 }
 
 
+def reachable(spark: SparkSession) -> None:
+    """Lets Python workers on this machine import this package, whatever the working directory.
+
+    On a cluster whose machines do not share the folder, ship the package with --py-files.
+    """
+    folder = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if folder not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, folder])
+
+
 def configure(spark: SparkSession) -> SparkSession:
+    reachable(spark)
     for key, value in RUNTIME.items():
         spark.conf.set(key, value)
     return spark

@@ -17,6 +17,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Greate
 
 from tesserae.errors import SlideError
 from tesserae.functions.metadata import TAG_NAMES
+from tesserae.session import reachable
 from tesserae.sources.bytesource import expand
 from tesserae.sources.slide import Slide, open_slide
 from tesserae.sources.tiff import Ifd
@@ -160,6 +161,7 @@ SOURCES = {name: _source(name) for name in SCHEMAS}
 
 def register(spark: SparkSession) -> None:
     """Makes the sources known to a session."""
+    reachable(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for source in SOURCES.values():
         spark.dataSource.register(source)
