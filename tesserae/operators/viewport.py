@@ -85,7 +85,9 @@ def fallback(viewports: DataFrame, planned: DataFrame, cached: DataFrame, levels
     for axis, o, n, t, extent in (("x", "ox", "w", "tw", "g.width"), ("y", "oy", "h", "th", "g.height")):
         lo, hi = G.visible_range(F.col(o), F.col(n), F.col("scale"), F.col("g.downsample"), F.col(t), G.tiles_across(F.col(extent), F.col(t)))
         v = v.withColumn(f"lo_{axis}", lo).withColumn(f"hi_{axis}", hi)
-    seen = v.join(cached.select("level", "span", "tx", "ty"), ["level", "span"]).where(F.col("tx").between(F.col("lo_x"), F.col("hi_x")) & F.col("ty").between(F.col("lo_y"), F.col("hi_y")))
+    # one row a row of tiles: whether a tile of it is in view is a lookup in its columns
+    rows = cached.groupBy("level", "span", "ty").agg(F.collect_set("tx").alias("txs"))
+    seen = v.join(rows, ["level", "span"]).where(F.col("ty").between(F.col("lo_y"), F.col("hi_y"))).where(F.exists("txs", lambda x: x.between(F.col("lo_x"), F.col("hi_x"))))
     order = F.struct(F.abs(F.col("level") - F.col("aim_level")), -F.col("level"), F.abs(F.col("span") - F.col("aim_span")))
     best = seen.groupBy("vid").agg(F.min_by(F.struct("level", "span"), order).alias("b"))
     return best.select("vid", F.col("b.level").cast("long").alias("level"), F.col("b.span").cast("long").alias("span"))

@@ -191,12 +191,14 @@ def point_in_polygon(spark, sf_dir):
 def hit_test_top(spark, sf_dir):
     """Taps of each user against the rectangles of the same slide; the last added one wins."""
     e, k = table(spark, sf_dir, "events"), F.col("event_id").cast("long")
-    taps = e.select(k.alias("probe"), (k % 500).alias("slide"), (k * 7 % 100).cast("double").alias("px"), (k * 11 % 100).cast("double").alias("py"))
+    taps = e.select(k.alias("probe"), (k % 2000).alias("slide"), (k * 7 % 100).cast("double").alias("px"), (k * 11 % 100).cast("double").alias("py"))
     o = F.col("o_orderkey").cast("long")
     x, y = (o * 3 % 80).cast("double"), (o * 5 % 80).cast("double")
     pts = F.array(F.struct(x.alias("x"), y.alias("y")), F.struct((x + 40.0).alias("x"), (y + 30.0).alias("y")))
-    shapes = table(spark, sf_dir, "orders").select((o % 500).alias("slide"), o.alias("ord"), o.alias("id"), pts.alias("points"))
-    met = taps.join(shapes, "slide").where(A.hit(F.lit("rectangle"), F.col("points"), F.lit(True), F.col("px"), F.col("py"), F.lit(2.0)))
+    shapes = table(spark, sf_dir, "orders").select((o % 2000).alias("slide"), o.alias("ord"), o.alias("id"), pts.alias("points"))
+    shapes = shapes.select("*", A.bounding_box(F.col("points")).alias("box"))
+    near = F.col("px").between(F.col("box.left") - 2, F.col("box.right") + 2) & F.col("py").between(F.col("box.top") - 2, F.col("box.bottom") + 2)
+    met = taps.join(shapes, "slide").where(near).where(A.hit(F.lit("rectangle"), F.col("points"), F.lit(True), F.col("px"), F.col("py"), F.lit(2.0)))
     return annotate.topmost(met)
 
 
@@ -359,8 +361,8 @@ SELECT l_orderkey, sum(CASE WHEN (y > py) <> (ny > py) AND px < (nx - x) * (py -
     ),
     "hit_test_top": (
         hit_test_top,
-        """WITH taps AS (SELECT CAST(event_id AS BIGINT) AS probe, event_id % 500 AS slide, CAST(event_id * 7 % 100 AS DOUBLE) AS px, CAST(event_id * 11 % 100 AS DOUBLE) AS py FROM events),
-s AS (SELECT o_orderkey % 500 AS slide, CAST(o_orderkey AS BIGINT) AS id, CAST(o_orderkey * 3 % 80 AS DOUBLE) AS l, CAST(o_orderkey * 5 % 80 AS DOUBLE) AS t, CAST(o_orderkey * 3 % 80 + 40 AS DOUBLE) AS r, CAST(o_orderkey * 5 % 80 + 30 AS DOUBLE) AS b FROM orders),
+        """WITH taps AS (SELECT CAST(event_id AS BIGINT) AS probe, event_id % 2000 AS slide, CAST(event_id * 7 % 100 AS DOUBLE) AS px, CAST(event_id * 11 % 100 AS DOUBLE) AS py FROM events),
+s AS (SELECT o_orderkey % 2000 AS slide, CAST(o_orderkey AS BIGINT) AS id, CAST(o_orderkey * 3 % 80 AS DOUBLE) AS l, CAST(o_orderkey * 5 % 80 AS DOUBLE) AS t, CAST(o_orderkey * 3 % 80 + 40 AS DOUBLE) AS r, CAST(o_orderkey * 5 % 80 + 30 AS DOUBLE) AS b FROM orders),
 d AS (SELECT probe, id, px >= l AND px < r AND py >= t AND py < b AS inside, px - least(greatest(px, l), r) AS cx, py - least(greatest(py, t), b) AS cy, least(px - l, r - px, py - t, b - py) AS depth FROM taps JOIN s USING (slide))
 SELECT probe, max(id) AS id FROM d WHERE inside OR (CASE WHEN depth >= 0 THEN depth ELSE sqrt(cx * cx + cy * cy) END) <= 2 GROUP BY probe""",
     ),
