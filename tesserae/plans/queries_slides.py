@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,9 +27,12 @@ DESCRIPTION = "virtual|AppMag = 20|MPP = 0.5000"
 def workspace(spark: SparkSession) -> str:
     """A folder that driver and executors share; a temporary one in local mode."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or ""
-    base = shared.removeprefix("file://").removeprefix("file:") if shared.startswith("file:") else tempfile.gettempdir()
-    path = os.path.join(base, f"tesserae-{uuid.uuid4().hex}")
-    os.makedirs(path)
+    if shared.startswith("file:"):
+        path = os.path.join(shared.removeprefix("file://").removeprefix("file:"), f"tesserae-{uuid.uuid4().hex}")
+        os.makedirs(path)
+        return path
+    path = tempfile.mkdtemp(prefix="tesserae-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
     return path
 
 
