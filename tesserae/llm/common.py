@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -22,6 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(maxsize=1)
+def _own_dir() -> str:
+    """A temporary folder of this process, removed at its end."""
+    path = tempfile.mkdtemp(prefix="tesserae-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a temporary folder."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -29,9 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
         return path.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    path = os.path.join(tempfile.gettempdir(), "tesserae-checkpoints")
-    spark.sparkContext.setCheckpointDir(path)
-    return f"file://{path}"
+    return f"file://{_own_dir()}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
