@@ -31,6 +31,8 @@ def workspace(spark: SparkSession) -> str:
         path = os.path.join(shared.removeprefix("file://").removeprefix("file:"), f"tesserae-{uuid.uuid4().hex}")
         os.makedirs(path)
         return path
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a file: folder that all executors share")
     path = tempfile.mkdtemp(prefix="tesserae-")
     atexit.register(shutil.rmtree, path, ignore_errors=True)
     return path
