@@ -13,6 +13,7 @@ pieces; an empty table gives an empty result.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,24 +28,47 @@ CAPACITY = 1024
 END_ID = 2
 GROUP = 1 << 16
 ROUNDS = 3
+#: White space characters in a row that tiktoken is given at most; it fails at about a million.
+LONG_RUN = 100_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PACKED = f"{PIECES}, sequence_id bigint, offset bigint, loose boolean"
 
 
 @lru_cache(maxsize=2)
 def encoder(path: str):
-    """The byte-level BPE of a tokenizers JSON file, whose ids are in the order of its merges."""
+    """A function from text to the ids that a tokenizers JSON file gives it.
+
+    tiktoken, over the file's vocabulary, takes the text between added tokens, whose literals
+    become their ids. Its pattern overflows the stack on very long runs of white space; texts
+    with a long one go to tokenizers.
+    """
     import public_tokenizers
     import tiktoken
+    from tokenizers import Tokenizer
 
+    library = Tokenizer.from_file(path)
     spare = iter(range(256, 512))
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}  # bytes that stand for themselves in the vocabulary
     to_byte = {chr(b if b in shown else next(spare)): b for b in range(256)}
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
-    special = {t["content"] for t in model["added_tokens"]}
+    if any(t[k] for t in model["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        return lambda text: library.encode(text, add_special_tokens=False).ids
+    special = {t["content"]: t["id"] for t in model["added_tokens"]}
     ranks = {bytes(to_byte[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ordinary = tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    literals = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True))) or r"(?!)")
+
+    def encode(text: str) -> list[int]:
+        if len(text) > LONG_RUN and any(m.end() - m.start() > LONG_RUN for m in re.finditer(r"\s+", text)):
+            return library.encode(text, add_special_tokens=False).ids
+        out, at = [], 0
+        for m in literals.finditer(text):
+            out += [*ordinary(text[at : m.start()]), special[m[0]]]
+            at = m.end()
+        return out + ordinary(text[at:])
+
+    return encode
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -57,7 +81,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     """Token pieces of (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path).encode_ordinary
+        encode = encoder(tokenizer_path)
         for batch in batches:
             ids, texts, rows = batch.column("doc_id").to_pylist(), batch.column("text"), []
             for doc_id, text in zip(ids, texts):
