@@ -20,14 +20,20 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 #: The cosine from which a prediction that contradicts the declared language rejects a document.
 CERTAIN = 0.5
-#: Ids of this many documents at most go to all tasks.
+#: Keys of this many rows at most go to all tasks.
 FEW_IDS = 1 << 20
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs whose doc_id is not in ids; few ids, after a count, by broadcast."""
-    ids = materialize(ids.distinct(), "ids")
-    return docs.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "doc_id", "left_anti")
+def with_row(docs: DataFrame) -> DataFrame:
+    """COLUMNS and row, a hash of id and text that tells null from a value: rows without an id, and other texts of one id, have their own."""
+    parts = (F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.col("text").isNull(), F.coalesce("text", F.lit("")))
+    return docs.select(*COLUMNS).withColumn("row", F.xxhash64(*parts))
+
+
+def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs whose row is not in rows; few rows, after a count, by broadcast."""
+    rows = materialize(rows.distinct(), "rows")
+    return docs.join(F.broadcast(rows) if rows.count() <= FEW_IDS else rows, "row", "left_anti")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,12 +49,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group whose five-word shingle sets are linked at 0.8."""
-    found = minhash.near_duplicates(docs, minhash.Settings(width=5, percent=80, bands=48, permutations=3))
-    rest = without(docs, found.where("not kept and doc_id is not null").select("doc_id"))
-    if minhash.repeats(rest):
-        one = rest.where("doc_id is not null").dropDuplicates(["doc_id"])
-        rest = one.unionByName(rest.where("doc_id is null"))
+    """Keeps one document of each group whose five-word shingle sets are linked at 0.8.
+
+    The least id stays; rows without an id come last.
+    """
+    docs = with_row(docs)
+    found = minhash.near_duplicates(docs.select(F.col("row").alias("doc_id"), "text"), minhash.Settings(width=5, percent=80, bands=48, permutations=3))
+    found = found.where("n_shingles > 0").select(F.col("doc_id").alias("row"), F.col("component_id").alias("component")).distinct()
+    found = materialize(found.join(docs.select("row", "doc_id").distinct(), "row"), "found")
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("row")).select("row")
+    rest = without(docs, found.select("row").join(first, "row", "left_anti"))
+    if minhash.repeats(rest.select(F.col("row").alias("doc_id"))):
+        told = F.col("doc_id").isNotNull() | F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+        rest = rest.where(told).dropDuplicates(["row"]).unionByName(rest.where(~told))
     return rest.select(*COLUMNS)
 
 
@@ -60,8 +73,9 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes documents that contain a benchmark item."""
-    found = contain.search(docs, table(spark, sf_dir, "benchmark"))
-    return without(docs, found.select("doc_id")).select(*COLUMNS)
+    docs = with_row(docs)
+    found = contain.search(docs.select(F.col("row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return without(docs, found.select(F.col("doc_id").alias("row"))).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
