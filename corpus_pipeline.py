@@ -18,7 +18,9 @@ ORACLE_SQL = None
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
-#: The cosine from which a prediction that contradicts the declared language rejects a document.
+#: The lead in cosine over the declared language from which another language rejects a document.
+MARGIN = 0.1
+#: The cosine that rejects instead where there is nothing to learn the declared language from.
 CERTAIN = 0.5
 #: Keys of this many rows at most go to all tasks.
 FEW_IDS = 1 << 20
@@ -41,8 +43,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     docs = docs.select(*COLUMNS)  # other columns could bear the names of results
     languages, prototypes = langid.learn(docs.where(split_of(F.col("doc_id"), 4) != 2))
-    told = langid.predict(docs, languages, prototypes, docs.columns)
-    wrong = (F.col("lang_pred") != F.col("lang")) & (F.col("score") >= CERTAIN)
+    told = langid.predict(docs, languages, prototypes, docs.columns, declared="lang")
+    wrong = (F.col("lang_pred") != F.col("lang")) & F.coalesce(F.col("margin") >= MARGIN, F.col("score") >= CERTAIN)
     keep = (F.col("lang_pred") != langid.UNDETERMINED) & ~F.coalesce(wrong, F.lit(False))
     # without a single language to learn, nothing is rejected
     return (told.where(keep) if languages else docs).select(*COLUMNS)

@@ -115,14 +115,19 @@ def learn(train: DataFrame, dim: int = DIM) -> tuple[list[str], np.ndarray]:
     return [r["lang"] for r in rows], np.array([r["v"] for r in rows], np.float64).reshape(len(rows), dim)
 
 
-def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, keep: list[str], dim: int = DIM) -> DataFrame:
-    """keep's columns with lang_pred and score, the cosine with the prototype (0 if negative)."""
+def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, keep: list[str], dim: int = DIM, declared: str | None = None) -> DataFrame:
+    """keep's columns with lang_pred and score, the cosine with the prototype (0 if negative).
+
+    With declared, one of keep's columns, also margin: the best cosine less that of the declared
+    language; null without a letter, or without a prototype of that language.
+    """
     profile = unit(prototypes) if len(languages) else np.zeros((1, dim))
     centre = profile.mean(axis=0) if len(languages) > 1 else np.zeros(dim)
     heads = unit(profile - centre).astype(np.float32)
     centre, names = centre.astype(np.float32), [*languages, UNDETERMINED]
     at = keep.index("text") if "text" in keep else len(keep)
     kept = docs.select(*keep) if "text" in keep else docs.select(*keep, F.col("text").alias("__text"))
+    place = {name: i for i, name in enumerate(languages)}
     out_fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,13 +138,21 @@ def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, keep:
     def part(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = values(batch.column(at))
         best, cosine = np.full(len(texts), len(names) - 1), np.zeros(len(texts))
+        margin = np.full(len(texts), np.nan)
+        own = np.array([place.get(x, -1) for x in batch.column(keep.index(declared)).to_pylist()], np.int64) if declared else None
         for lo, hi in grouped(texts) if languages else ():
             vectors, has = bundle(texts[lo:hi], dim)
             cos = unit(unit(vectors) - centre) @ heads.T
             top = cos.argmax(axis=1)
             best[lo:hi] = np.where(has, top, len(names) - 1)
             cosine[lo:hi] = np.where(has, np.clip(cos[np.arange(hi - lo), top], 0, 1), 0)
+            if declared:
+                told = has & (own[lo:hi] >= 0)
+                margin[lo:hi][told] = (cos[np.arange(hi - lo), top] - cos[np.arange(hi - lo), own[lo:hi]])[told]
         cols = [batch.column(i) for i in range(len(keep))]
-        return pa.RecordBatch.from_arrays([*cols, pa.array([names[i] for i in best], pa.string()), pa.array(cosine)], names=[*keep, "lang_pred", "score"])
+        more = {"lang_pred": pa.array([names[i] for i in best], pa.string()), "score": pa.array(cosine)}
+        if declared:
+            more["margin"] = pa.array(margin, from_pandas=True)
+        return pa.RecordBatch.from_arrays([*cols, *more.values()], names=[*keep, *more])
 
-    return kept.mapInArrow(score, f"{out_fields}, lang_pred string, score double")
+    return kept.mapInArrow(score, f"{out_fields}, lang_pred string, score double" + ", margin double" * bool(declared))
