@@ -4,7 +4,8 @@ Documents become token pieces of at most CAPACITY tokens. Pieces are dealt to gr
 size; each group is packed by best-fit decreasing, and lower bounds from dual-feasible functions
 certify its number of bins. Groups whose number exceeds the bound release their loosest bins;
 the released bins' documents are dealt anew, whole bins together, and packed again, which is
-kept where it takes fewer bins.
+kept where it takes fewer bins. This goes on while a round saves bins; certified() tells what
+remains above the bound of all pieces.
 
 Null and empty texts are one piece with the end id alone; equal rows are packed as separate
 pieces; an empty table gives an empty result.
@@ -27,7 +28,8 @@ from tesserae.llm.common import materialize
 CAPACITY = 1024
 END_ID = 2
 GROUP = 1 << 16
-ROUNDS = 3
+#: Sequence ids have seven bits for the round.
+ROUNDS = 127
 #: White space characters in a row that tiktoken is given at most; it fails at about a million.
 LONG_RUN = 100_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -151,10 +153,9 @@ def packer(round_no: int, last: bool, capacity: int):
             kinds, bins = np.unique(old, return_inverse=True)
             offsets, ids = group.column("offset").to_numpy(), old
             free = capacity - np.bincount(bins, weights=lengths).astype(np.int64)
-            gap = 0
         else:
             ids = (round_no << 56 | key[0].as_py() << 24) + bins
-            gap = len(free) - lower_bound(np.bincount(lengths, minlength=capacity + 1))
+        gap = len(free) - lower_bound(np.bincount(lengths, minlength=capacity + 1))
         loose = np.zeros(len(free), bool)
         if gap > 0 and not last:
             share = max(256, len(free) // 4)
@@ -171,17 +172,30 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS)
     spark = cut_pieces.sparkSession
     todo = materialize(cut_pieces, "pieces").withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long")).withColumn("loose", F.lit(True))
     done: list[DataFrame] = []
+    bins = F.count(F.when(F.col("offset") == 0, 1))  # each has one piece at its start
     for k in range(rounds):
-        n = todo.count()
+        n, before = todo.agg(F.count(F.lit(1)), bins).first()
         groups = max(1, -(-n // GROUP))
         last = k == rounds - 1 or (k > 0 and groups == 1)
-        dealt = todo.withColumn("lot", F.pmod(F.xxhash64("sequence_id"), F.lit(groups)))
+        dealt = todo.withColumn("lot", F.pmod(F.xxhash64("sequence_id", F.lit(k)), F.lit(groups)))
         packed = materialize(dealt.groupBy("lot").applyInArrow(packer(k, last, capacity), PACKED), f"packed-{k}")
+        if last or (k > 0 and packed.agg(bins).first()[0] >= before):
+            done.append(packed.drop("loose"))
+            break
         done.append(packed.where("not loose").drop("loose"))
         todo = packed.where("loose")
-        if last or todo.isEmpty():
+        if todo.isEmpty():
             break
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
     return out
+
+
+def certified(packed: DataFrame, capacity: int = CAPACITY) -> tuple[int, int]:
+    """The number of sequences, and the number that any packing of all their pieces needs."""
+    rows = packed.groupBy("length").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("offset") == 0, 1)).alias("bins")).collect()
+    counts = np.zeros(capacity + 1, np.int64)
+    for r in rows:
+        counts[r["length"]] = r["n"]
+    return sum(r["bins"] for r in rows), lower_bound(counts)
