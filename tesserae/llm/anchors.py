@@ -6,29 +6,36 @@ Equal windows have equal anchors at equal places, so only runs whose anchor hash
 anywhere can hold a repeated window, and only strings under one anchor hash need comparing.
 
 Documents are dealt to chunks by id, once; all steps below read that one exchange.
-1. Chunks send their distinct anchor hashes, with their numbers of distinct strings, to buckets,
-   which answer two bits each: met again, and with how many strings?
-2. Runs under an anchor with very many strings (the edges of a passage that stands in many
-   contexts) are split into single windows, which need no comparing beyond their hashes. Chunks send the distinct strings of the runs that are left, each with its first place (least
-   doc_id, then start), to the buckets, where a solver finds the repeated windows.
+1. Chunks send their distinct anchor hashes, with a sketch of the distinct strings under each, to
+   buckets, which answer two bits each: met again, and by very many different strings?
+2. Under an anchor of the second kind (near the edges of a passage that stands in very many
+   contexts) no task could hold all strings. Such runs are taken window by window: a window is a
+   string of exactly the threshold length, for which comparing is equality, and has a key of its
+   own, by which those anchors spread over all buckets. The sketches are merged, so the same
+   string in many chunks counts once, however large the corpus is. Chunks send the distinct
+   strings of the runs that are left, each with its first place (least doc_id, then start), to
+   the buckets, where a solver finds the repeated windows.
 3. Chunks get a bit mask of windows for each string, and apply it to their whole documents.
 A passage that many documents share is one entry a chunk, whatever its count.
+
+Strings are equal if their 128-bit keys (two lanes, see textblocks) are; anchors, which only say
+what is to be compared, are 64-bit hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tesserae.llm.common import chunks_for, text_bytes
-from tesserae.llm.textblocks import Block, blocks, prefix_hash, sequence_prefix, span_hash, values, window_hash, words
+from tesserae.llm.textblocks import Block, Words, blocks, lane_prefix, lane_span, prefix_hash, rank_pairs, sequence_prefix, values, window_hash, words
 
-#: Bits of a packed minimum that hold its place; a document has fewer symbols than that.
-PLACE = np.uint64((1 << 28) - 1)
+#: Bits of a packed minimum that hold its place in a segment of a text.
+PLACE = np.uint64((1 << 22) - 1)
 BUCKET_BYTES = 4 << 20
 
 
@@ -38,10 +45,12 @@ class Scheme:
 
     length: int
     words: bool
-    #: Distinct strings under one anchor from which its runs are split into windows.
-    crowded: int = 512
+    #: Different strings under one anchor, as estimated, from which its runs are taken window by window.
+    crowded: int = 4096
     #: Bytes of strings that a solver compares at a time.
     solve_bytes: int = 1 << 19
+    #: Windows whose anchors are found at a time; at most as many as PLACE tells apart, less a span.
+    segment: int = 1 << 21
 
     @property
     def span(self) -> int:
@@ -56,63 +65,97 @@ class Scheme:
 @dataclass
 class Symbols:
     block: Block
-    prefix: np.ndarray  # hash prefix over symbols
     bounds: np.ndarray  # (documents, 2): first symbol, and the one after the last
-    starts: np.ndarray | None  # of words
-    ends: np.ndarray | None
+    words: Words | None
+    lanes: list[np.ndarray]  # prefixes over the bytes
+
+    def keys(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """128-bit keys of the spans [first, last) of symbols."""
+        if self.words:
+            return self.words.spans(first, last, 0), self.words.spans(first, last, 1)
+        self.lanes = self.lanes or [lane_prefix(self.block.data, k) for k in (0, 1)]
+        return lane_span(self.lanes[0], first, last, 0), lane_span(self.lanes[1], first, last, 1)
+
+    def forget(self) -> None:
+        """Gives the prefixes back."""
+        self.lanes = []
+        if self.words:
+            self.words.lanes = {}
 
     def strings(self, first: np.ndarray, last: np.ndarray) -> list[bytes]:
         """Bytes of each span of symbols; words joined by a space."""
-        if self.starts is None:
+        if not self.words:
             raw = self.block.data.tobytes()
             return [raw[a:b] for a, b in zip(first.tolist(), last.tolist())]
-        raw = self.block.data.tobytes()
-        each = [raw[a:b] for a, b in zip(self.starts.tolist(), self.ends.tolist())]
-        return [b" ".join(each[a:b]) for a, b in zip(first.tolist(), last.tolist())]
+        w, end = self.words, last - 1
+        raw = w.data.tobytes()
+        return [raw[a:b] for a, b in zip(w.at[first].tolist(), (w.at[end] + w.ends[end] - w.starts[end]).tolist())]
+
+    @property
+    def count(self) -> int:
+        return int(self.bounds[-1, 1]) + 1
 
 
 def symbols(block: Block, scheme: Scheme) -> Symbols:
     if not scheme.words:
-        return Symbols(block, prefix_hash(block.data), np.stack((block.starts, block.ends), axis=1), None, None)
+        return Symbols(block, np.stack((block.starts, block.ends), axis=1), None, [])
     w = words(block, fold=False)
-    return Symbols(block, sequence_prefix(w.hashes), np.stack((w.bounds[:-1], w.bounds[1:]), axis=1), w.starts, w.ends)
+    return Symbols(block, np.stack((w.bounds[:-1], w.bounds[1:]), axis=1), w, [])
 
 
 @dataclass
 class Runs:
     key: np.ndarray  # anchor hash
     hash: np.ndarray  # of the string
+    check: np.ndarray  # of the string, too
     start: np.ndarray  # first window, as a symbol of the block
     count: np.ndarray  # windows
     doc: np.ndarray  # row of the block
 
+    def take(self, at: np.ndarray) -> Runs:
+        return Runs(*(getattr(self, f.name)[at] for f in fields(self)))
+
+    @staticmethod
+    def join(parts: list[Runs]) -> Runs:
+        return Runs(*(np.concatenate([getattr(r, f.name) for r in parts]) for f in fields(Runs)))
+
+
+def anchors(hashes: np.ndarray, scheme: Scheme) -> np.ndarray:
+    """Place of the leftmost gram of least hash in every window, window by window."""
+    span, out = scheme.span, []
+    for lo in range(0, len(hashes) - span + 1, scheme.segment):
+        part = hashes[lo : lo + scheme.segment + span - 1]
+        low = (part & ~PLACE) | np.arange(len(part), dtype=np.uint64)
+        size = 1
+        while 2 * size <= span:
+            low = np.minimum(low[:-size], low[size:])
+            size *= 2
+        if size < span:
+            low = np.minimum(low[: len(low) - span + size], low[span - size :])
+        out.append((low & PLACE).astype(np.int64) + lo)
+    return np.concatenate(out)
+
 
 def runs(s: Symbols, scheme: Scheme) -> Runs:
     length, span = scheme.length, scheme.span
-    hashes = window_hash(s.prefix, scheme.gram)
+    hashes = window_hash(sequence_prefix(s.words.each()) if s.words else prefix_hash(s.block.data), scheme.gram)
     if len(hashes) < span:
         none = np.zeros(0, np.int64)
-        return Runs(none.view(np.uint64), none.view(np.uint64), none, none, none)
-    low = (hashes & ~PLACE) | np.arange(len(hashes), dtype=np.uint64)
-    size = 1
-    while 2 * size <= span:
-        low = np.minimum(low[:-size], low[size:])
-        size *= 2
-    if size < span:
-        low = np.minimum(low[: len(low) - span + size], low[span - size :])
-    inside = np.zeros(len(low) + 1, np.int8)  # windows that lie in one document
+        return Runs(none.view(np.uint64), none.view(np.uint64), none.view(np.uint64), none, none, none)
+    every = anchors(hashes, scheme)
+    inside = np.zeros(len(every) + 1, np.int8)  # windows that lie in one document
     full = s.bounds[:, 1] - s.bounds[:, 0] >= length
     inside[s.bounds[full, 0]] = 1
     np.add.at(inside, s.bounds[full, 1] - length + 1, -1)
     window = np.flatnonzero(np.cumsum(inside[:-1], dtype=np.int8))
-    place = (low[window] & PLACE).astype(np.int64)
+    place = every[window]
     new = np.ones(len(window), bool)
     new[1:] = (place[1:] != place[:-1]) | (window[1:] != window[:-1] + 1)
     doc = np.searchsorted(s.bounds[:, 0], window, "right") - 1
     new[1:] |= doc[1:] != doc[:-1]
     at = np.flatnonzero(new)
     start, count = window[at], np.diff(np.append(at, len(window)))
-    return Runs(hashes[place[at]], span_hash(s.prefix, start, start + count + length - 1), start, count, doc[at])
+    return Runs(hashes[place[at]], *s.keys(start, start + count + length - 1), start, count, doc[at])
 
 
 @dataclass
@@ -131,10 +174,10 @@ def read_chunk(group: pa.Table, scheme: Scheme) -> Chunk:
     ids = group.column("doc_id").combine_chunks()
     some = [symbols(b, scheme) for b in blocks(values(group.column("text")))]
     each = [runs(s, scheme) for s in some]
-    joined = Runs(*(np.concatenate([getattr(r, f) for r in each]) for f in ("key", "hash", "start", "count", "doc")))
+    joined = Runs.join(each)
     order = np.asarray(ids.fill_null((1 << 63) - 1), np.int64)  # nulls sort last
     for s in some:  # prefixes are long and not needed again
-        s.prefix = np.zeros(0, np.uint64)
+        s.forget()
     return Chunk(group.drop_columns(["chunk"]), order, some, joined, np.repeat(np.arange(len(each)), [len(r.key) for r in each]))
 
 
@@ -158,18 +201,29 @@ def table(names: str, rows: list[tuple]) -> pa.Table:
 
 
 def distinct_keys(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hashes, whether they occur again in the chunk, and their numbers of distinct strings."""
-    keys, counts = np.unique(c.runs.key, return_counts=True)
-    _, first = np.unique(c.runs.hash, return_index=True)
-    of = np.searchsorted(keys, c.runs.key[first])
-    return keys, counts > 1, np.bincount(of, minlength=len(keys))
+    """Anchor hashes, whether they occur again in the chunk, and sketches of their distinct strings.
+
+    A sketch has a bit for the number of trailing zeros of every string's hash; sketches of the
+    same strings are the same, and those of a union are joined by or.
+    """
+    order = np.argsort(c.runs.key, kind="stable")
+    key = c.runs.key[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    low = c.runs.hash[order] & np.uint64(0x7FFFFFFF) | np.uint64(1 << 31)
+    bit = (low & (~low + np.uint64(1))).astype(np.uint32)
+    sketch = np.bitwise_or.reduceat(bit, first) if len(key) else bit
+    return key[first], np.diff(np.append(first, len(key))) > 1, sketch
+
+
+def estimate(sketch: np.ndarray) -> np.ndarray:
+    """How many distinct strings made each sketch, about: 2 to the power of the lowest unset bit, over 0.77351."""
+    return ((~sketch & (sketch + np.uint32(1))).astype(np.float64)) / 0.77351
 
 
 def ask(scheme: Scheme, n_buckets: int) -> Callable:
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        keys, again, strings = distinct_keys(read_chunk(group, scheme))
-        strings = np.minimum(strings, 0xFFFF).astype(np.uint16)
-        rows = [(key[0].as_py(), b, keys[at].tobytes(), np.packbits(again[at]).tobytes(), pa.compress(strings[at].tobytes(), codec="zstd", asbytes=True)) for b, at in by_bucket(keys, n_buckets)]
+        keys, again, sketch = distinct_keys(read_chunk(group, scheme))
+        rows = [(key[0].as_py(), b, keys[at].tobytes(), np.packbits(again[at]).tobytes(), pa.compress(sketch[at].tobytes(), codec="zstd", asbytes=True)) for b, at in by_bucket(keys, n_buckets)]
         return table("chunk bucket keys again strings", rows)
 
     return run
@@ -179,46 +233,46 @@ def answer(scheme: Scheme) -> Callable:
     def run(key: tuple, group: pa.Table) -> pa.Table:
         keys = [np.frombuffer(k, np.uint64) for k in group.column("keys").to_pylist()]
         again = [np.unpackbits(np.frombuffer(a, np.uint8), count=len(k)) for a, k in zip(group.column("again").to_pylist(), keys)]
-        strings = [np.frombuffer(pa.decompress(n, 2 * len(k), codec="zstd"), np.uint16) for n, k in zip(group.column("strings").to_pylist(), keys)]
+        sketch = [np.frombuffer(pa.decompress(n, 4 * len(k), codec="zstd"), np.uint32) for n, k in zip(group.column("strings").to_pylist(), keys)]
         every, at = np.unique(np.concatenate(keys), return_inverse=True)
-        met = np.bincount(at, weights=1 + np.concatenate(again)) > 1
-        crowded = np.bincount(at, weights=np.concatenate(strings)) > scheme.crowded
+        met, merged = np.zeros(len(every), np.int64), np.zeros(len(every), np.uint32)
+        cuts = np.cumsum([len(k) for k in keys])[:-1]
+        for a, k, w in zip(again, sketch, np.split(at, cuts)):  # a chunk names a key once
+            met[w] += 1 + a.astype(np.int64)
+            merged[w] |= k
+        met, crowded = met > 1, estimate(merged) > scheme.crowded
         rows = []
-        for chunk, w in zip(group.column("chunk").to_pylist(), np.split(at, np.cumsum([len(k) for k in keys])[:-1])):
+        for chunk, w in zip(group.column("chunk").to_pylist(), np.split(at, cuts)):
             rows.append((chunk, key[0].as_py(), np.packbits(met[w]).tobytes(), np.packbits(crowded[w]).tobytes()))
         return table("chunk bucket met crowded", rows)
 
     return run
 
 
-def prefix_of(s: Symbols, scheme: Scheme) -> np.ndarray:
-    return symbols(s.block, scheme).prefix
-
-
 def split_crowded(c: Chunk, crowded: np.ndarray, scheme: Scheme) -> Chunk:
-    """The chunk with runs under a crowded anchor (sorted hashes) as single windows, keyed by their own hash."""
+    """The chunk with runs under a crowded anchor (sorted hashes) as single windows, keyed by themselves."""
     if not len(crowded):
         return c
     r = c.runs
     at = np.minimum(np.searchsorted(crowded, r.key), len(crowded) - 1)
     split = crowded[at] == r.key
-    parts, blocks_of = [Runs(*(getattr(r, f)[~split] for f in ("key", "hash", "start", "count", "doc")))], [c.block[~split]]
+    parts, blocks_of = [r.take(~split)], [c.block[~split]]
     for b, s in enumerate(c.symbols):
         of = np.flatnonzero(split & (c.block == b))
         if len(of):
             n = r.count[of]
             start = np.repeat(r.start[of] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            hashes = span_hash(prefix_of(s, scheme), start, start + scheme.length)
-            parts.append(Runs(hashes, hashes, start, np.ones(len(start), np.int64), np.repeat(r.doc[of], n)))
+            hashes, check = s.keys(start, start + scheme.length)
+            s.forget()
+            parts.append(Runs(hashes, hashes, check, start, np.ones(len(start), np.int64), np.repeat(r.doc[of], n)))
             blocks_of.append(np.full(len(start), b))
-    joined = [np.concatenate([getattr(x, f) for x in parts]) for f in ("key", "hash", "start", "count", "doc")]
-    block = np.concatenate(blocks_of)
-    order = np.lexsort((joined[2], block))
-    return Chunk(c.rows, c.order, c.symbols, Runs(*(a[order] for a in joined)), block[order])
+    joined, block = Runs.join(parts), np.concatenate(blocks_of)
+    order = np.lexsort((joined.start, block))
+    return Chunk(c.rows, c.order, c.symbols, joined.take(order), block[order])
 
 
-#: What a chunk sends of each distinct string: anchor and string hashes, first place, windows, whether it occurs again in the chunk, bytes.
-STRING = np.dtype([("key", "<u8"), ("hash", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("bytes", "<i4"), ("count", "<u1"), ("again", "?")])
+#: What a chunk sends of each distinct string: anchor hash and string key, first place, windows, whether it occurs again in the chunk, bytes.
+STRING = np.dtype([("key", "<u8"), ("hash", "<u8"), ("check", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("bytes", "<i4"), ("count", "<u1"), ("again", "?")])
 
 
 def send(scheme: Scheme, n_buckets: int) -> Callable:
@@ -231,23 +285,22 @@ def send(scheme: Scheme, n_buckets: int) -> Callable:
             met[at] = np.unpackbits(np.frombuffer(raw, np.uint8), count=len(at)).astype(bool)
             crowded[at] = np.unpackbits(np.frombuffer(more, np.uint8), count=len(at)).astype(bool)
         left = np.isin(c.runs.key, keys[met], kind="sort")
-        c = Chunk(c.rows, c.order, c.symbols, Runs(*(getattr(c.runs, f)[left] for f in ("key", "hash", "start", "count", "doc"))), c.block[left])
+        c = Chunk(c.rows, c.order, c.symbols, c.runs.take(left), c.block[left])
         c = split_crowded(c, keys[crowded], scheme)
-        left = np.arange(len(c.runs.key))
-        _, first, n = np.unique(c.runs.hash[left], return_index=True, return_counts=True)
+        first, _, n = rank_pairs(c.runs.hash, c.runs.check)
         back = np.argsort(first)
-        first, n = left[first[back]], n[back]
+        first, n = first[back], n[back]
         texts: list[bytes] = []
         origin = np.zeros(len(first), np.int64)
         for b, s in enumerate(c.symbols):
             of = first[c.block[first] == b]
             if len(of):
-                plain = c.runs.key[of] != c.runs.hash[of]  # single windows are known by their hash
+                plain = c.runs.key[of] != c.runs.hash[of]  # single windows are known by their key
                 some = iter(s.strings(c.runs.start[of[plain]], c.runs.start[of[plain]] + c.runs.count[of[plain]] + scheme.length - 1))
                 texts += [next(some) if p else b"" for p in plain.tolist()]
                 origin[len(texts) - len(of) : len(texts)] = s.bounds[c.runs.doc[of], 0]
         rows = np.zeros(len(first), STRING)
-        rows["key"], rows["hash"], rows["count"], rows["again"] = c.runs.key[first], c.runs.hash[first], c.runs.count[first], n > 1
+        rows["key"], rows["hash"], rows["check"], rows["count"], rows["again"] = c.runs.key[first], c.runs.hash[first], c.runs.check[first], c.runs.count[first], n > 1
         lo = np.array([s.block.lo for s in c.symbols], np.int64)
         rows["doc"] = c.order[lo[c.block[first]] + c.runs.doc[first]] if len(first) else 0
         rows["start"] = c.runs.start[first] - origin
@@ -299,14 +352,13 @@ def solve(scheme: Scheme, solver: Callable[[Strings], np.ndarray], first_stays:
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         if key[0].as_py() < 0:
-            return table("chunk hashes masks", list(zip(group.column("chunk").to_pylist(), group.column("rows").to_pylist(), [None] * group.num_rows)))
+            return table("chunk keys masks", list(zip(group.column("chunk").to_pylist(), group.column("rows").to_pylist(), [None] * group.num_rows)))
         parts = [np.frombuffer(r, STRING) for r in group.column("rows").to_pylist()]
         rows = np.concatenate(parts)
-        order = np.lexsort((rows["start"], rows["doc"], rows["hash"]))
+        _, string, _ = rank_pairs(rows["hash"], rows["check"])
+        order = np.lexsort((rows["start"], rows["doc"], string))
         new = np.ones(len(rows), bool)
-        new[1:] = rows["hash"][order][1:] != rows["hash"][order][:-1]
-        string = np.zeros(len(rows), np.int64)
-        string[order] = np.cumsum(new) - 1
+        new[1:] = string[order][1:] != string[order][:-1]
         lead = order[new]  # the first row of each string
         n = len(lead)
         again = np.bincount(string, weights=1 + rows["again"].astype(np.int64), minlength=n) > 1
@@ -334,9 +386,9 @@ def solve(scheme: Scheme, solver: Callable[[Strings], np.ndarray], first_stays:
             hit = here != 0
             if hit.any() or (first_stays and part["again"].any()):
                 hit |= part["again"] & first_stays
-                out.append((chunk, part["hash"][hit].tobytes(), pa.compress(here[hit].tobytes(), codec="zstd", asbytes=True)))
+                out.append((chunk, np.stack((part["hash"][hit], part["check"][hit])).tobytes(), pa.compress(here[hit].tobytes(), codec="zstd", asbytes=True)))
             at += len(part)
-        return table("chunk hashes masks", out)
+        return table("chunk keys masks", out)
 
     return run
 
@@ -344,29 +396,32 @@ def solve(scheme: Scheme, solver: Callable[[Strings], np.ndarray], first_stays:
 def removed(c: Chunk, answers: pa.Table, scheme: Scheme, first_stays: bool) -> list[np.ndarray]:
     """Of each block, which symbols a repeated window covers."""
     told = answers.column("masks").is_null().to_pylist()
-    crowded = [np.frombuffer(h, np.uint64) for h, t in zip(answers.column("hashes").to_pylist(), told) if t]
+    crowded = [np.frombuffer(h, np.uint64) for h, t in zip(answers.column("keys").to_pylist(), told) if t]
     if crowded:
         c = split_crowded(c, np.sort(np.concatenate(crowded)), scheme)
         answers = answers.filter(pa.array([not t for t in told]))
-    raw = answers.column("hashes").to_pylist()
-    hashes = np.concatenate([np.frombuffer(h, np.uint64) for h in raw]) if raw else np.zeros(0, np.uint64)
-    masks = [np.frombuffer(pa.decompress(m, len(h), codec="zstd"), np.uint64) for m, h in zip(answers.column("masks").to_pylist(), raw)]
-    order = np.argsort(hashes)
-    hashes = hashes[order]
-    mask = (np.concatenate(masks) if masks else np.zeros(0, np.uint64))[order]
+    keys = [np.frombuffer(k, np.uint64).reshape(2, -1) for k in answers.column("keys").to_pylist()]
+    masks = [np.frombuffer(pa.decompress(m, 8 * k.shape[1], codec="zstd"), np.uint64) for m, k in zip(answers.column("masks").to_pylist(), keys)]
     r = c.runs
-    at = np.minimum(np.searchsorted(hashes, r.hash), max(0, len(hashes) - 1))
-    hit = np.flatnonzero(hashes[at] == r.hash) if len(hashes) else np.zeros(0, np.int64)
-    mine = mask[at[hit]] if len(hit) else np.zeros(0, np.uint64)
+    near = np.isin(r.hash, np.concatenate([k[0] for k in keys]), kind="sort") if keys else np.zeros(len(r.hash), bool)
+    hit = np.flatnonzero(near)
+    _, number, counts = rank_pairs(*(np.concatenate((*(k[i] for k in keys), mine[hit])) for i, mine in enumerate((r.hash, r.check))))
+    n_told = len(number) - len(hit)
+    known, mask = np.zeros(len(counts), bool), np.zeros(len(counts), np.uint64)
+    known[number[:n_told]] = True
+    if masks:
+        mask[number[:n_told]] = np.concatenate(masks)
+    mine, number = mask[number[n_told:]], number[n_told:]
+    hit, mine, number = hit[known[number]], mine[known[number]], number[known[number]]
     if first_stays and len(hit):
-        _, first = np.unique(r.hash[hit], return_index=True)
+        _, first = np.unique(number, return_index=True)
         later = np.ones(len(hit), bool)
         later[first] = False
         full = np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - r.count[hit].astype(np.uint64))
         mine = np.where(later, full, mine)
     out = []
     for b, s in enumerate(c.symbols):
-        n = int(s.bounds[-1, 1]) + 1
+        n = s.count
         change = np.zeros(n + scheme.length + 1, np.int32)
         of = c.block[hit] == b
         start, bits = r.start[hit[of]], mine[of]
@@ -390,7 +445,7 @@ def repeated(docs: DataFrame, scheme: Scheme, solver: Callable[[Strings], np.nda
     asked = dealt.groupBy("chunk").applyInArrow(ask(scheme, n_buckets), "chunk int, bucket int, keys binary, again binary, strings binary")
     met = asked.groupBy("bucket").applyInArrow(answer(scheme), "chunk int, bucket int, met binary, crowded binary")
     sent = dealt.groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(send(scheme, n_buckets), "chunk int, bucket int, rows binary, body binary")
-    masks = sent.groupBy("bucket").applyInArrow(solve(scheme, solver, first_stays), "chunk int, hashes binary, masks binary")
+    masks = sent.groupBy("bucket").applyInArrow(solve(scheme, solver, first_stays), "chunk int, keys binary, masks binary")
 
     def apply(key: tuple, group: pa.Table, answers: pa.Table) -> pa.Table:
         c = read_chunk(group, scheme)

@@ -14,8 +14,10 @@ candidate link is lost, while groups of copies are never expanded into all pairs
 contracted by minimum labels and pointer jumping in tables.
 
 A text without words has an empty set and is linked with nothing. Null texts count as empty.
-Shorter texts are one shingle. Rows that repeat a doc_id are repeated in the result. Null ids
-join no group.
+Shorter texts are one shingle. Every row is a document of its own: sets belong to classes of
+equal content, not to ids, so rows that repeat a doc_id are repeated in the result, each with the
+links of its own text. Null ids join no group. Very long texts cost memory in proportion to one
+text. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -45,6 +47,8 @@ class Settings:
     permutations: int = 4
     hub_rounds: int = 3
     broadcast_ids: int = 1 << 20
+    #: Members of a hub that one task compares with it.
+    hub_share: int = 256
     seed: int = 1
 
 
@@ -77,6 +81,14 @@ def signer(s: Settings):
     return sign
 
 
+def set_keys(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Two 64-bit sums over the shingles of each set, which tell sets apart."""
+    sums = np.zeros((2, len(hashes) + 1), np.uint64)
+    np.cumsum(mix(hashes), out=sums[0, 1:])
+    np.cumsum(mix(hashes ^ np.uint64(0xA5A5A5A55A5A5A5A)), out=sums[1, 1:])
+    return (sums[:, bounds[1:]] - sums[:, bounds[:-1]]).view(np.int64)
+
+
 def signatures(docs: DataFrame, s: Settings) -> DataFrame:
     """(doc_id, n_shingles, k1, k2, keys): set size, a 128-bit key of the set, and its band keys."""
 
@@ -85,10 +97,7 @@ def signatures(docs: DataFrame, s: Settings) -> DataFrame:
         for batch in batches:
             for b in blocks(values(batch.column("text"))):
                 hashes, bounds = distinct(*shingles(words(b, fold=True), s.width), len(b.starts))
-                sums = np.zeros((2, len(hashes) + 1), np.uint64)
-                np.cumsum(mix(hashes), out=sums[0, 1:])
-                np.cumsum(mix(hashes ^ np.uint64(0xA5A5A5A55A5A5A5A)), out=sums[1, 1:])
-                k1, k2 = (sums[:, bounds[1:]] - sums[:, bounds[:-1]]).view(np.int64)
+                k1, k2 = set_keys(hashes, bounds)
                 keys = sign(hashes, bounds)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * s.bands), pa.array(keys.reshape(-1)))
                 ids = batch.column("doc_id").slice(b.lo, len(b.starts))
@@ -97,23 +106,28 @@ def signatures(docs: DataFrame, s: Settings) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, keys array<bigint>")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, s: Settings) -> DataFrame:
-    """(rep, hashes) of the documents whose id is in ids (rep); one row an id.
+def full_sets(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
+    """(rep, hashes) of the classes wanted (rep, first_id, k1, k2), each from a document of its own.
 
-    Few ids go to all tasks, after a count; more are met by a shuffle.
+    Few classes go to all tasks, after a count; more are met by a shuffle.
     """
-    few = ids.count() <= s.broadcast_ids
-    wanted = F.broadcast(ids) if few else ids.hint("shuffle_hash")
+    few = wanted.count() <= s.broadcast_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            told = [batch.column(k).to_numpy() for k in ("k1", "k2")]
             for b in blocks(values(batch.column("text"))):
                 hashes, bounds = distinct(*shingles(words(b, fold=True), s.width), len(b.starts))
+                of = slice(b.lo, b.lo + len(b.starts))
+                # an id may stand in rows of other classes, too
+                own = (set_keys(hashes, bounds) == np.stack([k[of] for k in told])).all(axis=0)
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(hashes.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("rep").slice(b.lo, len(b.starts)), lists], names=["rep", "hashes"])
+                found = pa.RecordBatch.from_arrays([batch.column("rep").slice(b.lo, len(b.starts)), lists], names=["rep", "hashes"])
+                yield found.filter(pa.array(own))
 
-    found = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep", "left_semi")
-    return found.mapInArrow(run, "rep bigint, hashes array<bigint>")
+    keyed = F.broadcast(wanted) if few else wanted.hint("shuffle_hash")
+    found = docs.select(F.col("doc_id").alias("first_id"), "text").join(keyed, "first_id")
+    return found.select("rep", "k1", "k2", "text").mapInArrow(run, "rep bigint, hashes array<bigint>")
 
 
 def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -162,15 +176,17 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of docs (doc_id, text)."""
     signed = materialize(signatures(docs, s), "signatures")
     real = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = real.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
-    classes = materialize(classes, "classes")
+    classes = real.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"))
+    classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     banded = classes.select("rep", "n_shingles", F.explode("keys").alias("key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     members = materialize(banded.join(shared, "key"), "members")
     ids = members.select("rep").distinct()
     labels = ids.select("rep", F.col("rep").alias("comp"))
     if not members.isEmpty():
-        sets = materialize(full_sets(docs.dropDuplicates(["doc_id"]) if repeats(docs) else docs, ids, s), "sets")
+        wanted = materialize(classes.select("rep", "first_id", "k1", "k2").join(ids, "rep"), "wanted")
+        found = full_sets(docs, wanted, s)
+        sets = materialize(found.dropDuplicates(["rep"]) if repeats(docs) else found, "sets")
         members = materialize(members.join(common_counts(sets), "rep"), "counted")
         labels = materialize(labels, "labels")
         for k in range(s.hub_rounds + 2):
@@ -179,9 +195,13 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
             if not pairs.isEmpty():
                 some = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
                 labels = components(labels, confirmed(pairs, sets.join(some, "rep", "left_semi"), s.percent))
-    groups = classes.drop("keys").join(labels, "rep", "left").select("k1", "k2", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))
+    least = classes.join(labels, "rep").groupBy("comp").agg(F.min("first_id").alias("least"))
+    groups = classes.drop("keys").join(labels.join(least, "comp"), "rep", "left")
+    groups = groups.select("k1", "k2", "n_shingles", F.coalesce("least", "first_id").alias("component_id"))
     out = signed.drop("keys").join(groups, ["k1", "k2", "n_shingles"], "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    linked = F.col("n_shingles") > 0
+    out = out.select("doc_id", "n_shingles", F.when(linked & F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def common_counts(sets: DataFrame) -> DataFrame:
@@ -224,8 +244,12 @@ def hub_pairs(here: DataFrame, k: int, s: Settings) -> DataFrame:
     return votes.drop("n")
 
 
-def against_hubs(near: DataFrame, sets: DataFrame) -> DataFrame:
-    """near (hub, rep, comp, n, u) with c, the shingles in the hub's set, too, and the others."""
+def against_hubs(near: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """near (hub, rep, comp, n, u) with c, the shingles in the hub's set, too, and the others.
+
+    A hub's members are dealt to parts of about s.hub_share, each of which gets a copy of the
+    hub's set. The numbers of parts go to all tasks where they are few, after a count.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,8 +263,12 @@ def against_hubs(near: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*base.columns, pa.array(counts, pa.int64()), pa.array(outside, pa.list_(pa.int64()))], names=[*base.schema.names, "c", "outside"])
 
     left = sets.select("rep", F.col("hashes").alias("x"))
-    right = sets.select(F.col("rep").alias("hub"), F.col("hashes").alias("y"))
-    met = near.join(left, "rep").join(right, "hub").select("hub", "rep", "comp", "n", "u", "x", "y")
+    parts = materialize(near.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / s.hub_share).cast("int").alias("parts")), "parts")
+    keyed = F.broadcast(parts) if parts.count() <= s.broadcast_ids else parts
+    right = sets.select(F.col("rep").alias("hub"), F.col("hashes").alias("y")).join(keyed, "hub")
+    right = right.select("hub", "y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    dealt = near.join(keyed, "hub").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    met = dealt.join(left, "rep").join(right, ["hub", "part"]).select("hub", "rep", "comp", "n", "u", "x", "y")
     return met.mapInArrow(run, "hub bigint, rep bigint, comp bigint, n bigint, u bigint, c bigint, outside array<bigint>")
 
 
@@ -249,7 +277,7 @@ def all_pairs(here: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     near = here.groupBy(F.col("hub.rep").alias("hub"), "rep", "comp").agg(F.first("n_shingles").alias("n"), F.first("u").cast("long").alias("u"))
     near = materialize(near, "near")
     some = near.select("rep").union(near.select("hub")).distinct()
-    told = materialize(against_hubs(near, sets.join(some, "rep", "left_semi")), "told")
+    told = materialize(against_hubs(near, sets.join(some, "rep", "left_semi"), s), "told")
     mixed = lambda df, *key: df.groupBy(*key).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(*key)
     other = lambda df, *key: df.select(*key, *(F.col(f).alias(f"{f}2") for f in ("rep", "comp", "n", "u", "c")))
     whole, share = 100 + s.percent, s.percent

@@ -102,7 +102,7 @@ def digests(c: Chunk, gone: list[np.ndarray]) -> pa.Table:
     rows = []
     for s, g in zip(c.symbols, gone):
         raw = s.block.data.tobytes()
-        each = [raw[a:b] for a, b in zip(s.starts.tolist(), s.ends.tolist())]
+        each = [raw[a:b] for a, b in zip(s.words.starts.tolist(), s.words.ends.tolist())]
         for a, b in s.bounds.tolist():
             n = int(g[a:b].sum())
             kept = each[a:b] if not n else [each[i] for i in (np.flatnonzero(~g[a:b]) + a).tolist()]
@@ -125,7 +125,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             raw = s.block.data.tobytes()
             for a, b in s.bounds.tolist():
                 stay = (np.flatnonzero(~g[a:b]) + a).tolist()
-                kept.append(b" ".join([raw[s.starts[i] : s.ends[i]] for i in stay]).decode())
+                kept.append(b" ".join([raw[s.words.starts[i] : s.words.ends[i]] for i in stay]).decode())
                 counts.append(b - a - len(stay))
         return pa.table([c.rows.column("doc_id"), pa.array(kept, pa.string()), pa.array(counts, pa.int64())], names=["doc_id", "text", "n_removed"])
 

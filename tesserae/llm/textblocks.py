@@ -1,14 +1,16 @@
-"""Vectorised views of text columns: byte blocks, words and 64-bit polynomial hashes.
+"""Vectorised views of text columns: byte blocks, words and polynomial hashes.
 
 A block joins the UTF-8 bytes of several documents with line feeds, which no word spans, so
-that one numpy pass serves many documents. Hashes are sums of random per-byte values times
-powers of an odd base modulo 2**64, from which the hash of any span follows in constant time.
+that one numpy pass serves many documents. What decides equality are residues of polynomials
+over the field of 2**61 - 1 elements at fixed random points ("lanes"): two different strings of
+n bytes agree in a lane for n of the 2**61 points at most, in both lanes for n * n of 2**122.
+Grams that only choose places (anchors, features) are hashed modulo 2**64, which is cheaper.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
@@ -17,12 +19,19 @@ import pyarrow.compute as pc
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
+FIELD = (1 << 61) - 1
+#: The points at which the lanes evaluate.
+POINTS = (0x0B5297A4D3F1C68E, 0x15D4E8A36F09B27C)
+#: Symbols whose terms are added up before they are reduced.
+SEGMENT = 1 << 21
 _TABLE = np.random.default_rng(20240229).integers(0, 1 << 64, 256, dtype=np.uint64)
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 BLOCK = 1 << 19
+_P, _LOW31, _LOW30 = np.uint64(FIELD), np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+_30, _31, _61, _1 = np.uint64(30), np.uint64(31), np.uint64(61), np.uint64(1)
 
 
 @lru_cache(maxsize=4)
@@ -77,8 +86,70 @@ def blocks(rows: list[bytes], size: int = BLOCK) -> Iterator[Block]:
         lo = hi
 
 
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products in the field, below FIELD; a below 2**63, b below 2**61."""
+    a1, a0, b1, b0 = a >> _31, a & _LOW31, b >> _31, b & _LOW31
+    mid = a1 * b0
+    mid += a0 * b1
+    out = a1 * b1
+    out <<= _1
+    out += mid >> _30
+    out += (mid & _LOW30) << _31
+    out += a0 * b0
+    out = (out & _P) + (out >> _61)
+    out -= np.where(out >= _P, _P, np.uint64(0))
+    return out
+
+
+@lru_cache(maxsize=8)
+def field_powers(point: int, n: int) -> np.ndarray:
+    out = np.ones(n, np.uint64)
+    size = 1
+    while size < n:
+        out[size : 2 * size] = times(out[: min(size, n - size)], np.uint64(pow(point, size, FIELD)))
+        size *= 2
+    return out
+
+
+@lru_cache(maxsize=4)
+def split_powers(point: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    every = field_powers(point, n)
+    return every & _LOW31, every >> _31
+
+
+def at_least(n: int) -> int:
+    return 1 << max(20, int(n).bit_length())
+
+
+def lane_prefix(data: np.ndarray, lane: int) -> np.ndarray:
+    """p with p[j] - p[i] = sum of (data[k] + 1) * POINTS[lane]**k over i <= k < j, in the field."""
+    out = np.zeros(len(data) + 1, np.uint64)
+    low, high = split_powers(POINTS[lane], at_least(len(data)))
+    carry = np.uint64(0)
+    for lo in range(0, len(data), SEGMENT):
+        hi = min(len(data), lo + SEGMENT)
+        symbol = data[lo:hi].astype(np.uint64)
+        symbol += _1
+        top = np.cumsum(symbol * high[lo:hi], dtype=np.uint64)
+        top = (top & _P) + (top >> _61)
+        symbol *= low[lo:hi]
+        part = np.cumsum(symbol, dtype=np.uint64, out=symbol)
+        part = (part & _P) + (part >> _61) + (top >> _30) + ((top & _LOW30) << _31) + carry  # top * 2**31
+        part = (part & _P) + (part >> _61)
+        out[lo + 1 : hi + 1] = part
+        carry = part[-1]
+    return out
+
+
+def lane_span(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int) -> np.ndarray:
+    """Mixed residues of the spans [starts, ends): a function of their bytes alone."""
+    back = field_powers(pow(POINTS[lane], -1, FIELD), at_least(len(prefix)))
+    # prefixes are below FIELD + 8
+    return mix(times(prefix[ends] + _P + _P - prefix[starts], back[starts]))
+
+
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """h with h[j] - h[i] = sum of T[data[k]] * BASE**k over i <= k < j."""
+    """h with h[j] - h[i] = sum of T[data[k]] * BASE**k over i <= k < j, modulo 2**64; for places and features."""
     out = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_TABLE[data] * powers_to(BASE, len(data)), out=out[1:])
     return out
@@ -91,10 +162,24 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 @dataclass
 class Words:
-    hashes: np.ndarray  # uint64 of each word
-    starts: np.ndarray
+    starts: np.ndarray  # in the block
     ends: np.ndarray
     bounds: np.ndarray  # words of document i: bounds[i] to bounds[i + 1]
+    data: np.ndarray  # the words, each with one space after it
+    at: np.ndarray  # where each word starts in data
+    lanes: dict[int, np.ndarray] = field(default_factory=dict)
+
+    def spans(self, first: np.ndarray, last: np.ndarray, lane: int = 0) -> np.ndarray:
+        """Hashes of the word sequences [first, last), none of them empty: a function of the words alone."""
+        if lane not in self.lanes:
+            self.lanes[lane] = lane_prefix(self.data, lane)
+        end = last - 1
+        return lane_span(self.lanes[lane], self.at[first], self.at[end] + (self.ends[end] - self.starts[end]), lane)
+
+    def each(self, lane: int = 0) -> np.ndarray:
+        """A hash of every word."""
+        every = np.arange(len(self.starts))
+        return self.spans(every, every + 1, lane)
 
 
 def words(block: Block, fold: bool) -> Words:
@@ -105,13 +190,16 @@ def words(block: Block, fold: bool) -> Words:
     if len(data) and not gap[0]:
         edge = np.concatenate(([0], edge))
     starts, ends = edge[::2], edge[1::2]  # the block ends with a line feed
-    hashes = span_hash(prefix_hash(data), starts, ends)
     bounds = np.concatenate((np.searchsorted(starts, block.starts), [len(starts)]))
-    return Words(hashes, starts, ends, bounds)
+    kept = ~gap
+    kept[1:] |= ~gap[:-1]
+    data = np.where(gap, np.uint8(32), data)[kept]
+    after = np.cumsum(ends - starts + 1)
+    return Words(starts, ends, bounds, data, np.concatenate(([0], after[:-1])) if len(starts) else after)
 
 
 def sequence_prefix(symbols: np.ndarray) -> np.ndarray:
-    """Like prefix_hash, over 64-bit symbols."""
+    """Like prefix_hash, over 64-bit symbols; for places."""
     out = np.zeros(len(symbols) + 1, np.uint64)
     np.cumsum(mix(symbols) * powers_to(BASE, len(symbols)), out=out[1:])
     return out
@@ -128,17 +216,13 @@ def window_hash(prefix: np.ndarray, width: int) -> np.ndarray:
 def shingles(w: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingle hashes and the document of each: every run of width words, or all words of a shorter document."""
     counts = np.diff(w.bounds)
-    prefix = sequence_prefix(w.hashes)
     doc = np.repeat(np.arange(len(counts)), counts)
-    hashes = window_hash(prefix, width)
-    inside = doc[: len(hashes)] == doc[width - 1 :] if len(hashes) else np.zeros(0, bool)
+    full = np.flatnonzero(doc[: max(0, len(doc) - width + 1)] == doc[width - 1 :])
     short = np.flatnonzero((counts > 0) & (counts < width))
-    whole = span_hash(prefix, w.bounds[short], w.bounds[short + 1])
-    # a shorter sequence must not equal a full shingle: its length goes in
-    whole = mix(whole + np.uint64(1) + counts[short].astype(np.uint64))
-    all_hashes = np.concatenate((hashes[inside], whole))
-    all_docs = np.concatenate((doc[: len(hashes)][inside], short))
-    return all_hashes, all_docs
+    # a shorter sequence has fewer spaces than any shingle
+    first = np.concatenate((full, w.bounds[short]))
+    last = np.concatenate((full + width, w.bounds[short + 1]))
+    return w.spans(first, last), np.concatenate((doc[full], short))
 
 
 def distinct(hashes: np.ndarray, docs: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,3 +233,16 @@ def distinct(hashes: np.ndarray, docs: np.ndarray, n_docs: int) -> tuple[np.ndar
     keep[1:] = (hashes[1:] != hashes[:-1]) | (docs[1:] != docs[:-1])
     hashes, docs = hashes[keep], docs[keep]
     return hashes, np.searchsorted(docs, np.arange(n_docs + 1))
+
+
+def rank_pairs(h: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of 128-bit keys (h, check): the first place of each distinct one, the number of each row's key, and their counts."""
+    _, first, number, counts = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+    if (check[first][number] == check).all():
+        return first, number, counts
+    order = np.lexsort((check, h))  # stable, so the first place leads
+    new = np.ones(len(h), bool)
+    new[1:] = (h[order][1:] != h[order][:-1]) | (check[order][1:] != check[order][:-1])
+    number = np.empty(len(h), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number, np.bincount(number)

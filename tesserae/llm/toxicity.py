@@ -45,7 +45,7 @@ def features(block: Block) -> tuple[np.ndarray, np.ndarray]:
     counts = np.diff(w.bounds)
     doc = np.repeat(np.arange(len(counts)), counts)
     prefix = prefix_hash(_FOLD[block.data])
-    ids, docs = [w.hashes], [doc]
+    ids, docs = [w.each()], [doc]
     for stem in STEMS:
         long = np.flatnonzero(w.ends - w.starts > stem)
         ids.append(mix(span_hash(prefix, w.starts[long], w.starts[long] + stem) + np.uint64(stem)))

@@ -133,7 +133,7 @@ def test_a_passage_in_many_contexts(spark, module, brute):
     passage, other = prose(60), prose(50)
     rows = [(i, prose(40) + " " + (passage if i % 3 else passage[: 150 + i]) + " " + prose(30) + (" " + other if i % 7 == 0 else "")) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    for limits in ({}, {"crowded": 10, "solve_bytes": 1000}, {"crowded": 0}):
+    for limits in ({}, {"crowded": 10, "solve_bytes": 1000, "segment": 64}, {"crowded": 0}):
         got = collections.Counter(tuple(r) for r in module.removal_digests(docs, **limits).collect())
         assert got == collections.Counter(brute(rows))
 
