@@ -1,23 +1,30 @@
 """Language-model scoring by deleted interpolation.
 
-The model mixes maximum-likelihood estimates of the bigram, the unigram and a uniform
-distribution: p(w | h) = l2 c(h w) / c(h) + l1 c(w) / N + l0 / (V + 1), where the weights depend
-on the bucket (bit length) of c(h), and l2 is 0 for contexts never seen. The weights are learned
-by expectation-maximisation: counts of one part of the training documents give the estimates,
-and the pairs of the held-out rest are what they must explain. Final counts take both parts.
-
-Documents are dealt to chunks of bounded size. A chunk's distinct keys (64-bit hashes of words
-and of word pairs) go with their counts to key buckets, which add up the counts and answer each
-chunk in the order of its question; a frequent word is one entry a chunk. Chunk and answers then
-meet, and every document is scored from its whole text. The keys sent grow with the corpus.
-
-Null and empty texts are the end token alone. Equal texts get equal scores. With no training
-text, every word is unknown and all pairs are uniform.
+The model mixes maximum-likelihood estimates of the trigram, the bigram, the unigram and a
+uniform distribution: p(w | g h) = l3 c(g h w) / c(g h) + l2 c(h w) / c(h) + l1 c(w) / N +
+l0 / (V + 1). The weights depend on the bucket of the longest context that was seen: the bit
+length of c(g h), or where that is 0, of c(h); estimates of unseen contexts have weight 0. They
+are learned by expectation-maximisation: counts of one part of the training documents give the
+estimates, and the held-out rest is what they must explain. Final counts take both parts. With
+order 2, trigrams are left out.
+
+Documents are dealt to chunks of bounded size. A chunk's distinct words go, as 128-bit keys with
+their counts, to word buckets, which add the counts up and give every word a number. Pairs and
+triples are then exact numbers of words, not hashes: the chunk sends its distinct pairs, and under
+each the words that follow it, to the bucket of the pair, which answers the corpus counts in the
+order of the question. A frequent word or pair is one entry a chunk. Counts are 64-bit. What is
+sent grows with the corpus.
+
+Null and empty texts are the end token alone. Equal texts get equal scores; repeated rows are
+scored and counted as often as they occur. Rows without an id are scored like others (whether
+they are learned from is up to the condition). With no training text, every word is unknown and
+all tokens are uniform. An empty table gives an empty result. Other columns are ignored. Very
+long texts cost memory in proportion to one text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,238 +32,368 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tesserae.llm.common import chunks_for, materialize, text_bytes
-from tesserae.llm.textblocks import blocks, mix, values, words
+from tesserae.llm.textblocks import blocks, mix, rank_pairs, values, words
 
-END = np.uint64(0x0E0D)
-BEGIN = np.uint64(0xBE61)
-#: Buckets of context counts, by bit length.
-BUCKETS = 64
+#: Numbers of the sentinels; words have larger ones.
+BEGIN, END, FIRST = 0, 1, 2
+#: Weights are kept for so many buckets: bit lengths of c(g h), then 64 + bit lengths of c(h).
+BUCKETS = 128
 #: Steps of a halving of probability in the histogram from which the weights are learned.
 STEPS = 4
-#: Bytes of text whose keys one bucket adds up.
-BUCKET_BYTES = 6 << 20
+#: Bytes of text whose words, and whose pairs and triples, one bucket adds up.
+WORD_BYTES, GRAM_BYTES = 32 << 20, 6 << 20
 
 FIT, DEV, OTHER = 0, 1, 2
 
+QUESTIONS = "chunk int, kind int, bucket int, a binary, b binary, n binary, more binary, c binary, m binary"
+ANSWERS = "chunk int, kind int, level int, bucket int, number binary, train binary, fit binary, train3 binary, fit3 binary, n_train bigint, n_fit bigint, kinds bigint"
+SCORES = "doc_id bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+
+
+def squeeze(a: np.ndarray) -> bytes:
+    """Non-negative 64-bit integers, byte plane by byte plane, compressed."""
+    a = np.ascontiguousarray(a, "<i8")
+    width = max(1, -(-int(a.max()).bit_length() // 8)) if len(a) else 1
+    planes = np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + len(a).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def expand(raw: bytes) -> np.ndarray:
+    width, n = raw[0], int.from_bytes(raw[1:9], "little")
+    planes = np.frombuffer(pa.decompress(raw[9:], width * n, codec="zstd"), np.uint8).reshape(width, n)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<i8").reshape(-1)
+
+
+def tabled(schema: str, rows: list[tuple]) -> pa.Table:
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = list(zip(*rows)) or [[]] * len(fields)
+    return pa.table([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], names=[f for f, _ in fields])
+
+
+def dense(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, int]:
+    """A number for every distinct (x, y), and how many there are."""
+    bits = int(y.max()).bit_length() if len(y) else 0
+    if len(x) and int(x.max()).bit_length() + bits <= 63:
+        kinds, number = np.unique(x << bits | y, return_inverse=True)
+        return number, len(kinds)
+    order = np.lexsort((y, x))
+    new = np.ones(len(x), bool)
+    new[1:] = (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1])
+    number = np.empty(len(x), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return number, int(new.sum())
+
+
+def by_bucket(bucket: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    order = np.argsort(bucket, kind="stable")
+    used, cuts = np.unique(bucket[order], return_index=True)
+    return list(zip(used.tolist(), np.split(order, cuts[1:]))) if len(used) else []
+
 
 @dataclass
-class Tokens:
-    """Of a block: unigram and pair keys of each token (words and ends), and its document."""
+class Words:
+    """Of a chunk: its distinct words, and which of them each token is (-1 for an end)."""
 
-    unigram: np.ndarray
-    context: np.ndarray
-    pair: np.ndarray
+    h: np.ndarray
+    check: np.ndarray
+    counts: np.ndarray
+    token: np.ndarray
     doc: np.ndarray
     n_docs: int
 
+    def buckets(self, n: int) -> list[tuple[int, np.ndarray]]:
+        return by_bucket(((self.h >> np.uint64(33)) % np.uint64(n)).astype(np.int64))
 
-def unigram_keys(symbols: np.ndarray) -> np.ndarray:
-    return mix(symbols ^ np.uint64(0x51ED270B)) & ~np.uint64(1)
 
+def read_words(texts: list[bytes]) -> Words:
+    h, check, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for b in blocks(texts):
+        w = words(b, fold=True)
+        h.append(w.each(0))
+        check.append(w.each(1))
+        sizes.append(np.diff(w.bounds))
+    h, check, sizes = np.concatenate(h), np.concatenate(check), np.concatenate(sizes)
+    first, number, counts = rank_pairs(h, check)
+    token = np.full(len(h) + len(texts), -1, np.int64)
+    is_word = np.ones(len(token), bool)
+    is_word[np.cumsum(sizes + 1) - 1] = False
+    token[is_word] = number
+    return Words(h[first], check[first], counts, token, np.repeat(np.arange(len(texts)), sizes + 1), len(texts))
 
-def tokens(block) -> Tokens:
-    w = words(block, fold=True)
-    counts = np.diff(w.bounds)
-    n = len(counts)
-    ends = np.cumsum(counts + 1) - 1
-    symbols = np.full(len(w.hashes) + n, END, np.uint64)
-    is_word = np.ones(len(symbols), bool)
-    is_word[ends] = False
-    symbols[is_word] = w.hashes
-    before = np.concatenate((symbols[:1], symbols[:-1]))
-    before[ends - counts] = BEGIN
-    uni, ctx = unigram_keys(symbols), unigram_keys(before)
-    pair = mix(ctx * np.uint64(0x9E3779B97F4A7C15) + uni) | np.uint64(1)
-    return Tokens(uni, ctx, pair, np.repeat(np.arange(n), counts + 1), n)
 
+@dataclass
+class Grams:
+    """Of a chunk, in the order of the words' numbers: pairs (with the pair of two BEGINs) and triples."""
+
+    number: np.ndarray  # of each local word, ascending
+    word: np.ndarray  # local word of each token
+    before: np.ndarray  # local word before it
+    a: np.ndarray  # local words of each distinct pair
+    b: np.ndarray
+    n: np.ndarray
+    pair: np.ndarray  # of each token
+    history: np.ndarray  # the pair before each token
+    of: np.ndarray  # the pair that each distinct triple extends, ascending
+    c: np.ndarray
+    m: np.ndarray
+    triple: np.ndarray  # of each token
+
+    def buckets(self, n: int) -> tuple[list[tuple[int, np.ndarray]], list[np.ndarray]]:
+        """Pairs of each bucket, and their triples."""
+        key = mix((self.number[self.a] * 0x2545F4914F6CDD1D + self.number[self.b]).view(np.uint64))
+        bucket = ((key >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
+        pairs = by_bucket(bucket)
+        triples = dict(by_bucket(bucket[self.of]))
+        return pairs, [triples.get(k, np.zeros(0, np.int64)) for k, _ in pairs]
+
+
+def read_grams(w: Words, numbers: np.ndarray, order: int) -> Grams:
+    rank = np.argsort(numbers)
+    place = np.empty(len(rank), np.int64)
+    place[rank] = np.arange(len(rank)) + FIRST
+    number = np.concatenate((np.array([BEGIN, END], np.int64), numbers[rank]))
+    word = np.append(place, END)[w.token]
+    n, size = len(word), len(number)
+    begins = np.searchsorted(w.doc, np.arange(w.n_docs))
+    before = np.concatenate((word[:1], word[:-1]))
+    before[begins] = BEGIN
+    keys, pair, counts = np.unique(np.concatenate((before * size + word, np.full(w.n_docs, BEGIN * size + BEGIN))), return_inverse=True, return_counts=True)
+    pair = pair[:n]
+    history = np.concatenate((pair[:1], pair[:-1]))
+    history[begins] = 0  # the pair of two BEGINs is the least
+    triples, triple, m = np.unique(history * size + word, return_inverse=True, return_counts=True) if order > 2 else (np.zeros(0, np.int64), np.zeros(n, np.int64), np.zeros(0, np.int64))
+    return Grams(number, word, before, keys // size, keys % size, counts, pair, history, triples // size, triples % size, m, triple)
+
+
+def ask_words(n_buckets: int) -> Callable:
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        chunk, kind, w = key[0].as_py(), key[1].as_py(), read_words(values(group.column("text")))
+        return tabled(QUESTIONS, [(chunk, kind, b, w.h[o].tobytes(), w.check[o].tobytes(), squeeze(w.counts[o]), None, None, None) for b, o in w.buckets(n_buckets)])
 
-def begin_key() -> np.uint64:
-    return unigram_keys(np.array([BEGIN], np.uint64))[0]
+    return run
 
 
-def chunk_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys of a chunk, and their counts; BEGIN counts the documents."""
-    parts = [np.full(len(texts), begin_key(), np.uint64)]
-    for b in blocks(texts):
-        t = tokens(b)
-        parts += [t.unigram, t.pair]
-    keys = np.sort(np.concatenate(parts))
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.diff(np.append(first, len(keys)))
+def sums(kinds: list[int], counts: list[np.ndarray], number: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts in training and in fitting documents."""
+    every = np.concatenate(counts)
+    kind = np.repeat(kinds, [len(c) for c in counts])
+    train, fit = (np.zeros(n, np.int64) for _ in range(2))
+    np.add.at(train, number, np.where(kind != OTHER, every, 0))
+    np.add.at(fit, number, np.where(kind == FIT, every, 0))
+    return train, fit
 
 
-def bucket_of(keys: np.ndarray, n_buckets: int) -> np.ndarray:
-    return ((keys >> np.uint64(33)) % np.uint64(n_buckets)).astype(np.int32)
+def answer_words(n_buckets: int) -> Callable:
+    """Numbers and counts of one bucket's words for each chunk that asks; a row without a chunk has the bucket's totals."""
 
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        bucket, kinds = key[0].as_py(), group.column("kind").to_pylist()
+        h, check = ([np.frombuffer(k, np.uint64) for k in group.column(c).to_pylist()] for c in ("a", "b"))
+        first, at, _ = rank_pairs(np.concatenate(h), np.concatenate(check))
+        train, fit = sums(kinds, [expand(n) for n in group.column("n").to_pylist()], at, len(first))
+        rows = []
+        for chunk, kind, w in zip(group.column("chunk").to_pylist(), kinds, np.split(at, np.cumsum([len(k) for k in h])[:-1])):
+            rows.append((chunk, kind, 1, bucket, squeeze(FIRST + bucket + w * n_buckets), squeeze(train[w]), squeeze(fit[w]) if kind == DEV else None, None, None, None, None, None))
+        return tabled(ANSWERS, [*rows, (-1, -1, 1, bucket, *[None] * 5, int(train.sum()), int(fit.sum()), int((train > 0).sum()))])
 
-def squeeze(a: np.ndarray) -> bytes:
-    return pa.compress(a.tobytes(), codec="zstd", asbytes=True)
+    return run
 
 
-def asker(n_buckets: int) -> Callable:
-    def ask(key: tuple, group: pa.Table) -> pa.Table:
-        chunk, kind = key[0].as_py(), key[1].as_py()
-        keys, counts = chunk_keys(values(group.column("text")))
-        bucket = bucket_of(keys, n_buckets)
-        order = np.argsort(bucket, kind="stable")
-        used, cuts = np.unique(bucket[order], return_index=True)
-        rows = [(b, keys[o].tobytes(), squeeze(counts[o].astype(np.uint32))) for b, o in zip(used.tolist(), np.split(order, cuts[1:]))]
-        columns = list(zip(*rows)) or [[]] * 3
-        return pa.table([pa.array([chunk] * len(rows), pa.int32()), pa.array([kind] * len(rows), pa.int32()), pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], names=["chunk", "kind", "bucket", "keys", "counts"])
+def ask_grams(n_words: int, n_buckets: int, order: int) -> Callable:
+    def run(key: tuple, group: pa.Table, answers: pa.Table) -> pa.Table:
+        w = read_words(values(group.column("text")))
+        g = read_grams(w, told(answers, 1, "number", [o for _, o in w.buckets(n_words)], len(w.h)), order)
+        chunk, kind, follow = key[0].as_py(), group.column("kind")[0].as_py(), np.bincount(g.of, minlength=len(g.a))
+        rows = []
+        for (b, pairs), triples in zip(*g.buckets(n_buckets)):
+            a = np.diff(g.number[g.a[pairs]], prepend=0)  # pairs ascend by their first word
+            rows.append((chunk, kind, b, squeeze(a), squeeze(g.number[g.b[pairs]]), squeeze(g.n[pairs]), squeeze(follow[pairs]), squeeze(g.number[g.c[triples]]), squeeze(g.m[triples])))
+        return tabled(QUESTIONS, rows)
 
-    return ask
+    return run
 
 
-QUESTIONS = "chunk int, kind int, bucket int, keys binary, counts binary"
-ANSWERS = "chunk int, kind int, bucket int, train binary, fit binary, n_train bigint, n_fit bigint, kinds bigint"
+def answer_grams(key: tuple, group: pa.Table) -> pa.Table:
+    bucket, kinds = key[0].as_py(), group.column("kind").to_pylist()
+    a, b, n, more, c, m = ([expand(x) for x in group.column(f).to_pylist()] for f in ("a", "b", "n", "more", "c", "m"))
+    pair, n_pairs = dense(np.concatenate([np.cumsum(x) for x in a]), np.concatenate(b))
+    train, fit = sums(kinds, n, pair, n_pairs)
+    triple, n_triples = dense(np.repeat(pair, np.concatenate(more)), np.concatenate(c))
+    train3, fit3 = sums(kinds, m, triple, n_triples)
+    rows = []
+    cut = lambda x, sizes: np.split(x, np.cumsum([len(s) for s in sizes])[:-1])
+    for chunk, kind, p, t in zip(group.column("chunk").to_pylist(), kinds, cut(pair, n), cut(triple, m)):
+        of_fit = (squeeze(fit[p]), squeeze(fit3[t])) if kind == DEV else (None, None)
+        rows.append((chunk, kind, 2, bucket, None, squeeze(train[p]), of_fit[0], squeeze(train3[t]), of_fit[1], None, None, None))
+    return tabled(ANSWERS, rows)
+
+
+def told(answers: pa.Table, level: int, column: str, places: list[np.ndarray], n: int) -> np.ndarray:
+    """The answers to a chunk's questions of a level, by the places that each bucket was asked about."""
+    level_rows = answers.filter(pa.array([x == level for x in answers.column("level").to_pylist()], pa.bool_())).sort_by("bucket")
+    out = np.zeros(n, np.int64)
+    for at, raw in zip(places, level_rows.column(column).to_pylist(), strict=True):
+        out[at] = expand(raw)
+    return out
 
 
-def answer(key: tuple, group: pa.Table) -> pa.Table:
-    """Counts of one bucket's keys in training and fitting documents, for each chunk that asks.
+@dataclass(frozen=True)
+class Counts:
+    """What the driver knows of the documents that give the estimates."""
 
-    The row with chunk -1 has the tokens and the distinct tokens of the bucket.
-    """
-    keys = [np.frombuffer(k, np.uint64) for k in group.column("keys").to_pylist()]
-    kinds = group.column("kind").to_pylist()
-    counts = [np.frombuffer(pa.decompress(c, len(k) * 4, codec="zstd"), np.uint32) for c, k in zip(group.column("counts").to_pylist(), keys)]
-    every, at = np.unique(np.concatenate(keys), return_inverse=True)
-    where = np.split(at, np.cumsum([len(k) for k in keys])[:-1])
-    train, fit = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)
-    for kind, c, w in zip(kinds, counts, where):
-        if kind != OTHER:
-            train[w] += c
-        if kind == FIT:
-            fit[w] += c
-    token = (every & np.uint64(1) == 0) & (every != begin_key())
-    rows = [(squeeze(train[w].astype(np.uint32)), squeeze(fit[w].astype(np.uint32)) if kind == DEV else None) for kind, w in zip(kinds, where)]
-    n = len(rows)
-    total = (int(train[token].sum()), int(fit[token].sum()), int((train[token] > 0).sum()))
-    return pa.table(
-        [
-            pa.array([*group.column("chunk").to_pylist(), -1], pa.int32()),
-            pa.array([*kinds, -1], pa.int32()),
-            pa.array([key[0].as_py()] * (n + 1), pa.int32()),
-            pa.array([*(r[0] for r in rows), None], pa.binary()),
-            pa.array([*(r[1] for r in rows), None], pa.binary()),
-            *(pa.array([None] * n + [x], pa.int64()) for x in total),
-        ],
-        names=[x.split()[0] for x in ANSWERS.split(", ")],
-    )
-
-
-def looked_up(texts: list[bytes], answers: pa.Table, column: str, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The chunk's keys, and the counts that the buckets answered."""
-    keys, _ = chunk_keys(texts)
-    bucket = bucket_of(keys, n_buckets)
-    order = np.argsort(bucket, kind="stable")
-    _, sizes = np.unique(bucket, return_counts=True)
-    answers = answers.sort_by("bucket")
-    got = [np.frombuffer(pa.decompress(c, n * 4, codec="zstd"), np.uint32) for n, c in zip(sizes.tolist(), answers.column(column).to_pylist())]
-    out = np.zeros(len(keys), np.int64)
-    if len(keys):
-        out[order] = np.concatenate(got)
-    return keys, out
+    column: str  # of the answers
+    tokens: int  # with ends
+    documents: int
+    kinds: int  # distinct tokens in all training documents
+    n_words: int
+    n_grams: int
+    order: int
 
 
-def bit_length(n: np.ndarray) -> np.ndarray:
-    return np.frexp(n.astype(np.float64))[1]
+@dataclass
+class Estimates:
+    """Of each token of a chunk: bucket of its context, estimates, and the token's count."""
+
+    bucket: np.ndarray
+    p3: np.ndarray
+    p2: np.ndarray
+    p1: np.ndarray
+    count: np.ndarray
+    doc: np.ndarray
+
 
+def ratio(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.divide(x, y, out=np.zeros(len(x)), where=y > 0)
 
-def dev_histogram(n_buckets: int, n_fit: int) -> Callable:
-    """Cells (bucket, halvings of p2, halvings of p1) of the held-out pairs of a chunk, with sums."""
+
+def bit_length(n: np.ndarray) -> np.ndarray:
+    return np.frexp(n.astype(np.float64))[1].astype(np.int64)
+
+
+def estimates(texts: list[bytes], answers: pa.Table, s: Counts) -> Estimates:
+    w = read_words(texts)
+    places = [o for _, o in w.buckets(s.n_words)]
+    numbers = told(answers, 1, "number", places, len(w.h))
+    g = read_grams(w, numbers, s.order)
+    count = told(answers, 1, s.column, places, len(w.h))
+    count = np.concatenate((np.full(2, s.documents), count[np.argsort(numbers)]))  # as many BEGINs and ends as documents
+    pairs, triples = g.buckets(s.n_grams)
+    of_pair = told(answers, 2, s.column, [o for _, o in pairs], len(g.a))
+    c_w, c_h, c_hw = count[g.word], count[g.before], of_pair[g.pair]
+    p3, bucket = np.zeros(len(c_w)), 64 + bit_length(c_h)
+    if s.order > 2:
+        of_triple = told(answers, 2, s.column + "3", triples, len(g.c))
+        c_gh = of_pair[g.history]
+        p3 = ratio(of_triple[g.triple], c_gh)
+        bucket = np.where(c_gh > 0, bit_length(c_gh), bucket)
+    return Estimates(bucket, p3, ratio(c_hw, c_h), c_w / max(1, s.tokens), c_w, w.doc)
+
+
+def dev_histogram(s: Counts) -> Callable:
+    """Cells (bucket, halvings of p3, p2 and p1) of the held-out tokens of a chunk, with sums."""
 
     def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        texts = values(docs.column("text"))
-        keys, counts = looked_up(texts, answers, "fit", n_buckets)
-        cells, p2s, p1s = [], [], []
-        for b in blocks(texts):
-            t = tokens(b)
-            c_h, c_w, c_hw = (counts[np.searchsorted(keys, k)] for k in (t.context, t.unigram, t.pair))
-            p2 = np.divide(c_hw, c_h, out=np.zeros(len(c_h)), where=c_h > 0)
-            p1 = c_w / max(1, n_fit)
-            step = lambda p: np.where(p > 0, np.floor(-np.log2(np.maximum(p, 1e-300)) * STEPS) + 1, 0).astype(np.int64)
-            cells.append((bit_length(c_h).astype(np.int64) << 32) | step(p2) << 16 | step(p1))
-            p2s.append(p2)
-            p1s.append(p1)
-        cell, at = np.unique(np.concatenate(cells), return_inverse=True) if cells else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        sums = [np.bincount(at, weights=w, minlength=len(cell)) for w in (np.ones(len(at)), *(np.concatenate(x) if x else np.zeros(0) for x in (p2s, p1s)))]
-        return pa.table([pa.array(cell), *(pa.array(s) for s in sums)], names=["cell", "n", "p2", "p1"])
+        e = estimates(values(docs.column("text")), answers, s)
+        cell = e.bucket
+        for p in (e.p3, e.p2, e.p1):
+            cell = cell << 10 | np.where(p > 0, np.floor(-np.log2(np.maximum(p, 1e-70)) * STEPS) + 1, 0).astype(np.int64)
+        cell, at = np.unique(cell, return_inverse=True)
+        parts = [np.bincount(at, weights=x, minlength=len(cell)) for x in (np.ones(len(at)), e.p3, e.p2, e.p1)]
+        return pa.table([pa.array(cell), *(pa.array(x) for x in parts)], names=["cell", "n", "p3", "p2", "p1"])
 
     return run
 
 
-def learn_weights(cells: np.ndarray, n: np.ndarray, p2: np.ndarray, p1: np.ndarray, uniform: float, iterations: int = 100) -> np.ndarray:
-    """(BUCKETS, 3) mixture weights of the bigram, unigram and uniform estimates, by EM.
+def maximise(n: np.ndarray, p: np.ndarray, m: np.ndarray, iterations: int = 200, tolerance: float = 1e-7) -> np.ndarray:
+    """Mixture weights of the rows of p (a column a cell with n tokens) by expectation-maximisation from m; zeros of m stay."""
+    for _ in range(iterations):
+        share = m[:, None] * p
+        share /= share.sum(axis=0)
+        old, m = m, (share * n).sum(axis=1) / n.sum()
+        if np.abs(m - old).max() < tolerance:
+            break
+    return m
 
-    Buckets without held-out pairs take the weights of the nearest one below, or else above.
-    """
-    out = np.tile(np.array([0.5, 0.4, 0.1]), (BUCKETS, 1))
-    out[0] = (0, 0.8, 0.2)
-    bucket = cells >> 32
-    seen = np.zeros(BUCKETS, bool)
-    for b in np.unique(bucket):
-        of = bucket == b
-        p = np.stack((p2[of], p1[of], np.full(of.sum(), uniform)))
-        w, m = n[of], out[b].copy()
-        for _ in range(iterations):
-            share = m[:, None] * p
-            share /= share.sum(axis=0)
-            m = (share * w).sum(axis=1) / w.sum()
-        m = np.maximum(m, (0 if b == 0 else 1e-9, 1e-9, 1e-9))
-        out[b], seen[b] = m / m.sum(), True
-    known = np.flatnonzero(seen[1:]) + 1
-    for b in range(1, BUCKETS):
-        if not seen[b] and len(known):
-            below = known[known < b]
-            out[b] = out[below[-1] if len(below) else known[0]]
+
+def start_of(bucket: int) -> np.ndarray:
+    """Weights before learning: what an unseen context cannot estimate has none."""
+    return np.array([0.4, 0.3, 0.2, 0.1] if bucket < 64 else [0, 0.5, 0.4, 0.1] if bucket > 64 else [0, 0, 0.8, 0.2])
+
+
+def learn_bucket(uniform: float) -> Callable:
+    def run(key: tuple, cells: pa.Table) -> pa.Table:
+        bucket = key[0].as_py()
+        n, p3, p2, p1 = (cells.column(c).to_numpy() for c in ("n", "p3", "p2", "p1"))
+        start = start_of(bucket)
+        m = maximise(n, np.stack((p3 / n, p2 / n, p1 / n, np.full(len(n), uniform))), start)
+        m = np.where(start > 0, np.maximum(m, 1e-9), 0)
+        return pa.table([pa.array([bucket], pa.int64()), *(pa.array([x]) for x in m / m.sum())], names=["bucket", "m3", "m2", "m1", "m0"])
+
+    return run
+
+
+def all_weights(learned: dict[int, np.ndarray]) -> np.ndarray:
+    """(BUCKETS, 4); a bucket without held-out tokens takes the weights of the nearest one below, or else above, of its kind."""
+    out = np.stack([learned.get(b, start_of(b)) for b in range(BUCKETS)])
+    for lo, hi in ((1, 64), (65, BUCKETS)):
+        known = np.array([b for b in sorted(learned) if lo <= b < hi])
+        for b in range(lo, hi):
+            if b not in learned and len(known):
+                below = known[known < b]
+                out[b] = learned[int(below[-1] if len(below) else known[0])]
     return out
 
 
-def scorer(n_buckets: int, n_train: int, n_kinds: int, weights: np.ndarray) -> Callable:
+def scorer(s: Counts, weights: np.ndarray) -> Callable:
     def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
         texts = values(docs.column("text"))
-        keys, counts = looked_up(texts, answers, "train", n_buckets)
-        sums = np.zeros((4, len(texts)))
-        for b in blocks(texts):
-            t = tokens(b)
-            c_h, c_w, c_hw = (counts[np.searchsorted(keys, k)] for k in (t.context, t.unigram, t.pair))
-            m = weights[bit_length(c_h)]
-            p2 = np.divide(c_hw, c_h, out=np.zeros(len(c_h)), where=c_h > 0)
-            p = m[:, 0] * p2 + m[:, 1] * c_w / max(1, n_train) + m[:, 2] / (n_kinds + 1)
-            base = (c_w + 0.1) / (n_train + 0.1 * (n_kinds + 1))
-            for i, x in enumerate((np.ones(len(p)), c_w > 0, np.log10(base), np.log10(p))):
-                sums[i, b.lo : b.lo + t.n_docs] = np.bincount(t.doc, weights=x, minlength=t.n_docs)
-        n = len(texts)
-        return pa.table(
-            [docs.column("doc_id"), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)), pa.array(np.full(n, n_train)), pa.array(sums[2]), pa.array(sums[3])],
-            names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-        )
+        e = estimates(texts, answers, s)
+        m = weights[e.bucket]
+        p = m[:, 0] * e.p3 + m[:, 1] * e.p2 + m[:, 2] * e.p1 + m[:, 3] / (s.kinds + 1)
+        base = (e.count + 0.1) / (s.tokens + 0.1 * (s.kinds + 1))
+        total = [np.bincount(e.doc, weights=x, minlength=len(texts)) for x in (np.ones(len(p)), e.count > 0, np.log10(base), np.log10(p))]
+        columns = [pa.array(x.astype(np.int64)) for x in total[:2]] + [pa.array(np.full(len(texts), s.tokens, np.int64))] + [pa.array(x) for x in total[2:]]
+        return pa.table([docs.column("doc_id"), *columns], names=[f.split()[0] for f in SCORES.split(", ")])
 
     return run
 
 
-def score(docs: DataFrame, training) -> DataFrame:
-    """Scores (doc_id, text); training: a condition on doc_id, true for the documents to learn from.
+def score(docs: DataFrame, training, order: int = 3) -> DataFrame:
+    """SCORES of (doc_id, text); training: a condition on doc_id, true for the documents to learn from.
 
     A ninth of the training documents, by the hash of their id, is what the weights must explain.
     """
     total = text_bytes(docs)
-    n_chunks = chunks_for(total)
-    n_buckets = max(16, -(-total // BUCKET_BYTES))
+    n_chunks, n_words, n_grams = chunks_for(total), max(16, -(-total // WORD_BYTES)), max(16, -(-total // GRAM_BYTES))
     dev = F.pmod(F.xxhash64("doc_id", F.lit("dev")), F.lit(9)) == 0
-    kind = F.when(~training, OTHER).when(dev, DEV).otherwise(FIT)
+    kind = F.coalesce(F.when(~training, OTHER).when(dev, DEV).otherwise(FIT), F.lit(OTHER)).cast("int")
     spread = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks))
     # a tenth of the chunks for each of the two smaller kinds
     small = -(-n_chunks // 8)
     chunk = F.when(F.col("kind") == FIT, spread).otherwise(n_chunks + (F.col("kind") - 1) * small + F.pmod(spread, F.lit(small)))
-    dealt = docs.select("doc_id", "text", F.coalesce(kind, F.lit(OTHER)).cast("int").alias("kind")).withColumn("chunk", chunk.cast("int"))
-    questions = dealt.groupBy("chunk", "kind").applyInArrow(asker(n_buckets), QUESTIONS)
-    answers = materialize(questions.groupBy("bucket").applyInArrow(answer, ANSWERS), "answers")
-    n_train, n_fit, n_kinds = (x or 0 for x in answers.where("chunk = -1").agg(F.sum("n_train"), F.sum("n_fit"), F.sum("kinds")).first())
-    meet = lambda some, run, schema: some.groupBy("chunk").cogroup(answers.where("chunk >= 0").groupBy("chunk")).applyInArrow(run, schema)
-    of_dev = dealt.where(F.col("kind") == DEV).groupBy("chunk").cogroup(answers.where(F.col("kind") == DEV).groupBy("chunk"))
-    cells = of_dev.applyInArrow(dev_histogram(n_buckets, n_fit), "cell bigint, n double, p2 double, p1 double")
-    rows = cells.groupBy("cell").agg(F.sum("n"), F.sum("p2"), F.sum("p1")).collect()  # a grid of fixed size
-    cell, n, p2, p1 = (np.array([r[i] for r in rows], np.int64 if i == 0 else np.float64) for i in range(4))
-    weights = learn_weights(cell, n, p2 / np.maximum(n, 1), p1 / np.maximum(n, 1), 1 / (n_kinds + 1))
-    return meet(dealt, scorer(n_buckets, n_train, n_kinds, weights), "doc_id bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    dealt = docs.select("doc_id", "text", kind.alias("kind")).withColumn("chunk", chunk.cast("int"))
+    n_docs = {r["kind"]: r["count"] for r in dealt.groupBy("kind").count().collect()}
+
+    questions = dealt.groupBy("chunk", "kind").applyInArrow(ask_words(n_words), QUESTIONS)
+    of_words = materialize(questions.groupBy("bucket").applyInArrow(answer_words(n_words), ANSWERS), "words")
+    totals = [x or 0 for x in of_words.where("chunk = -1").agg(F.sum("n_train"), F.sum("n_fit"), F.sum("kinds")).first()]
+    of_words = of_words.where("chunk >= 0")
+    meet = lambda some, answers, run, schema: some.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
+    # a chunk of empty texts asks about no word
+    questions = meet(dealt, of_words, ask_grams(n_words, n_grams, order), QUESTIONS)
+    of_grams = materialize(questions.groupBy("bucket").applyInArrow(answer_grams, ANSWERS), "grams")
+    answers = of_words.unionByName(of_grams)
+
+    n_fit, n_train = n_docs.get(FIT, 0), n_docs.get(FIT, 0) + n_docs.get(DEV, 0)
+    kinds = totals[2] + (n_train > 0)
+    fit = Counts("fit", totals[1] + n_fit, n_fit, kinds, n_words, n_grams, order)
+    of_dev = lambda df: df.where(F.col("kind") == DEV)
+    cells = meet(of_dev(dealt), of_dev(answers), dev_histogram(fit), "cell bigint, n double, p3 double, p2 double, p1 double")
+    cells = cells.groupBy("cell").agg(*(F.sum(c).alias(c) for c in ("n", "p3", "p2", "p1"))).withColumn("bucket", F.shiftright("cell", 30))
+    learned = cells.groupBy("bucket").applyInArrow(learn_bucket(1 / (kinds + 1)), "bucket bigint, m3 double, m2 double, m1 double, m0 double").collect()
+    weights = all_weights({r["bucket"]: np.array([r["m3"], r["m2"], r["m1"], r["m0"]]) for r in learned})
+    train = Counts("train", totals[0] + n_train, n_train, kinds, n_words, n_grams, order)
+    return meet(dealt, answers, scorer(train, weights), SCORES)

@@ -6,9 +6,12 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tesserae.llm import langid, lm, toxicity
+from tesserae.llm.common import split_of
 from tesserae.llm.queries_langid import op6_hyperdimensional
 from tesserae.llm.queries_lm import op3_deleted_interpolation
 from tesserae.llm.queries_toxicity import op4_positive_unlabelled
@@ -33,15 +36,93 @@ def test_op3_base_score(spark, sf, edge, docs, small):
         assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def test_weights_are_distributions():
-    w = lm.learn_weights(np.array([1 << 32 | 5 << 16 | 5, 7 << 32 | 1 << 16 | 3]), np.array([10.0, 3.0]), np.array([0.5, 0.9]), np.array([0.1, 0.2]), 0.01)
-    assert np.allclose(w.sum(axis=1), 1) and (w >= 0).all() and w[0][0] == 0
+def brute_scores(rows, dev, order):
+    """(doc_id, score) of every row: counts by tuples of words, weights by a plain EM over the cells."""
+    tokens = [(d, ["<s>", "<s>", *split(t, fold=True), None]) for d, t in rows]
+
+    def counts(chosen):
+        c = collections.Counter()
+        for d, w in tokens:
+            if chosen(d):
+                for i in range(2, len(w)):
+                    c.update([("3", *w[i - 2 : i + 1]), ("h3", *w[i - 2 : i]), ("2", *w[i - 1 : i + 1]), ("h2", w[i - 1]), ("1", w[i])])
+        return c
+
+    trained = lambda d: crc(d) % 10 != 0
+    train, fit = counts(trained), counts(lambda d: trained(d) and not dev[d])
+    v = sum(k[0] == "1" for k in train)
+
+    def parts(c, n, g, h, w):
+        gh, hh = c["h3", g, h] if order > 2 else 0, c["h2", h]
+        bucket = gh.bit_length() if gh else 64 + hh.bit_length()
+        return bucket, (c["3", g, h, w] / gh if gh else 0.0, c["2", h, w] / hh if hh else 0.0, c["1", w] / max(1, n), 1 / (v + 1))
+
+    total = lambda c: sum(x for k, x in c.items() if k[0] == "1")
+    n_train, n_fit = total(train), total(fit)
+    cells = collections.defaultdict(lambda: np.zeros(4))
+    for d, w in tokens:
+        if trained(d) and dev[d]:
+            for i in range(2, len(w)):
+                b, p = parts(fit, n_fit, *w[i - 2 : i + 1])
+                cells[b, *(math.floor(-math.log2(x) * lm.STEPS) + 1 if x else 0 for x in p[:3])] += (1, *p[:3])
+    learned = {}
+    for b in {k[0] for k in cells}:
+        mine = [(x[0], np.append(x[1:] / x[0], 1 / (v + 1))) for k, x in cells.items() if k[0] == b]
+        m = lm.start_of(b)
+        for _ in range(200):
+            old, m = m, sum(n * m * p / (m @ p) for n, p in mine) / sum(n for n, _ in mine)
+            if np.abs(m - old).max() < 1e-7:
+                break
+        m = np.where(lm.start_of(b) > 0, np.maximum(m, 1e-9), 0)
+        learned[b] = m / m.sum()
+    weights = lm.all_weights(learned)
+    out = collections.Counter()
+    for d, w in tokens:
+        each = [parts(train, n_train, *w[i - 2 : i + 1]) for i in range(2, len(w))]
+        out[d, round(sum(math.log10(weights[b] @ np.array(p)) for b, p in each), 3)] += 1
+    return out
+
+
+@pytest.mark.parametrize("order", [2, 3])
+@pytest.mark.parametrize("small", [True, False])
+def test_op3_score_is_brute_force(spark, sf, edge, docs, small, order):
+    rows = [(r[0], r[1]) for r in edge_rows()] if small else list(docs.items())
+    df = spark.read.parquet(f"{edge if small else sf}/documents.parquet")
+    dev = {r["doc_id"]: r["dev"] for r in df.selectExpr("doc_id", "pmod(xxhash64(doc_id, 'dev'), 9) = 0 dev").collect()}
+    got = lm.score(df, split_of(F.col("doc_id"), 10) != 0, order).collect()
+    assert collections.Counter((r["doc_id"], round(r["score"], 3)) for r in got) == brute_scores(rows, dev, order)
+
+
+def test_op3_empty(spark, empty):
+    assert op3_deleted_interpolation(spark, empty).count() == 0
+
+
+def test_counts_beyond_32_bits():
+    """A word that two chunks hold five thousand million times each, by the messages that say so."""
+    n = 5_000_000_000
+    key = np.array([7], np.uint64).tobytes()
+    asked = lm.tabled(lm.QUESTIONS, [(c, lm.FIT, 3, key, key, lm.squeeze(np.array([n])), None, None, None) for c in (0, 1)])
+    rows = lm.answer_words(5)((pa.scalar(3),), asked).to_pylist()
+    assert lm.expand(rows[0]["train"]).tolist() == [2 * n] and rows[2]["n_train"] == 2 * n
+    one = lm.squeeze(np.array([1]))
+    asked = lm.tabled(lm.QUESTIONS, [(c, lm.FIT, 3, one, one, lm.squeeze(np.array([n])), one, one, lm.squeeze(np.array([n]))) for c in (0, 1)])
+    rows = lm.answer_grams((pa.scalar(3),), asked).to_pylist()
+    assert lm.expand(rows[0]["train"]).tolist() == lm.expand(rows[1]["train3"]).tolist() == [2 * n]
+
+
+def test_numbers_of_any_width():
+    for a in ([], [0], [255, 0, 1], [1 << 40, 3], [(1 << 63) - 1, 1 << 62]):
+        assert lm.expand(lm.squeeze(np.array(a, np.int64))).tolist() == a
+    x, y = np.array([1 << 40, 3, 1 << 40, 3]), np.array([1 << 50, 4, 1 << 50, 5])
+    assert lm.dense(x, y)[0].tolist() == [2, 0, 2, 1] and lm.dense(x & 7, y & 7)[1] == 3
 
 
 def test_em_prefers_the_better_estimate():
-    cells = np.array([4 << 32 | 2 << 16 | 20, 4 << 32 | 3 << 16 | 30])
-    w = lm.learn_weights(cells, np.array([100.0, 50.0]), np.array([0.6, 0.4]), np.array([0.01, 0.02]), 1e-4)
-    assert w[4][0] > 0.95
+    p = np.array([[0.6, 0.4], [0.01, 0.02], [1e-3, 1e-3], [1e-4, 1e-4]])
+    m = lm.maximise(np.array([100.0, 50.0]), p, lm.start_of(4))
+    assert m[0] > 0.95 and abs(m.sum() - 1) < 1e-9
+    w = lm.all_weights({4: m})
+    assert np.allclose(w.sum(axis=1), 1) and (w >= 0).all() and w[64][0] == w[64][1] == w[70][0] == 0 and (w[9] == m).all()
 
 
 def test_op4_finds_toxic_documents(spark):
