@@ -88,6 +88,8 @@ def dense(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def by_bucket(bucket: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    if len(bucket) and bucket.max() < 1 << 16:
+        bucket = bucket.astype(np.uint16)  # sorted by radix
     order = np.argsort(bucket, kind="stable")
     used, cuts = np.unique(bucket[order], return_index=True)
     return list(zip(used.tolist(), np.split(order, cuts[1:]))) if len(used) else []
@@ -112,8 +114,8 @@ def read_words(texts: list[bytes]) -> Words:
     h, check, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for b in blocks(texts):
         w = words(b, fold=True)
-        h.append(w.each(0))
-        check.append(w.each(1))
+        for out, k in zip((h, check), w.keys()):
+            out.append(k)
         sizes.append(np.diff(w.bounds))
     h, check, sizes = np.concatenate(h), np.concatenate(check), np.concatenate(sizes)
     first, number, counts = rank_pairs(h, check)

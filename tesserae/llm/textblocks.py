@@ -30,6 +30,8 @@ _FOLD[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 BLOCK = 1 << 19
+#: Masks of the first bytes of a 64-bit integer.
+_HEAD = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 _P, _LOW31, _LOW30 = np.uint64(FIELD), np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
 _30, _31, _61, _1 = np.uint64(30), np.uint64(31), np.uint64(61), np.uint64(1)
 
@@ -181,6 +183,21 @@ class Words:
         every = np.arange(len(self.starts))
         return self.spans(every, every + 1, lane)
 
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits of every word: for words of eight bytes or fewer their bytes and their length, else both lanes."""
+        size = self.ends - self.starts
+        padded = np.concatenate((self.data, np.zeros(8, np.uint8)))
+        heads = np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), (len(self.data),), (1,))[self.at]
+        h = mix(heads & _HEAD[np.minimum(size, 8)])
+        check = size.astype(np.uint64)
+        long = np.flatnonzero(size > 8)
+        if len(long):
+            ends = np.cumsum(size[long])
+            starts = ends - size[long]
+            data = self.data[np.repeat(self.at[long] - starts, size[long]) + np.arange(ends[-1])]
+            h[long], check[long] = (lane_span(lane_prefix(data, k), starts, ends, k) for k in (0, 1))
+        return h, check
+
 
 def words(block: Block, fold: bool) -> Words:
     """Maximal runs of bytes other than space and 0x09 to 0x0D; fold lower-cases A to Z."""
@@ -237,7 +254,14 @@ def distinct(hashes: np.ndarray, docs: np.ndarray, n_docs: int) -> tuple[np.ndar
 
 def rank_pairs(h: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of 128-bit keys (h, check): the first place of each distinct one, the number of each row's key, and their counts."""
-    _, first, number, counts = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+    order = np.argsort(h)
+    new = np.ones(len(h), bool)
+    new[1:] = h[order][1:] != h[order][:-1]
+    at = np.flatnonzero(new)
+    number = np.empty(len(h), np.int64)
+    number[order] = np.cumsum(new) - 1
+    first = np.minimum.reduceat(order, at) if len(h) else order
+    counts = np.diff(np.append(at, len(h)))
     if (check[first][number] == check).all():
         return first, number, counts
     order = np.lexsort((check, h))  # stable, so the first place leads

@@ -79,3 +79,9 @@ def test_op1_rows_that_share_an_id_keep_their_own_links(spark):
     rows = [(3, " ".join(base)), (5, other), (5, near), (7, other + " "), (9, "alone")]
     got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
     assert got == [(3, 98, 3, True), (5, 48, 5, True), (5, 99, 3, False), (7, 48, 5, False), (9, 1, 9, True)]
+
+
+def test_word_keys_tell_words_of_any_length_apart():
+    texts = ["a", "a\0", "\0", "\0\0", "abcdefgh", "abcdefgh\0", "abcdefghi", "é" * 4, "é" * 5, X, Y, "a"]
+    w = textblocks.words(next(textblocks.blocks([" ".join(texts).encode()])), fold=False)
+    assert len(set(zip(*(k.tolist() for k in w.keys())))) == len(set(texts))
