@@ -1,14 +1,17 @@
 """Language identification by hyperdimensional profiles.
 
-Each letter class has a random vector of +1 and -1. A trigram's vector binds its letters'
-vectors, permuted (rolled) by place, by multiplication; a document's vector bundles (adds) its
-trigrams' vectors. The prototype of a language is the sum of its training documents' vectors,
-each scaled to unit length, less the mean of all prototypes; documents are compared with the
-prototypes by cosine, less the same mean.
+Every letter (any code point of a letter category, in lower case) has its own random vector of +1
+and -1, drawn from its code point; whatever is no letter shares one. A trigram's vector binds its
+letters' vectors, permuted (rolled) by place, by multiplication; a document's vector bundles
+(adds) its trigrams' vectors. The prototype of a language is the sum of its training documents'
+vectors, each scaled to unit length, less the mean of all prototypes; documents are compared with
+the prototypes by cosine, less the same mean.
 
 Null text and text without a letter have no vector and are predicted `und` with score 0. Rows
 without a language are not learned from; without any, everything is `und`. Ties go to the
-language that sorts first. Very long texts cost memory in proportion to one text only.
+language that sorts first. Repeated rows, also of one id, are learned from and predicted each on
+its own; equal texts get equal predictions. An empty table gives an empty result. Only the columns
+asked for are kept, whatever their names. Very long texts cost memory in proportion to one text.
 """
 
 from __future__ import annotations
@@ -21,56 +24,72 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tesserae.llm.textblocks import values
+from tesserae.llm.textblocks import mix, values
 
-DIM = 512
-CLASSES = 64
+DIM = 1024
 #: Fixed-point scale in which vectors are summed, so that sums do not depend on their order.
 SCALE = 1 << 20
 BLOCK = 1 << 19
 #: Rows handled and sent back at a time.
 ROWS = 1024
+#: Different trigrams whose vectors are bundled at a time.
+SLICE = 2048
 UNDETERMINED = "und"
 
 
 @lru_cache(maxsize=1)
-def letter_classes() -> np.ndarray:
-    """Class of each code point: 0 no letter, 1 to 26 a to z, and a multiplicative hash of other letters, case folded."""
-    out = np.zeros(0x110000, np.uint8)
+def letters() -> np.ndarray:
+    """The lower-case letter of each code point, 0 for what is no letter."""
+    out = np.zeros(0x110000, np.uint32)
     for cp in range(0x33500):  # no letter lies beyond
         if unicodedata.category(chr(cp))[0] == "L":
-            low = ord(chr(cp).lower()[0])
-            out[cp] = low - 96 if 97 <= low <= 122 else 27 + (low * 2654435761 % (1 << 32) >> 8) % (CLASSES - 27)
+            out[cp] = ord(chr(cp).lower()[0])
     return out
 
 
-@lru_cache(maxsize=2)
-def letter_vectors(dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    base = np.random.default_rng(6).integers(0, 2, (CLASSES, dim)).astype(np.int8) * 2 - 1
-    return np.roll(base, 2, axis=1), np.roll(base, 1, axis=1), base
+def letter_vectors(some: np.ndarray, dim: int) -> np.ndarray:
+    """(letters, dim) of +1 and -1, from the bits of hashes of each code point."""
+    words = np.arange(-(-dim // 64), dtype=np.uint64)
+    seed = mix(some.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))[:, None]
+    bits = np.unpackbits(mix(mix(seed ^ mix(words + np.uint64(1)))).view(np.uint8), axis=1)
+    return bits[:, :dim].astype(np.int8) * 2 - 1
 
 
 def bundle(texts: list[bytes], dim: int = DIM) -> tuple[np.ndarray, np.ndarray]:
     """Document vectors (float32, not scaled), and which documents have a letter."""
-    joined = "\0\0".join(["", *(t.decode("utf-8", "replace") for t in texts), ""])
-    codes = letter_classes()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int32)
-    lengths = np.fromiter((len(t.decode("utf-8", "replace")) + 2 for t in texts), np.int64, len(texts))
-    doc = np.repeat(np.arange(len(texts)), lengths)
-    doc = np.concatenate((doc[:0], np.zeros(2, np.int64), doc))  # two separators come first
+    decoded = [t.decode("utf-8", "replace") for t in texts]
+    codes = letters()[np.frombuffer("\0\0".join(["", *decoded, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)]
+    doc = np.repeat(np.arange(len(texts)), [len(t) + 2 for t in decoded])
+    doc = np.concatenate((np.zeros(2, np.int64), doc))  # two separators come first
+    seen = np.zeros(0x110000, bool)
+    seen[codes] = True
+    seen[0] = True
+    used = np.flatnonzero(seen)
+    place = np.zeros(0x110000, np.int64)
+    place[used] = np.arange(len(used))
+    codes = place[codes]
     left, mid, right = codes[:-2], codes[1:-1], codes[2:]
-    grams = left << 12 | mid << 6 | right
     real = (mid != 0) | ((left != 0) & (right != 0))
-    grams, doc = grams[real], doc[1:-1][real]
-    has = np.zeros(len(texts), bool)
-    has[doc[mid[real] != 0]] = True
-    seen = np.zeros(CLASSES**3, bool)
-    seen[grams] = True
-    kinds = np.flatnonzero(seen)
-    place = np.cumsum(seen) - 1
-    counts = np.bincount(doc * len(kinds) + place[grams], minlength=len(texts) * len(kinds)).reshape(len(texts), -1).astype(np.float32)
-    a, b, c = letter_vectors(dim)
-    bound = (a[kinds >> 12] * b[kinds >> 6 & 63] * c[kinds & 63]).astype(np.float32)
-    return counts @ bound, has
+    n, k = len(texts), len(used)  # k**3 * n is far below 2**63: letters fill 17 bits, documents 8
+    of = doc[1:-1][real]
+    has = np.zeros(n, bool)
+    has[of[mid[real] != 0]] = True
+    key, counts = np.unique(((left[real] * k + mid[real]) * k + right[real]) * n + of, return_counts=True)
+    gram, of = key // n, key % n
+    new = np.ones(len(gram), bool)
+    new[1:] = gram[1:] != gram[:-1]
+    kinds, kind = gram[new], np.cumsum(new) - 1
+    base = letter_vectors(used, dim)
+    a, b = np.roll(base, 2, axis=1), np.roll(base, 1, axis=1)
+    out = np.zeros((n, dim), np.float32)
+    for lo in range(0, len(kinds), SLICE):
+        some = kinds[lo : lo + SLICE]
+        bound = (a[some // (k * k)] * b[some // k % k] * base[some % k]).astype(np.float32)
+        i, j = np.searchsorted(kind, (lo, lo + SLICE))
+        share = np.zeros((n, len(some)), np.float32)
+        share[of[i:j], kind[i:j] - lo] = counts[i:j]
+        out += share @ bound
+    return out, has
 
 
 def grouped(texts: list[bytes]) -> Iterator[tuple[int, int]]:

@@ -167,9 +167,41 @@ def test_op6_edges(spark, edge, empty):
     assert op6_hyperdimensional(spark, empty).count() == 0
 
 
-def test_op6_bundles_equal_bound_vectors():
-    a, b, c = langid.letter_vectors(64)
-    classes = langid.letter_classes()[[ord(x) for x in "\0abc\0"]]
-    want = sum(a[x] * b[y] * c[z].astype(int) for x, y, z in zip(classes, classes[1:], classes[2:]))
-    got, has = langid.bundle([b"abc", b"12"], 64)
-    assert (got[0] == want).all() and has.tolist() == [True, False] and not got[1].any()
+def brute_vector(text, dim):
+    """Sum of the bound vectors of every trigram with a letter in it or around it."""
+    low = [0, 0, *(langid.letters()[ord(x)] for x in text), 0, 0]
+    vec = {x: langid.letter_vectors(np.array([x]), dim)[0].astype(np.int64) for x in set(low)}
+    out = np.zeros(dim, np.int64)
+    for x, y, z in zip(low, low[1:], low[2:]):
+        if y or (x and z):
+            out += np.roll(vec[x], 2) * np.roll(vec[y], 1) * vec[z]
+    return out
+
+
+def test_op6_bundles_equal_bound_vectors(monkeypatch):
+    monkeypatch.setattr(langid, "SLICE", 3)
+    texts = ["abc", "12", "", "Straße, Ärger", "日本語 テスト", "привет " * 9, "é1é", "x" * 700]
+    got, has = langid.bundle([t.encode() for t in texts], 64)
+    assert has.tolist() == [any(c.isalpha() for c in t) for t in texts]
+    assert all((g == brute_vector(t, 64)).all() for g, t in zip(got, texts))
+
+
+def test_op6_letters_have_vectors_of_their_own():
+    some = langid.letters()[[ord(x) for x in "abzäßж語本日ひ"]]
+    vectors = langid.letter_vectors(some, 1024).astype(int)
+    angles = vectors @ vectors.T / 1024
+    assert np.abs(angles - np.eye(len(some))).max() < 0.15
+
+
+def test_op6_prediction_is_brute_force(spark, sf, docs):
+    rows = duckdb.sql(f"SELECT doc_id, text, lang FROM '{sf}/documents.parquet'").fetchall()
+    unit = lambda v: v / np.linalg.norm(v) if np.linalg.norm(v) else v
+    vectors = {d: unit(brute_vector(t or "", langid.DIM)) for d, t, _ in rows if len(t or "") < 6000}
+    names = sorted({lang for *_, lang in rows})
+    # long documents take the operator's own bundles: the one above is held against brute force
+    vectors |= {d: unit(langid.bundle([t.encode()])[0][0].astype(float)) for d, t, _ in rows if d not in vectors}
+    protos = np.stack([unit(sum(vectors[d] for d, t, x in rows if x == lang and crc(d) % 4 != 2)) for lang in names])
+    heads = np.stack([unit(p - protos.mean(axis=0)) for p in protos])
+    for r in op6_hyperdimensional(spark, sf).collect():
+        cos = heads @ unit(vectors[r["doc_id"]] - protos.mean(axis=0))
+        assert r["lang_pred"] == names[cos.argmax()] and abs(r["score"] - max(0, cos.max())) < 1e-3
