@@ -1,17 +1,22 @@
 """AVI motion-JPEG columns: storing bytes as frames, reading them back, and timed clips.
 
-A payload is stored losslessly as quantised luminance coefficients, the unit of a JPEG frame:
-63 bytes a block of 8 x 8, as the AC coefficients 256 + byte in zigzag order, with DC 0. The
-frame's Huffman tables hold one code each, of 7 and 8 bits, so that every coefficient takes two
-whole bytes of the scan. Frames are 64 x 64; the AVI has the headers, a comment with the payload's
-length, the `movi` list and an `idx1` index, through which frames are read.
-
-Shots: each frame's 16-bin histogram is compared with its predecessor's; a cut is where half the
-sum of absolute differences exceeds a floor and the mean of the last differences by some of
-their standard deviations.
-
-Null payloads count as empty; an empty payload is one frame of zeros. Malformed files raise
-ValueError.
+A payload is stored losslessly as 8-bit luminance samples, one to a block of 8 x 8: a flat block
+whose DC is 8 * (sample - 128), with a quantiser of 8, decodes to its sample exactly. Frames are
+baseline JPEG, 64 blocks wide and up to 64 high, whose Huffman table gives a difference of
+magnitude s a code of 12 - s bits, so that a block, with the four bits of its end, takes two
+bytes. Frames are decoded by their own tables: entropy codes, differences, quantiser, and the
+inverse transform of what is flat; frames of other makers go through the library's full decoder.
+The AVI has the headers, a comment with the payload's length, the `movi` list and an `idx1`
+index, through which frames are read.
+
+Shots: the 16-bin histogram of each decoded frame is compared with its predecessor's; a cut is
+where half the sum of absolute differences exceeds a floor and the mean of the last differences by
+some of their standard deviations.
+
+Null payloads count as empty; an empty payload is one row of zeros. Equal payloads give equal
+files; repeated rows and rows without an id are stored each on its own, and an empty table gives
+an empty result. Columns are taken by the names given, others are ignored. A payload costs memory
+in proportion to itself. Malformed files raise ValueError.
 """
 
 from __future__ import annotations
@@ -19,63 +24,95 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-PER_BLOCK = 63
-BLOCKS = 64
-SIDE = 64
-PER_FRAME = PER_BLOCK * BLOCKS
-SCAN_BLOCK = 1 + 2 * PER_BLOCK
+#: Blocks in a row, and rows in a frame at most.
+WIDE = 64
+HIGH = 64
+PER_FRAME = WIDE * HIGH
 FRAME_MICROSECONDS = 40_000
 BINS = 16
+QUANTISER = 8
+#: Magnitudes of a difference of two samples, longest first: their codes have 4 to 12 bits.
+MAGNITUDES = range(8, -1, -1)
 
 
 def _segment(marker: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
 
 
-def _frame_header() -> bytes:
-    one_code = lambda kind, bits, symbol: bytes([kind]) + bytes(int(i == bits) for i in range(1, 17)) + bytes([symbol])
+def _codes(lengths: list[int]) -> list[int]:
+    """Canonical Huffman codes of ascending lengths."""
+    out, code = [], 0
+    for i, n in enumerate(lengths):
+        code <<= n - lengths[i - 1] if i else 0
+        out.append(code)
+        code += 1
+    return out
+
+
+@lru_cache(maxsize=1)
+def _block_words() -> np.ndarray:
+    """The two bytes of a block by its difference + 255: code, magnitude bits, and four zeros that end the block."""
+    out = np.zeros(511, np.uint16)
+    for code, s in zip(_codes([12 - s for s in MAGNITUDES]), MAGNITUDES):
+        for d in range(-(1 << s) + 1, 1 << s) if s else (0,):
+            if abs(d).bit_length() == s:
+                out[d + 255] = (code << s | (d if d >= 0 else d + (1 << s) - 1)) << 4
+    return out
+
+
+@lru_cache(maxsize=1)
+def _differences() -> np.ndarray:
+    """The difference of each block of two bytes, -32768 for what no block is."""
+    out = np.full(1 << 16, -32768, np.int32)
+    out[_block_words()] = np.arange(-255, 256)
+    return out
+
+
+@lru_cache(maxsize=HIGH)
+def header(rows: int) -> bytes:
+    """All that comes before the scan of a frame of rows x WIDE blocks."""
+    table = lambda kind, counts, symbols: bytes([kind, *counts, *symbols])
     return b"".join(
         (
             b"\xff\xd8",
-            _segment(0xDB, bytes([0]) + bytes([1]) * 64),
-            _segment(0xC0, struct.pack(">BHHBBBB", 8, SIDE, SIDE, 1, 1, 0x11, 0)),
-            _segment(0xC4, one_code(0x00, 8, 0x00)),  # DC: difference 0
-            _segment(0xC4, one_code(0x10, 7, 0x09)),  # AC: no zeros before, nine magnitude bits
+            _segment(0xDB, bytes([0]) + bytes([QUANTISER]) * 64),
+            _segment(0xC0, struct.pack(">BHHBBBB", 8, 8 * rows, 8 * WIDE, 1, 1, 0x11, 0)),
+            _segment(0xC4, table(0x00, [int(4 <= n <= 12) for n in range(1, 17)], MAGNITUDES)),
+            _segment(0xC4, table(0x10, [int(n == 4) for n in range(1, 17)], [0])),  # end of block only
             _segment(0xDA, bytes([1, 1, 0, 0, 63, 0])),
         )
     )
 
 
-HEADER = _frame_header()
-
-
 def chunk(name: bytes, body: bytes) -> bytes:
     return name + struct.pack("<I", len(body)) + body + b"\0" * (len(body) & 1)
 
 
 def encode(payload: bytes) -> bytes:
     """An AVI file that holds payload."""
-    n_frames = max(1, -(-len(payload) // PER_FRAME))
-    samples = np.zeros(n_frames * PER_FRAME, np.uint8)
+    n_rows = max(1, -(-len(payload) // WIDE))
+    n_frames = -(-n_rows // HIGH)
+    rows = min(n_rows, HIGH)
+    samples = np.full(n_frames * rows * WIDE, 0, np.uint8)
     samples[: len(payload)] = np.frombuffer(payload, np.uint8)
-    scan = np.zeros((n_frames, BLOCKS, SCAN_BLOCK), np.uint8)
-    scan[:, :, 1::2] = 1
-    scan[:, :, 2::2] = samples.reshape(n_frames, BLOCKS, PER_BLOCK)
-    frames = [HEADER + f.tobytes().replace(b"\xff", b"\xff\x00") + b"\xff\xd9" for f in scan]
+    level = samples.reshape(n_frames, -1).astype(np.int32) - 128
+    scans = _block_words()[np.diff(level, axis=1, prepend=0) + 255].astype(">u2")  # no byte is 0xFF: nothing to stuff
+    frames = [header(rows) + scan.tobytes() + b"\xff\xd9" for scan in scans]
     movi, index, at = [b"movi"], [], 4
     for f in frames:
         index.append(struct.pack("<4sIII", b"00dc", 0x10, at, len(f)))
         movi.append(chunk(b"00dc", f))
         at += len(movi[-1])
     largest = max(map(len, frames))
-    avih = struct.pack("<14I", FRAME_MICROSECONDS, largest * 25, 0, 0x10, n_frames, 0, 1, largest, SIDE, SIDE, 0, 0, 0, 0)
-    strh = struct.pack("<4s4sIHHIIIIIIIIhhhh", b"vids", b"MJPG", 0, 0, 0, 0, FRAME_MICROSECONDS, 1_000_000, 0, n_frames, largest, 0xFFFFFFFF, 0, 0, 0, SIDE, SIDE)
-    strf = struct.pack("<IiiHH4sIiiII", 40, SIDE, SIDE, 1, 8, b"MJPG", SIDE * SIDE, 0, 0, 0, 0)
+    avih = struct.pack("<14I", FRAME_MICROSECONDS, largest * 25, 0, 0x10, n_frames, 0, 1, largest, 8 * WIDE, 8 * rows, 0, 0, 0, 0)
+    strh = struct.pack("<4s4sIHHIIIIIIIIhhhh", b"vids", b"MJPG", 0, 0, 0, 0, FRAME_MICROSECONDS, 1_000_000, 0, n_frames, largest, 0xFFFFFFFF, 0, 0, 0, 8 * WIDE, 8 * rows)
+    strf = struct.pack("<IiiHH4sIiiII", 40, 8 * WIDE, 8 * rows, 1, 8, b"MJPG", 64 * WIDE * rows, 0, 0, 0, 0)
     hdrl = b"hdrl" + chunk(b"avih", avih) + chunk(b"LIST", b"strl" + chunk(b"strh", strh) + chunk(b"strf", strf))
     info = b"INFO" + chunk(b"ICMT", str(len(payload)).encode())
     body = b"AVI " + chunk(b"LIST", hdrl) + chunk(b"LIST", info) + chunk(b"LIST", b"".join(movi)) + chunk(b"idx1", b"".join(index))
@@ -126,14 +163,32 @@ def parse(data: bytes) -> Avi:
 
 
 def frame_samples(frame: bytes) -> np.ndarray:
-    """The stored bytes of a frame that encode() wrote."""
-    if not frame.startswith(HEADER):
-        raise ValueError("not a frame of stored bytes")
-    scan = frame[len(HEADER) : frame.rindex(b"\xff\xd9")].replace(b"\xff\x00", b"\xff")
-    blocks = np.frombuffer(scan, np.uint8).reshape(-1, SCAN_BLOCK)
-    if blocks[:, 0].any() or (blocks[:, 1::2] != 1).any():
-        raise ValueError("a coefficient has another code")
-    return blocks[:, 2::2].reshape(-1)
+    """The samples of a frame that encode() wrote, decoded: the picture at an eighth of its size."""
+    rows = struct.unpack_from(">H", frame, _ROWS_AT)[0] // 8 if len(frame) > _ROWS_AT + 2 else 0
+    head = header(rows) if 0 < rows <= HIGH else b""
+    if not rows or not frame.startswith(head) or len(frame) != len(head) + 2 * rows * WIDE + 2:
+        raise ValueError("not a frame of stored samples")
+    step = _differences()[np.frombuffer(frame, ">u2", rows * WIDE, len(head))]
+    if step.min() < -255:
+        raise ValueError("a block has another code")
+    # coefficient times quantiser is DC; a flat block's samples are DC / 8, and 128
+    level = np.cumsum(step) * QUANTISER // 8 + 128
+    if level.min() < 0 or level.max() > 255:
+        raise ValueError("a sample is out of range")
+    return level.astype(np.uint8)
+
+
+#: Where a frame tells its height: after its start, its quantiser and the marker, length and precision.
+_ROWS_AT = 2 + 69 + 5
+
+
+def frame_shares(frame: bytes) -> np.ndarray:
+    """The histogram of a decoded frame; of its own frames flat blocks are counted once."""
+    try:
+        samples = frame_samples(frame)
+    except ValueError:
+        samples = frame_picture(frame).reshape(-1)
+    return histogram(samples)
 
 
 def frame_picture(frame: bytes) -> np.ndarray:
@@ -153,12 +208,10 @@ def decode(data: bytes) -> tuple[bytes, Avi]:
     return samples[: int(avi.comment.rstrip(b"\0"))].tobytes(), avi
 
 
-def histograms(samples: np.ndarray, per_frame: int) -> np.ndarray:
-    """Shares of BINS bins of each frame."""
-    n = -(-len(samples) // per_frame) or 1
-    frame = np.arange(len(samples)) // per_frame
-    counts = np.bincount(frame * BINS + (samples >> 4), minlength=n * BINS).reshape(n, BINS)
-    return counts / np.maximum(1, counts.sum(axis=1, keepdims=True))
+def histogram(samples: np.ndarray) -> np.ndarray:
+    """Shares of BINS bins."""
+    counts = np.bincount(samples >> 4, minlength=BINS)
+    return counts / max(1, counts.sum())
 
 
 def cuts(shares: np.ndarray, window: int = 8, deviations: float = 2.5, floor: float = 0.08) -> list[int]:
@@ -180,10 +233,16 @@ def clip_rows(shares: np.ndarray, seconds: float) -> list[tuple[int, int, int, f
     return [(i, a, b, a * seconds, b * seconds) for i, (a, b) in enumerate(zip(edges, edges[1:]))]
 
 
-def clips(df: DataFrame, column: str, keep: list[str], pictures: bool = False) -> DataFrame:
-    """Timed clip rows of a column of AVI files; pictures: decode frames to luminance first.
+def file_clips(avi: Avi) -> tuple[np.ndarray, list[tuple[int, int, int, float, float]]]:
+    """Histograms of all frames, decoded, and the clips between their cuts."""
+    shares = np.stack([frame_shares(f) for f in avi.frames]) if avi.frames else np.zeros((0, BINS))
+    return shares, clip_rows(shares, avi.frame_seconds) if avi.frames else []
+
+
+def clips(df: DataFrame, column: str, keep: list[str]) -> DataFrame:
+    """Timed clip rows of a column of AVI files of any maker, by their decoded frames.
 
-    A null file has no clip.
+    A null file, and one without a frame, has no clip.
     """
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields)
 
@@ -193,10 +252,7 @@ def clips(df: DataFrame, column: str, keep: list[str], pictures: bool = False) -
             for i, data in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
                 if data is None:
                     continue
-                avi = parse(data)
-                frames = [frame_picture(f).reshape(-1) if pictures else frame_samples(f) for f in avi.frames]
-                shares = np.concatenate([histograms(f, max(1, len(f))) for f in frames])
-                got = clip_rows(shares, avi.frame_seconds)
+                got = file_clips(parse(data))[1]
                 rows += [i] * len(got)
                 out += got
             columns = list(zip(*out)) or [[]] * 5

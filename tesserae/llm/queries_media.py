@@ -21,8 +21,7 @@ def digest(text: bytes) -> tuple:
     payload = text + b"\0" * (max(64, -(-len(text) // 64) * 64) - len(text))
     stored = media.encode(payload)
     back, avi = media.decode(stored)
-    shares = media.histograms(np.frombuffer(back, np.uint8), media.PER_FRAME)
-    clips = media.clip_rows(shares, avi.frame_seconds)
+    shares, clips = media.file_clips(avi)
     feature = f"{len(avi.frames)} frames; clips " + ",".join(f"{c[3]:.2f}-{c[4]:.2f}" for c in clips) + "; histogram " + ",".join(f"{x:.4f}" for x in shares.mean(axis=0))
     return len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, len(avi.frames), len(clips)
 
