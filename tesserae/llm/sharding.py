@@ -2,20 +2,25 @@
 
 Records are hashed into a fixed number of slots; bytes and rows are summed per slot; a versioned
 slot-to-shard map says where each slot lives. Rebalancing edits the map: version 1 deals the
-slots round robin, and each later version moves only the slots that overload a shard. A map has
-n_slots rows at most, so it can be joined by broadcast and folded in a single row.
+slots round robin, and each later version moves only the slots that overload a shard. Versions
+are kept in a folder, one below another; rebalancing loads the newest, edits it and stores the
+next. A map has n_slots rows at most, so it can be joined by broadcast and folded in a single row.
 
 Null ids and texts hash like any value, empty texts count one byte, equal rows take different
-places in the same slot, and an empty table gives an empty result. Extra columns are ignored.
+places in the same slot, and an empty table gives an empty result (and an empty map). Very long
+texts count by their bytes only. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 N_SLOTS = 4096
 #: Parts of a slot in which rows are numbered on their own.
 N_PARTS = 8
+#: A version's file has the map, and the loads of which it was made; versions are folders.
+STORED = "vslot int, shard int, bytes bigint, rows bigint, version int"
 
 
 def slot_of(*columns: Column, n_slots: int = N_SLOTS) -> Column:
@@ -32,6 +37,46 @@ def first_map(loads: DataFrame, n_shards: int) -> DataFrame:
     return loads.select(F.lit(1).alias("version"), "vslot", (F.col("vslot") % n_shards).cast("int").alias("shard"), "bytes", "rows")
 
 
+def stored(spark: SparkSession, folder: str) -> DataFrame | None:
+    """All versions in the folder, None without a folder."""
+    try:
+        return spark.read.schema(STORED).parquet(folder)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def last_version(versions: DataFrame | None) -> int:
+    """0 where no version has a slot."""
+    return versions.agg(F.max("version")).first()[0] or 0 if versions is not None else 0
+
+
+def newest(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest version in the folder."""
+    versions = stored(spark, folder)
+    return versions.where(F.col("version") == last_version(versions))
+
+
+def next_map(spark: SparkSession, loads: DataFrame, n_shards: int, folder: str) -> DataFrame:
+    """Loads the newest map of the folder (or stores the first), edits it for the loads, stores and returns the edition.
+
+    Versions are only added; of two editors at once, the second fails. Slots that the old map does
+    not know are dealt round robin first. Without a load, there is nothing to edit.
+    """
+    keep = lambda slot_map, version: slot_map.select("vslot", "shard", "bytes", "rows").coalesce(1).write.mode("overwrite" if version == 1 else "error").parquet(f"{folder}/version={version}")
+    version = last_version(stored(spark, folder))
+    if not version:  # no folder, or one of an empty table
+        keep(first_map(loads, n_shards), 1)
+        version = last_version(stored(spark, folder))
+    old = newest(spark, folder)
+    if version:
+        known = F.broadcast(old.select("vslot", "shard"))
+        shard = F.coalesce("shard", F.col("vslot") % n_shards).cast("int")
+        keep(rebalance(loads.join(known, "vslot", "left").select("vslot", shard.alias("shard"), "bytes", "rows"), n_shards, version + 1), version + 1)
+    return newest(spark, folder)
+
+
 def rebalance(slot_map: DataFrame, n_shards: int, version: int) -> DataFrame:
     """The next version of a map for n_shards shards, with near equal bytes.
 
@@ -64,7 +109,7 @@ def rebalance(slot_map: DataFrame, n_shards: int, version: int) -> DataFrame:
 
 
 def shard_records(records: DataFrame, slot_map: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds shard and slot, the place in the shard, gapless from 0.
+    """Adds shard, map_version and slot, the place in the shard, gapless from 0.
 
     records: with vslot and part, an input-order salt below N_PARTS. Rows are numbered within
     a slot's part; parts and slots are stacked by their counts.
@@ -73,5 +118,6 @@ def shard_records(records: DataFrame, slot_map: DataFrame, keys: list[str]) -> D
     numbered = records.withColumn("rank", F.row_number().over(inside) - 1)
     parts = records.groupBy("vslot", "part").agg(F.count(F.lit(1)).alias("n"))
     stack = Window.partitionBy("shard").orderBy("vslot", "part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = parts.join(F.broadcast(slot_map.select("vslot", "shard")), "vslot").withColumn("base", F.coalesce(F.sum("n").over(stack), F.lit(0))).select("vslot", "part", "shard", "base")
+    placed = slot_map.select("vslot", "shard", F.col("version").alias("map_version"))
+    bases = parts.join(F.broadcast(placed), "vslot").withColumn("base", F.coalesce(F.sum("n").over(stack), F.lit(0))).select("vslot", "part", "shard", "map_version", "base")
     return numbered.join(F.broadcast(bases), ["vslot", "part"]).withColumn("slot", F.col("base") + F.col("rank")).drop("base", "rank")

@@ -14,7 +14,7 @@ from tesserae.llm import media, packing
 from tesserae.llm.queries_contain import ORACLE_SQL, op2_containment
 from tesserae.llm.queries_media import op7_avi_motion_jpeg
 from tesserae.llm.queries_packing import op10_best_fit_packing, tokenizer_path
-from tesserae.llm.queries_sharding import op8_virtual_slots
+from tesserae.llm.queries_sharding import op8_virtual_slots, shard
 from tests.llm.fixtures import edge_rows
 
 
@@ -119,6 +119,43 @@ def test_op8(spark, sf, edge, docs, small):
         assert max(load.values()) < 1.05 * min(load.values())
 
 
+def rebalanced(loads, shard_of, n_shards):
+    """The rule of sharding.rebalance, slot by slot."""
+    mean, out, moved = -(-sum(loads.values()) // n_shards), {}, []
+    load = [0] * n_shards
+    for s in {shard_of[v] for v in loads}:
+        total = 0
+        for v in sorted((v for v in loads if shard_of[v] == s), key=lambda v: (-loads[v], v)):
+            total += loads[v]
+            if total <= mean and s < n_shards:
+                out[v] = s
+                load[s] += loads[v]
+            else:
+                moved.append(v)
+    for v in sorted(moved, key=lambda v: (-loads[v], v)):
+        s = load.index(min(load))
+        out[v] = s
+        load[s] += loads[v]
+    return out
+
+
+def test_op8_stores_loads_and_edits_its_map(spark, sf, tmp_path):
+    docs, folder = spark.read.parquet(f"{sf}/documents.parquet"), f"file://{tmp_path}/map"
+    maps = []
+    for n_shards, version in ((16, 2), (16, 3), (20, 4)):
+        out = shard(docs, n_shards, folder).collect()
+        assert {r["map_version"] for r in out} == {version}
+        loads = collections.Counter()
+        for r in out:
+            loads[r["vslot"]] += r["size"]
+        old = maps[-1] if maps else {v: v % n_shards for v in loads}
+        maps.append({r["vslot"]: r["shard"] for r in out})
+        assert maps[-1] == rebalanced(loads, old, n_shards)
+    assert maps[0] == maps[1] or sum(maps[0][v] != maps[1][v] for v in maps[0]) < len(maps[0]) // 4
+    stored = {r["version"] for r in spark.read.parquet(folder).select("version").distinct().collect()}
+    assert stored == {1, 2, 3, 4}
+
+
 def test_op8_empty(spark, empty):
     assert op8_virtual_slots(spark, empty).count() == 0
 
