@@ -37,6 +37,28 @@ def test_op2_blocks(spark, edge):
     assert collections.Counter(map(tuple, one.collect())) == collections.Counter(map(tuple, many.collect()))
 
 
+def test_op2_partitions_by_size(spark, empty):
+    """Items of sizes from one shingle to thousands, at the border of containment, inside longer documents."""
+    from tesserae.llm import contain
+
+    rnd = np.random.default_rng(12)
+    word = lambda n: [f"w{x}" for x in rnd.integers(0, 400, n)]
+    items = [(i, " ".join(word(n))) for i, n in enumerate([3, 5, 6, 9, 17, 40, 130, 700, 3000])]
+    docs = []
+    for i, text in items:
+        w = text.split()
+        for share in (0.7, 0.8, 0.85, 1.0):
+            docs.append((len(docs), " ".join([*word(30), *w[: int(share * len(w)) + 4], *word(50)])))
+    docs += [(None, items[4][1]), (500, items[0][1]), (501, None), (502, "")]
+    grams = lambda t: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set()
+    want = {(d, i, len(grams(t)), n) for d, x in docs for i, t in items if (n := len(grams(x) & grams(t))) and n >= 0.8 * len(grams(t)) - 1e-9}
+    frame = lambda rows, name: spark.createDataFrame(rows, f"{name} bigint, text string")
+    got = contain.search(frame(docs, "doc_id"), frame(items, "item_id"), block_bytes=4000).collect()
+    assert len(got) == len(want) and set(map(tuple, got)) == want and len(want) > 20
+    assert len(contain.Sketches([i for i, _ in items], [t.encode() for _, t in items], 5, 0.8).partitions) >= 6
+    assert op2_containment(spark, empty).isEmpty()
+
+
 def padded(text):
     b = (text or "").encode()
     return b + b"\0" * (max(64, -(-len(b) // 64) * 64) - len(b))
