@@ -138,7 +138,7 @@ def anchors(hashes: np.ndarray, scheme: Scheme) -> np.ndarray:
 
 def runs(s: Symbols, scheme: Scheme) -> Runs:
     length, span = scheme.length, scheme.span
-    hashes = window_hash(sequence_prefix(s.words.each()) if s.words else prefix_hash(s.block.data), scheme.gram)
+    hashes = window_hash(sequence_prefix(s.words.keys()[0]) if s.words else prefix_hash(s.block.data), scheme.gram)
     if len(hashes) < span:
         none = np.zeros(0, np.int64)
         return Runs(none.view(np.uint64), none.view(np.uint64), none.view(np.uint64), none, none, none)

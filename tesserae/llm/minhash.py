@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tesserae.llm.common import materialize
+from tesserae.llm.common import materialize, scratch
 from tesserae.llm.textblocks import blocks, distinct, mix, shingles, values, words
 
 
@@ -172,29 +172,36 @@ def components(labels: DataFrame, edges: DataFrame) -> DataFrame:
         labels = materialize(labels.join(hook, "comp", "left").select("rep", F.coalesce("to", "comp").alias("comp")), "labels")
 
 
-def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of each row of docs (doc_id, text)."""
-    signed = materialize(signatures(docs, s), "signatures")
-    real = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = real.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"))
-    classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+def component_labels(docs: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
+    """(rep, comp) of the classes that share a band key, written as a table."""
     banded = classes.select("rep", "n_shingles", F.explode("keys").alias("key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     members = materialize(banded.join(shared, "key"), "members")
     ids = members.select("rep").distinct()
-    labels = ids.select("rep", F.col("rep").alias("comp"))
+    labels = materialize(ids.select("rep", F.col("rep").alias("comp")), "labels")
     if not members.isEmpty():
         wanted = materialize(classes.select("rep", "first_id", "k1", "k2").join(ids, "rep"), "wanted")
         found = full_sets(docs, wanted, s)
         sets = materialize(found.dropDuplicates(["rep"]) if repeats(docs) else found, "sets")
         members = materialize(members.join(common_counts(sets), "rep"), "counted")
-        labels = materialize(labels, "labels")
         for k in range(s.hub_rounds + 2):
             here = open_members(members.join(labels, "rep"), k, s)
             pairs = materialize(hub_pairs(here, k, s) if k <= s.hub_rounds else all_pairs(here, sets, s), "pairs")
             if not pairs.isEmpty():
                 some = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
                 labels = components(labels, confirmed(pairs, sets.join(some, "rep", "left_semi"), s.percent))
+    return materialize(labels, "labels")
+
+
+def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of each row of docs (doc_id, text)."""
+    signed = materialize(signatures(docs, s), "signatures")
+    real = signed.where("n_shingles > 0 and doc_id is not null")
+    classes = real.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"))
+    classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    with scratch(docs.sparkSession) as tables:
+        labels = component_labels(docs, classes, s)
+        tables.pop()  # the last one written is that of the labels
     least = classes.join(labels, "rep").groupBy("comp").agg(F.min("first_id").alias("least"))
     groups = classes.drop("keys").join(labels.join(least, "comp"), "rep", "left")
     groups = groups.select("k1", "k2", "n_shingles", F.coalesce("least", "first_id").alias("component_id"))

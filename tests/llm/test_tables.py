@@ -186,7 +186,6 @@ def check_packing(out, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     ids = collections.defaultdict(list)
     for d, text in texts:
         ids[d].append(np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], "<u4"))
