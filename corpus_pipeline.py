@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tesserae.llm import contain, langid, minhash, packing, suffix
-from tesserae.llm.common import bounded_batches, materialize, split_of, table
+from tesserae.llm.common import bounded_batches, materialize, remove, scratch, split_of, table
 from tesserae.llm.queries_packing import tokenizer_path
 
 #: No SQL: language profiles and packing are not expressible; tests compare with brute force.
@@ -95,7 +95,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch(spark) as tables:
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+            written = tables.pop()
+        if last:
+            remove(spark, last)
+        last = written
     return docs
