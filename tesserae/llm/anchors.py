@@ -18,21 +18,23 @@ Documents are dealt to chunks by id, once; all steps below read that one exchang
 3. Chunks get a bit mask of windows for each string, and apply it to their whole documents.
 A passage that many documents share is one entry a chunk, whatever its count.
 
-Strings are equal if their 128-bit keys (two lanes, see textblocks) are; anchors, which only say
-what is to be compared, are 64-bit hashes.
+Strings are equal if their 128-bit keys are: a 64-bit polynomial, by which most are told apart at
+little cost, and 64 bits of a BLAKE2 digest of those that are left. Anchors, which only say what
+is to be compared, are 64-bit hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, fields
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tesserae.llm.common import chunks_for, text_bytes
-from tesserae.llm.textblocks import Block, Words, blocks, lane_prefix, lane_span, prefix_hash, rank_pairs, sequence_prefix, values, window_hash, words
+from tesserae.llm.textblocks import Block, Words, blocks, prefix_hash, rank_pairs, sequence_prefix, span_hash, values, window_hash, words
 
 #: Bits of a packed minimum that hold its place in a segment of a text.
 PLACE = np.uint64((1 << 22) - 1)
@@ -67,20 +69,22 @@ class Symbols:
     block: Block
     bounds: np.ndarray  # (documents, 2): first symbol, and the one after the last
     words: Words | None
-    lanes: list[np.ndarray]  # prefixes over the bytes
+    prefix: np.ndarray  # of the hashes of spans
 
-    def keys(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """128-bit keys of the spans [first, last) of symbols."""
-        if self.words:
-            return self.words.spans(first, last, 0), self.words.spans(first, last, 1)
-        self.lanes = self.lanes or [lane_prefix(self.block.data, k) for k in (0, 1)]
-        return lane_span(self.lanes[0], first, last, 0), lane_span(self.lanes[1], first, last, 1)
+    def hashes(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The first half of the keys of the spans [first, last) of symbols."""
+        if not len(self.prefix):
+            self.prefix = prefix_of(self.block, self.words)
+        return span_hash(self.prefix, first, last)
+
+    def checks(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The other half: digests of their bytes."""
+        raw = b"".join([blake2b(x, digest_size=8).digest() for x in self.strings(first, last)])
+        return np.frombuffer(raw, np.uint64)
 
     def forget(self) -> None:
-        """Gives the prefixes back."""
-        self.lanes = []
-        if self.words:
-            self.words.lanes = {}
+        """Gives the prefix back."""
+        self.prefix = np.zeros(0, np.uint64)
 
     def strings(self, first: np.ndarray, last: np.ndarray) -> list[bytes]:
         """Bytes of each span of symbols; words joined by a space."""
@@ -96,18 +100,21 @@ class Symbols:
         return int(self.bounds[-1, 1]) + 1
 
 
+def prefix_of(block: Block, w: Words | None) -> np.ndarray:
+    return sequence_prefix(w.keys()[0]) if w else prefix_hash(block.data)
+
+
 def symbols(block: Block, scheme: Scheme) -> Symbols:
     if not scheme.words:
-        return Symbols(block, np.stack((block.starts, block.ends), axis=1), None, [])
+        return Symbols(block, np.stack((block.starts, block.ends), axis=1), None, prefix_of(block, None))
     w = words(block, fold=False)
-    return Symbols(block, np.stack((w.bounds[:-1], w.bounds[1:]), axis=1), w, [])
+    return Symbols(block, np.stack((w.bounds[:-1], w.bounds[1:]), axis=1), w, prefix_of(block, w))
 
 
 @dataclass
 class Runs:
     key: np.ndarray  # anchor hash
     hash: np.ndarray  # of the string
-    check: np.ndarray  # of the string, too
     start: np.ndarray  # first window, as a symbol of the block
     count: np.ndarray  # windows
     doc: np.ndarray  # row of the block
@@ -138,10 +145,10 @@ def anchors(hashes: np.ndarray, scheme: Scheme) -> np.ndarray:
 
 def runs(s: Symbols, scheme: Scheme) -> Runs:
     length, span = scheme.length, scheme.span
-    hashes = window_hash(sequence_prefix(s.words.keys()[0]) if s.words else prefix_hash(s.block.data), scheme.gram)
+    hashes = window_hash(s.prefix, scheme.gram)
     if len(hashes) < span:
         none = np.zeros(0, np.int64)
-        return Runs(none.view(np.uint64), none.view(np.uint64), none.view(np.uint64), none, none, none)
+        return Runs(none.view(np.uint64), none.view(np.uint64), none, none, none)
     every = anchors(hashes, scheme)
     inside = np.zeros(len(every) + 1, np.int8)  # windows that lie in one document
     full = s.bounds[:, 1] - s.bounds[:, 0] >= length
@@ -155,7 +162,7 @@ def runs(s: Symbols, scheme: Scheme) -> Runs:
     new[1:] |= doc[1:] != doc[:-1]
     at = np.flatnonzero(new)
     start, count = window[at], np.diff(np.append(at, len(window)))
-    return Runs(hashes[place[at]], *s.keys(start, start + count + length - 1), start, count, doc[at])
+    return Runs(hashes[place[at]], s.hashes(start, start + count + length - 1), start, count, doc[at])
 
 
 @dataclass
@@ -262,15 +269,26 @@ def split_crowded(c: Chunk, crowded: np.ndarray, scheme: Scheme) -> Chunk:
         if len(of):
             n = r.count[of]
             start = np.repeat(r.start[of] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            hashes, check = s.keys(start, start + scheme.length)
+            hashes = s.hashes(start, start + scheme.length)
             s.forget()
-            parts.append(Runs(hashes, hashes, check, start, np.ones(len(start), np.int64), np.repeat(r.doc[of], n)))
+            parts.append(Runs(hashes, hashes, start, np.ones(len(start), np.int64), np.repeat(r.doc[of], n)))
             blocks_of.append(np.full(len(start), b))
     joined, block = Runs.join(parts), np.concatenate(blocks_of)
     order = np.lexsort((joined.start, block))
     return Chunk(c.rows, c.order, c.symbols, joined.take(order), block[order])
 
 
+def checks(c: Chunk, some: np.ndarray, scheme: Scheme) -> np.ndarray:
+    """Second halves of the keys of some of the chunk's strings."""
+    out = np.zeros(len(some), np.uint64)
+    for b, s in enumerate(c.symbols):
+        of = np.flatnonzero(c.block[some] == b)
+        if len(of):
+            start = c.runs.start[some[of]]
+            out[of] = s.checks(start, start + c.runs.count[some[of]] + scheme.length - 1)
+    return out
+
+
 #: What a chunk sends of each distinct string: anchor hash and string key, first place, windows, whether it occurs again in the chunk, bytes.
 STRING = np.dtype([("key", "<u8"), ("hash", "<u8"), ("check", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("bytes", "<i4"), ("count", "<u1"), ("again", "?")])
 
@@ -287,7 +305,8 @@ def send(scheme: Scheme, n_buckets: int) -> Callable:
         left = np.isin(c.runs.key, keys[met], kind="sort")
         c = Chunk(c.rows, c.order, c.symbols, c.runs.take(left), c.block[left])
         c = split_crowded(c, keys[crowded], scheme)
-        first, _, n = rank_pairs(c.runs.hash, c.runs.check)
+        check = checks(c, np.arange(len(c.runs.key)), scheme)
+        first, _, n = rank_pairs(c.runs.hash, check)
         back = np.argsort(first)
         first, n = first[back], n[back]
         texts: list[bytes] = []
@@ -300,7 +319,7 @@ def send(scheme: Scheme, n_buckets: int) -> Callable:
                 texts += [next(some) if p else b"" for p in plain.tolist()]
                 origin[len(texts) - len(of) : len(texts)] = s.bounds[c.runs.doc[of], 0]
         rows = np.zeros(len(first), STRING)
-        rows["key"], rows["hash"], rows["check"], rows["count"], rows["again"] = c.runs.key[first], c.runs.hash[first], c.runs.check[first], c.runs.count[first], n > 1
+        rows["key"], rows["hash"], rows["check"], rows["count"], rows["again"] = c.runs.key[first], c.runs.hash[first], check[first], c.runs.count[first], n > 1
         lo = np.array([s.block.lo for s in c.symbols], np.int64)
         rows["doc"] = c.order[lo[c.block[first]] + c.runs.doc[first]] if len(first) else 0
         rows["start"] = c.runs.start[first] - origin
@@ -405,7 +424,7 @@ def removed(c: Chunk, answers: pa.Table, scheme: Scheme, first_stays: bool) -> l
     r = c.runs
     near = np.isin(r.hash, np.concatenate([k[0] for k in keys]), kind="sort") if keys else np.zeros(len(r.hash), bool)
     hit = np.flatnonzero(near)
-    _, number, counts = rank_pairs(*(np.concatenate((*(k[i] for k in keys), mine[hit])) for i, mine in enumerate((r.hash, r.check))))
+    _, number, counts = rank_pairs(np.concatenate((*(k[0] for k in keys), r.hash[hit])), np.concatenate((*(k[1] for k in keys), checks(c, hit, scheme))))
     n_told = len(number) - len(hit)
     known, mask = np.zeros(len(counts), bool), np.zeros(len(counts), np.uint64)
     known[number[:n_told]] = True
