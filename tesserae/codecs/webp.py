@@ -75,7 +75,7 @@ def canonical(lengths: list[int]) -> list[int]:
 class Code:
     """A prefix code: written once, then used."""
 
-    #: Order in which the lengths of the code-length code are written.
+    # Order in which the lengths of the code-length code are written.
     ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 
     def __init__(self, counts: list[int]):

@@ -1,7 +1,8 @@
-"""A small VP8L reader for tests: predictor and subtract-green transforms, one code group."""
+"""A small VP8L reader, by which the encoder is checked: predictor and subtract-green transforms, one code group."""
 
 import numpy as np
 
+# Order of the code-length code.
 ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 
 

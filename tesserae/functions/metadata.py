@@ -95,6 +95,11 @@ def tag_name(tag_id: Column) -> Column:
     return F.coalesce(F.try_element_at(names, tag_id.cast("int")), F.concat(F.lit("Tag"), tag_id.cast("string")))
 
 
+def named_tags(tag_id: Column, value: Column) -> Column:
+    """Aggregate: the values of a directory's tags by name."""
+    return F.map_from_entries(F.collect_list(F.struct(tag_name(tag_id).alias("key"), value.alias("value"))))
+
+
 def decodable(compression: Column, photometric: Column, samples: Column, bits: Column, predictor: Column) -> Column:
     """Whether an associated image can be decoded: JPEG, or a raw codec of 8-bit RGB or RGBA."""
     raw = compression.isin(1, 5, 8, 32773, 32946) & (photometric == 2) & samples.isin(3, 4) & F.forall(bits, lambda b: b == 8) & predictor.isin(1, 2)

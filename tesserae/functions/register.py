@@ -70,10 +70,36 @@ class VisibleTiles:
                 yield tx, ty, max(abs(tx - cx), abs(ty - cy))
 
 
+#: hit_test in SQL, with the rules of annotations.hit.
+HIT_TEST = """CREATE OR REPLACE TEMPORARY FUNCTION hit_test(kind STRING, points ARRAY<STRUCT<x: DOUBLE, y: DOUBLE>>, filled BOOLEAN, px DOUBLE, py DOUBLE, tolerance DOUBLE)
+RETURNS BOOLEAN RETURN {body}"""
+
+
+def hit_test_sql() -> str:
+    """The body of hit_test, from its building blocks."""
+    distance = lambda a, b: (
+        f"(transform(array(named_struct('a', {a}, 'b', {b})), s -> transform(array(if(s.a.x = s.b.x and s.a.y = s.b.y, 0D, least(greatest(((px - s.a.x) * (s.b.x - s.a.x) + (py - s.a.y) * (s.b.y - s.a.y))"
+        " / nullif((s.b.x - s.a.x) * (s.b.x - s.a.x) + (s.b.y - s.a.y) * (s.b.y - s.a.y), 0D), 0D), 1D))), t -> sqrt(pow(px - (s.a.x + (s.b.x - s.a.x) * t), 2) + pow(py - (s.a.y + (s.b.y - s.a.y) * t), 2)))[0])[0])"
+    )
+    near = lambda points, closed: f"exists(sequence(0, size({points}) - 1), i -> (i + 1 < size({points}) or ({closed} and size({points}) > 2) or size({points}) = 1) and {distance(f'{points}[i]', f'{points}[(i + 1) % size({points})]')} <= tolerance)"
+    edge = lambda e: f"transform(points, p -> p.{e})"
+    left, top, right, bottom = f"array_min({edge('x')})", f"array_min({edge('y')})", f"array_max({edge('x')})", f"array_max({edge('y')})"
+    corner = lambda x, y: f"named_struct('x', {x}, 'y', {y})"
+    box = f"array({corner(left, top)}, {corner(right, top)}, {corner(right, bottom)}, {corner(left, bottom)})"
+    crosses = "(points[i].y > py) <> (points[(i + 1) % size(points)].y > py) and px < (points[(i + 1) % size(points)].x - points[i].x) * (py - points[i].y) / nullif(points[(i + 1) % size(points)].y - points[i].y, 0D) + points[i].x"
+    inside = f"size(filter(sequence(0, size(points) - 1), i -> {crosses})) % 2 = 1"
+    return (
+        f"CASE kind WHEN 'point' THEN {distance('points[0]', 'points[0]')} <= tolerance WHEN 'polyline' THEN {near('points', 'false')}"
+        f" WHEN 'rectangle' THEN (filled and px >= {left} and px < {right} and py >= {top} and py < {bottom}) or {near(box, 'true')}"
+        f" WHEN 'polygon' THEN (filled and {inside}) or {near('points', 'true')} END"
+    )
+
+
 def register_functions(spark: SparkSession) -> None:
     reachable(spark)
     spark.udf.register("decode_tile", decode_tile)
     spark.udf.register("encode_image", encode_image)
     spark.udf.register("decompress_strip", decompress_strip)
+    spark.sql(HIT_TEST.format(body=hit_test_sql()))
     spark.udtf.register("slide_tags", SlideTags)
     spark.udtf.register("visible_tiles", VisibleTiles)

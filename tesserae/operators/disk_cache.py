@@ -6,13 +6,19 @@ L{level}_X{tx}_Y{ty}.tile. Composites of several tiles are not kept here: names
 
 from __future__ import annotations
 
+import hashlib
 import os
 import struct
 from collections import OrderedDict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tesserae.codecs import raster
+from tesserae.errors import SlideError
+from tesserae.sources.slide import open_slide
+
 NAME = r"L(\d+)_X(\d+)_Y(\d+)\.tile$"
 DEFAULT_BYTES = 500 << 20
 
@@ -68,6 +74,47 @@ class DiskTileCache:
         return out
 
 
+def load(requests: DataFrame, folder: str, max_bytes: int = DEFAULT_BYTES) -> DataFrame:
+    """Tiles (slide_id, level, tx, ty, reduction, landed, width, height, rgba, origin) of requests (slide_id, level, tx, ty, reduction, visible).
+
+    From the disk cache, where one at full resolution is asked for, else from the slide; visible
+    ones at full resolution are then kept on disk. origin is disk, slide, or sparse; a tile that
+    cannot be read has origin error and no raster. One task serves a slide, whose folder below
+    `folder` it alone writes to.
+    """
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        path, rows = key[0].as_py(), []
+        cache = DiskTileCache(os.path.join(folder, hashlib.sha256(path.encode()).hexdigest()[:16]), max_bytes)
+        slide = open_slide(path)
+        tables: dict = {}
+        for r in group.sort_by([("level", "ascending"), ("ty", "ascending"), ("tx", "ascending")]).to_pylist():
+            level, tx, ty, reduction = r["level"], r["tx"], r["ty"], r["reduction"]
+            image, origin, landed = (cache.get(level, tx, ty) if not reduction else None), "disk", 0
+            if image is None:
+                try:
+                    v = slide.levels[level]
+                    if level not in tables:
+                        tables[level] = v.tile_table(), v.ifd.raw(347)
+                    data = slide.tile_bytes(level, tx, ty, tables[level][0])
+                    image = raster.decode_tile(data, v.compression, v.photometric, tables[level][1], reduction) if data else None
+                    origin, landed = "slide" if data else "sparse", reduction
+                except (SlideError, IndexError, KeyError, ValueError):
+                    origin = "error"
+                if image is not None and r["visible"] and not reduction:
+                    cache.put(level, tx, ty, image)
+            size = (None, None, None) if image is None else (image.shape[1], image.shape[0], image.tobytes())
+            rows.append((path, level, tx, ty, reduction, landed, *size, origin))
+        slide.close()
+        kinds = [pa.string(), *[pa.int32()] * 7, pa.binary(), pa.string()]
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[f.split()[0] for f in LOADED.split(", ")])
+
+    return requests.select("slide_id", "level", "tx", "ty", "reduction", "visible").groupBy("slide_id").applyInArrow(run, LOADED)
+
+
+LOADED = "slide_id string, level int, tx int, ty int, reduction int, landed int, width int, height int, rgba binary, origin string"
+
+
 def listing(spark: SparkSession, folder: str) -> DataFrame:
     """(level, tx, ty, size, used) of a cache folder, as a table for the eviction operator."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tile").load(folder).select("path", "modificationTime", "length")

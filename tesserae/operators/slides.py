@@ -14,12 +14,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tesserae.codecs import raster
 from tesserae.functions.adjust import Adjustments
-from tesserae.functions.metadata import POSITIONAL
+from tesserae.functions.metadata import POSITIONAL, fields, named_tags
 from tesserae.sinks.tiff_writer import ImageSpec, LevelSpec, write
+from tesserae.session import reachable
+from tesserae.sinks.files import write_file
+from tesserae.sources.bytesource import expand
 from tesserae.sources.datasource import register
 from tesserae.sources.slide import Associated, Level, Slide, open_slide
 
@@ -51,36 +55,117 @@ def decode_tiles(tiles: DataFrame, reduction: int = 0) -> DataFrame:
     return tiles.mapInArrow(run, RASTERS)
 
 
-def read_regions(spark: SparkSession, paths: str, regions: DataFrame, kind: str | None = "png", quality: int = 92, adjustments: Adjustments = Adjustments()) -> DataFrame:
-    """(region_id, width, height, image) of many rectangles (region_id, slide_id, level, x, y, width, height).
+PLAN = "region_id bigint, slide_id string, level int, x int, y int, width int, height int, lw bigint, lh bigint, tile_w int, tile_h int, tx int, ty int"
+PIECES = "region_id bigint, width int, height int, px int, py int, w int, h int, rgba binary, bytes_read bigint"
+#: Tiles of a plan handed on at a time.
+PLAN_ROWS = 4096
+
+
+def plan_regions(regions: DataFrame) -> DataFrame:
+    """PLAN: the tiles that each rectangle (region_id, slide_id, level, x, y, width, height) needs.
+
+    Only directories are read, by the tasks that hold the rectangles. A rectangle of a level that
+    the slide does not have has no row; one that lies off its level is an error.
+    """
+    names = [f.split()[0] for f in PLAN.split(", ")]
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    schema = pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in PLAN.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, slide = None, None
+        for batch in batches:
+            rows: list[tuple] = []
+            for r in batch.to_pylist():
+                if r["slide_id"] != path:
+                    if slide:
+                        slide.close()
+                    path, slide = r["slide_id"], open_slide(r["slide_id"])
+                if not 0 <= r["level"] < len(slide.levels):
+                    continue
+                v, x, y, w, h = slide.levels[r["level"]], r["x"], r["y"], r["width"], r["height"]
+                if w <= 0 or h <= 0 or x >= v.width or y >= v.height or x + w <= 0 or y + h <= 0:
+                    raise ValueError(f"region {r['region_id']} lies outside its level")
+                for ty in range(max(0, y) // v.tile_h, (min(v.height, y + h) - 1) // v.tile_h + 1):
+                    for tx in range(max(0, x) // v.tile_w, (min(v.width, x + w) - 1) // v.tile_w + 1):
+                        rows.append((r["region_id"], path, r["level"], x, y, w, h, v.width, v.height, v.tile_w, v.tile_h, tx, ty))
+                        if len(rows) == PLAN_ROWS:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), schema.types)], names=names)
+                            rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), schema.types)], names=names)
+        if slide:
+            slide.close()
+
+    return regions.select("region_id", "slide_id", "level", "x", "y", "width", "height").mapInArrow(run, PLAN)
+
+
+def read_pieces(planned: DataFrame) -> DataFrame:
+    """PIECES: of every planned tile the part inside its rectangle, decoded; nothing else is read or sent on.
+
+    The plan is dealt by tile and sorted, so a tile that several rectangles need is decoded once.
+    bytes_read: read for the row, directories included with the first tile of a slide.
+    """
+    schema = pa.schema([("region_id", pa.int64()), *((c, pa.int32()) for c in ("width", "height", "px", "py", "w", "h")), ("rgba", pa.binary()), ("bytes_read", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, slide, told, key, image = None, None, 0, None, None
+        tables: dict = {}
+        for whole in batches:
+            for lo in range(0, whole.num_rows, ROWS):
+                out = []
+                for r in whole.slice(lo, ROWS).to_pylist():
+                    if r["slide_id"] != path:
+                        if slide:
+                            slide.close()
+                        path, slide, told, tables = r["slide_id"], open_slide(r["slide_id"]), 0, {}
+                    v, tile = slide.levels[r["level"]], (path, r["level"], r["tx"], r["ty"])
+                    if tile != key:
+                        if r["level"] not in tables:
+                            tables[r["level"]] = v.tile_table(), v.ifd.raw(347)
+                        data = slide.tile_bytes(r["level"], r["tx"], r["ty"], tables[r["level"]][0])
+                        image = raster.decode_tile(data, v.compression, v.photometric, tables[r["level"]][1]) if data else None
+                        if image is not None:  # a tile at the edge may be padded beyond its level
+                            image = image[: v.height - r["ty"] * v.tile_h, : v.width - r["tx"] * v.tile_w]
+                        key = tile
+                    cut = None
+                    left, top = r["tx"] * v.tile_w, r["ty"] * v.tile_h
+                    x0, y0 = max(left, r["x"]), max(top, r["y"])
+                    if image is not None:
+                        cut = image[y0 - top : r["y"] + r["height"] - top, x0 - left : r["x"] + r["width"] - left]
+                    w, h = (0, 0) if cut is None else (cut.shape[1], cut.shape[0])
+                    out.append((r["region_id"], r["width"], r["height"], x0 - r["x"], y0 - r["y"], w, h, None if cut is None else cut.tobytes(), slide.source.bytes_read - told))
+                    told = slide.source.bytes_read
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), schema.types)], names=schema.names)
+        if slide:
+            slide.close()
+
+    return planned.repartition("slide_id", "level", "tx", "ty").sortWithinPartitions("slide_id", "level", "tx", "ty").mapInArrow(run, PIECES)
+
+
+def read_regions(spark: SparkSession, paths: str | None, regions: DataFrame, kind: str | None = "png", quality: int = 92, adjustments: Adjustments = Adjustments()) -> DataFrame:
+    """(region_id, width, height, image, bytes_read) of many rectangles (region_id, slide_id, level, x, y, width, height).
 
     Rectangles are in pixels of their level; what lies off the level or in a sparse tile stays 0,
     and one that lies off it as a whole is an error. image is encoded as kind, or raw RGBA if None.
+    Tiles are planned first, then read and decoded in as many tasks as there are partitions, so
+    that one rectangle of a whole level is decoded in parallel; only its parts meet to be composed.
+    paths, if given, are the slides that may be read.
     """
-    register(spark)
-    levels = spark.read.format("slide_levels").load(paths).select("slide_id", "level", F.col("width").alias("lw"), F.col("height").alias("lh"), "tile_w", "tile_h")
-    r = regions.join(F.broadcast(levels), ["slide_id", "level"])
-    ok = (F.col("width") > 0) & (F.col("height") > 0) & (F.col("x") < F.col("lw")) & (F.col("y") < F.col("lh")) & (F.col("x") + F.col("width") > 0) & (F.col("y") + F.col("height") > 0)
-    r = r.withColumn("checked", F.when(ok, True).otherwise(F.raise_error(F.lit("a region lies outside its level")))).where("checked")
-    span = lambda a, n, limit, tile: F.explode(F.sequence(F.floor(F.greatest(F.col(a), F.lit(0)) / F.col(tile)).cast("int"), F.floor((F.least(F.col(a) + F.col(n), F.col(limit)) - 1) / F.col(tile)).cast("int")))
-    keyed = r.withColumn("tx", span("x", "width", "lw", "tile_w")).withColumn("ty", span("y", "height", "lh", "tile_h"))
-    tiles = spark.read.format("slide_tiles").load(paths).select("slide_id", "level", "tx", "ty", "compression", "photometric", "tables", "data")
-    met = keyed.join(tiles, ["slide_id", "level", "tx", "ty"])
+    reachable(spark)
+    if paths is not None:
+        regions = regions.where(F.col("slide_id").isin(expand(paths)))
 
     def compose(key: tuple, group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        first = rows[0]
-        out = np.zeros((first["height"], first["width"], 4), np.uint8)
-        for t in rows:
-            if t["data"]:
-                image = raster.decode_tile(t["data"], t["compression"], t["photometric"], t["tables"])
-                # a tile at the edge may be padded beyond its level
-                image = image[: first["lh"] - t["ty"] * t["tile_h"], : first["lw"] - t["tx"] * t["tile_w"]]
-                raster.paste(out, image, t["tx"] * t["tile_w"] - first["x"], t["ty"] * t["tile_h"] - first["y"])
+        width, height = group.column("width")[0].as_py(), group.column("height")[0].as_py()
+        out = np.zeros((height, width, 4), np.uint8)
+        for x, y, w, h, rgba in zip(*(group.column(c).to_pylist() for c in ("px", "py", "w", "h")), group.column("rgba")):
+            if rgba.is_valid:
+                raster.paste(out, np.frombuffer(rgba.as_buffer(), np.uint8).reshape(h, w, 4), x, y)
         image = adjustments.apply(out).tobytes() if kind is None else raster.encode_image(out, kind, quality, adjustments)
-        return pa.table({"region_id": pa.array([first["region_id"]], pa.int64()), "width": pa.array([first["width"]], pa.int32()), "height": pa.array([first["height"]], pa.int32()), "image": pa.array([image], pa.binary())})
+        read = pc.sum(group.column("bytes_read")).as_py()
+        return pa.table({"region_id": pa.array([key[0].as_py()], pa.int64()), "width": pa.array([width], pa.int32()), "height": pa.array([height], pa.int32()), "image": pa.array([image], pa.binary()), "bytes_read": pa.array([read], pa.int64())})
 
-    return met.groupBy("region_id").applyInArrow(compose, "region_id bigint, width int, height int, image binary")
+    return read_pieces(plan_regions(regions)).groupBy("region_id").applyInArrow(compose, "region_id bigint, width int, height int, image binary, bytes_read bigint")
 
 
 def export_region(spark: SparkSession, path: str, level: int, x: int, y: int, width: int, height: int, kind: str | None = "png", quality: int = 92, adjustments: Adjustments = Adjustments(), max_pixels: int | None = None) -> bytes:
@@ -102,6 +187,38 @@ def export_level(spark: SparkSession, path: str, level: int, **options) -> bytes
     return export_region(spark, path, level, 0, 0, *size, **options)
 
 
+def region_to_file(spark: SparkSession, path: str, target: str, level: int, x: int, y: int, width: int, height: int, kind: str = "png", **options) -> int:
+    """export_region() into a file, whole or not at all; returns its bytes."""
+    return write_file(target, export_region(spark, path, level, x, y, width, height, kind, **options))
+
+
+def level_to_file(spark: SparkSession, path: str, target: str, level: int, **options) -> int:
+    return write_file(target, export_level(spark, path, level, **options))
+
+
+def associated_to_file(spark: SparkSession, path: str, target: str, kind: str, **options) -> int:
+    return write_file(target, export_associated(spark, path, kind, **options))
+
+
+def read_info(spark: SparkSession, paths: str) -> DataFrame:
+    """One row a slide: all tags of its levels and associated images by name, and its metadata.
+
+    (slide_id, metadata, levels, associated), the last two arrays of (ifd_index, kind, tags). A
+    tag that cannot be read has an error instead of a value.
+    """
+    register(spark)
+    load = lambda table: spark.read.format(table).option("mode", "PERMISSIVE").load(paths)
+    tags = load("slide_tags").groupBy("slide_id", "ifd_index").agg(named_tags(F.col("tag_id"), F.col("value")).alias("tags"))
+    levels = load("slide_levels").select("slide_id", "ifd_index", F.lit("level").alias("kind"), "description", "level")
+    images = load("slide_associated").select("slide_id", "ifd_index", "kind", "description", F.lit(None).cast("int").alias("level"))
+    each = levels.unionByName(images).join(tags, ["slide_id", "ifd_index"], "left")
+    item = F.struct("ifd_index", "kind", "tags")
+    listed = lambda some: F.array_sort(F.collect_list(F.when(some, item)), lambda a, b: a["ifd_index"] - b["ifd_index"])
+    base = F.max(F.when(F.col("level") == 0, F.col("description")))
+    grouped = each.groupBy("slide_id").agg(base.alias("d"), listed(F.col("level").isNotNull()).alias("levels"), listed(F.col("level").isNull()).alias("associated"))
+    return grouped.select("slide_id", fields(F.col("d")).alias("metadata"), "levels", "associated")
+
+
 def associated_images(spark: SparkSession, paths: str) -> DataFrame:
     """(slide_id, ifd_index, kind, width, height, rgba) of the decodable associated images."""
     register(spark)

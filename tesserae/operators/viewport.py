@@ -36,14 +36,21 @@ def plan(viewports: DataFrame, levels: list[dict], max_upsample: float = G.MAX_U
 def wanted(planned: DataFrame, cache_bytes: int, prefetch: bool = True, pressured: bool = False, most: int = 4096) -> DataFrame:
     """Ranked tile requests (vid, level, tx, ty, span, reduction, priority, rank): visible tiles nearest first, then the margin's.
 
-    Tiles farther from the centre than the limit can reach are not generated: the sequences are
-    cut to a radius that holds the limit on their own, so a zoomed-out view costs O(limit).
+    Tiles farther from the centre than the limit can reach are not generated: with a columns in
+    the range, the rings of radius r hold min(a, 2 r + 1) tiles in a row at least, so rows are cut to the
+    least r that holds the limit. A zoomed-out view costs a small multiple of the limit.
     """
     p = planned.withColumn("lim", G.wanted_limit(F.col("tile_bytes"), cache_bytes, pressured, most))
-    radius = F.col("lim")  # rings up to this radius hold more tiles than the limit, even along one axis
-    cut = lambda lo, hi, c: F.sequence(F.greatest(F.col(lo), F.col(c) - radius), F.least(F.col(hi), F.col(c) + radius))
 
     def ranked(tag: str, cx: str, cy: str, priority: int) -> DataFrame:
+        across = F.col(f"max_tx{tag}") - F.col(f"min_tx{tag}") + 1
+        down = F.col(f"max_ty{tag}") - F.col(f"min_ty{tag}") + 1
+        # the margin's rows come after the visible ones, which lie inside
+        need = F.col("lim") + (F.lit(0) if not tag else (F.col("max_tx") - F.col("min_tx") + 1) * (F.col("max_ty") - F.col("min_ty") + 1))
+        # rings reach one side of the range at least half as far as the other: a quarter of a square is always inside
+        short = F.least(across, down)
+        radius = F.greatest(F.ceil(F.sqrt(need)), F.ceil(need / short)).cast("long") + 1
+        cut = lambda lo, hi, c: F.sequence(F.greatest(F.col(lo), F.col(c) - radius), F.least(F.col(hi), F.col(c) + radius))
         t = p.withColumn("ty", F.explode(cut(f"min_ty{tag}", f"max_ty{tag}", cy))).withColumn("tx", F.explode(cut(f"min_tx{tag}", f"max_tx{tag}", cx)))
         if tag:
             core = F.col("tx").between(F.col("min_tx"), F.col("max_tx")) & F.col("ty").between(F.col("min_ty"), F.col("max_ty"))
@@ -69,6 +76,19 @@ def needs_fetch(requests: DataFrame, cached: DataFrame, in_flight: DataFrame, sp
     return r.join(s, [*same, F.col("s.have") <= F.col("r.reduction")], "left_anti")
 
 
+def stale(in_flight: DataFrame, requests: DataFrame) -> DataFrame:
+    """The requests in flight (vid, level, tx, ty, span) that their viewport no longer wants, to be cancelled."""
+    key = ["vid", "level", "tx", "ty", "span"]
+    return in_flight.join(requests.select(*key), key, "left_anti")
+
+
+def refreshed(requests: DataFrame, in_flight: DataFrame, cached: DataFrame, sparse: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the new queue, which replaces the old one; the requests in flight to cancel)."""
+    gone = stale(in_flight, requests)
+    key = ["vid", "level", "tx", "ty", "span"]
+    return needs_fetch(requests, cached, in_flight.join(gone.select(*key), key, "left_anti"), sparse), gone
+
+
 def fallback(viewports: DataFrame, planned: DataFrame, cached: DataFrame, levels: list[dict]) -> DataFrame:
     """(vid, level, span) of the cached group that stands in for missing tiles.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from tesserae.errors import SlideFormatError, TileReadError, UnsupportedCompressionError
-from tesserae.sources.bytesource import FileSource, MemorySource
+from tesserae.sources.bytesource import MemorySource, source_of
 from tesserae.sources.tiff import Ifd, read_ifds
 
 JPEG, JPEG_OLD, LZW, RAW, DEFLATE, PACKBITS, DEFLATE_OLD, JP2K = 7, 6, 5, 1, 8, 32773, 32946, 33005
@@ -120,7 +120,7 @@ def analyse(source) -> Slide:
 
 
 def open_slide(path: str) -> Slide:
-    source = FileSource(path)
+    source = source_of(path)
     try:
         return analyse(source)
     except Exception:

@@ -10,13 +10,13 @@ import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tesserae.operators import viewport
 from tesserae.operators.cache import Lru
 
-#: How late events may come; it bounds the state only.
+#: How late events may come.
 LATENESS = "10 seconds"
 QUIET_MS = 80
 #: A memory warning halves the budget and stops prefetching for so long.
@@ -66,34 +66,71 @@ def debounced(events: DataFrame, quiet_ms: int = QUIET_MS) -> DataFrame:
 
 
 CACHED = "session string, seq bigint, hit boolean, stored boolean, evicted bigint, bytes bigint"
-RESULT = "session string, seq bigint, op string, level int, tx int, ty int, span int, reduction int, byte_size bigint, wanted boolean"
-
-
-def cached(results: DataFrame, max_bytes: int, pressure_ms: int = PRESSURE_MS) -> DataFrame:
+RESULT = "session string, seq bigint, ts timestamp, op string, level int, tx int, ty int, span int, reduction int, byte_size bigint, wanted boolean"
+#: A session without an event for so long is forgotten.
+IDLE_MS = 3_600_000
+
+
+class Replay:
+    """A session's cache under events in order."""
+
+    def __init__(self, max_bytes: int, pressure_ms: int):
+        self.max_bytes, self.pressure_ms = max_bytes, pressure_ms
+        self.lru, self.pressed_at = Lru(max_bytes), None
+
+    def handle(self, e) -> tuple[bool, bool, int, int]:
+        """(hit, stored, evicted, bytes) of an event.
+
+        A memory warning drops the queue and clears the cache; from then on, for pressure_ms of
+        event time, the budget is halved.
+        """
+        if self.pressed_at is not None and (e.ts - self.pressed_at).total_seconds() * 1000 >= self.pressure_ms:
+            self.pressed_at = None
+            self.lru.shrink_to(self.max_bytes)
+        tile, hit, stored, evicted = (e.level, e.tx, e.ty, e.span), False, False, 0
+        if e.op == "get":
+            hit = self.lru.get(tile)
+        elif e.op == "put":
+            stored, evicted = True, len(self.lru.put(tile, e.byte_size, e.reduction))
+        elif e.op == "late":
+            gone = self.lru.offer(tile, e.byte_size, e.reduction, bool(e.wanted))
+            stored, evicted = gone is not None, len(gone or ())
+        elif e.op == "pressure":
+            self.pressed_at, evicted = e.ts, len(self.lru.entries)
+            self.lru.clear()
+            self.lru.shrink_to(self.max_bytes // 2)
+        return hit, stored, evicted, self.lru.bytes
+
+
+def cached(results: DataFrame, max_bytes: int, pressure_ms: int = PRESSURE_MS, lateness: str = LATENESS, idle_ms: int = IDLE_MS) -> DataFrame:
     """Replays gets, puts, late results (op late) and memory warnings (op pressure) per session.
 
-    A late result of a tile that is no longer wanted is stored only where nothing is evicted for it.
+    A late result of a tile that is no longer wanted is stored only where nothing is evicted for
+    it. Sessions end idle_ms after their last event, by the watermark, so state does not grow with
+    all sessions there ever were.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        lru = pickle.loads(state.get[0]) if state.exists else Lru(max_bytes)
-        rows = []
-        for e in pd.concat(list(batches)).sort_values("seq").itertuples():
-            tile, before = (e.level, e.tx, e.ty, e.span), len(lru.entries)
-            hit, stored = False, False
-            if e.op == "get":
-                hit = lru.get(tile)
-            elif e.op == "put":
-                stored, _ = True, lru.put(tile, e.byte_size, e.reduction)
-            elif e.op == "late":
-                stored = lru.admit(tile, e.byte_size, e.reduction, bool(e.wanted))
-            else:
-                lru.clear()
-            rows.append((key[0], e.seq, hit, stored, max(0, before + stored - len(lru.entries)), lru.bytes))
-        state.update((pickle.dumps(lru),))
+        if state.hasTimedOut:
+            state.remove()
+            return
+        replay = pickle.loads(state.get[0]) if state.exists else Replay(max_bytes, pressure_ms)
+        events = pd.concat(list(batches)).sort_values("seq")
+        rows = [(key[0], e.seq, *replay.handle(e)) for e in events.itertuples()]
+        state.update((pickle.dumps(replay),))
+        end = int(events["ts"].max().timestamp() * 1000) + idle_ms
+        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in CACHED.split(", ")])
 
-    return results.groupBy("session").applyInPandasWithState(run, CACHED, "cache binary", "append", GroupStateTimeout.NoTimeout)
+    return results.withWatermark("ts", lateness).groupBy("session").applyInPandasWithState(run, CACHED, "cache binary", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def under_pressure(events: DataFrame, pressure_ms: int = PRESSURE_MS) -> DataFrame:
+    """events (session, ts, op, ...) with pressed: whether a memory warning came within pressure_ms before."""
+    before = Window.partitionBy("session").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.max(F.when(F.col("op") == "pressure", F.col("ts"))).over(before)
+    ms = F.expr("unix_millis(ts)") - F.unix_millis(last)
+    return events.withColumn("pressed", F.coalesce(ms < pressure_ms, F.lit(False)))
 
 
 def request_writer(levels: list[dict], cache_bytes: int, write: Callable[[DataFrame, int], None], pressured: bool = False) -> Callable[[DataFrame, int], None]:

@@ -12,7 +12,7 @@ from tesserae.codecs.jpeg2000.arith import HeaderReader, HeaderWriter, MqDecoder
 from tesserae.codecs.jpeg2000.blocks import decode_block, encode_block
 from tesserae.codecs.webp import webp
 from tesserae.errors import SlideFormatError, UnsupportedCompressionError
-from tests import webp_reader
+from tesserae.codecs import webp_reader
 
 
 def image(w, h, seed=0, alpha=False):

@@ -47,12 +47,20 @@ def test_debounced_stream(spark, tmp_path):
 
 
 def test_cache_stream(spark, tmp_path):
-    row = lambda seq, op, tx, wanted=True, reduction=0: ("a", seq, op, 0, tx, 0, 0, reduction, 10, wanted)
-    s = stream(spark, tmp_path, V.RESULT, [[row(1, "put", 1), row(2, "put", 2), row(3, "get", 1)], [row(4, "late", 3, False), row(5, "put", 3), row(6, "get", 2)], [row(7, "pressure", 0), row(8, "get", 1)]])
+    row = lambda seq, op, tx, wanted=True, reduction=0, ms=0: ("a", seq, T0 + dt.timedelta(milliseconds=ms or seq), op, 0, tx, 0, 0, reduction, 10, wanted)
+    s = stream(spark, tmp_path, V.RESULT, [[row(1, "put", 1), row(2, "put", 2), row(3, "get", 1)], [row(4, "late", 3, False), row(5, "put", 3), row(6, "get", 2)], [row(7, "pressure", 0), row(8, "get", 1)], [row(9, "put", 1), row(10, "put", 1), row(11, "put", 2), row(12, "put", 3, ms=31_000), row(13, "put", 4, ms=31_001)]])
     query = V.cached(s, 20).writeStream.format("memory").queryName("cached").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     query.awaitTermination(90)
     got = {r["seq"]: (r["hit"], r["stored"], r["evicted"]) for r in spark.table("cached").collect()}
-    assert got == {1: (False, True, 0), 2: (False, True, 0), 3: (True, False, 0), 4: (False, False, 0), 5: (False, True, 1), 6: (False, False, 0), 7: (False, False, 2), 8: (False, False, 0)}
+    assert got == {1: (False, True, 0), 2: (False, True, 0), 3: (True, False, 0), 4: (False, False, 0), 5: (False, True, 1), 6: (False, False, 0), 7: (False, False, 2), 8: (False, False, 0), 9: (False, True, 0), 10: (False, True, 0), 11: (False, True, 1), 12: (False, True, 0), 13: (False, True, 1)}
+
+
+def test_sessions_end_by_the_watermark(spark, tmp_path):
+    row = lambda session, seq, op, minutes: (session, seq, T0 + dt.timedelta(minutes=minutes), op, 0, 1, 0, 0, 0, 10, True)
+    s = stream(spark, tmp_path, V.RESULT, [[row("a", 1, "put", 0)], [row("b", 1, "put", 90)], [row("b", 2, "get", 91)], [row("a", 2, "get", 92)]])
+    query = V.cached(s, 20).writeStream.format("memory").queryName("ended").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    query.awaitTermination(90)
+    assert {(r["session"], r["seq"]): r["hit"] for r in spark.table("ended").collect()} == {("a", 1): False, ("b", 1): False, ("b", 2): True, ("a", 2): False}
 
 
 def test_requests_of_a_batch(spark):
