@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.plans import queries_meta, queries_pixels, queries_slides
+from tesserae.plans import queries_codecs, queries_interaction, queries_meta, queries_pixels, queries_slides
 from tesserae.plans.queries_pixels import flagship
 from tesserae.session import configure
 
-_ALL = queries_pixels.QUERIES | queries_meta.QUERIES | queries_slides.QUERIES
+_ALL = queries_pixels.QUERIES | queries_meta.QUERIES | queries_interaction.QUERIES | queries_slides.QUERIES | queries_codecs.QUERIES
 
 
 def _configured(query: Callable) -> Callable[[SparkSession, str], DataFrame]:

@@ -8,6 +8,8 @@ import zlib
 import numpy as np
 
 IDAT_BYTES = 1 << 20
+#: Bytes of rows filtered at a time, which fit a processor cache with their candidates.
+BAND_BYTES = 1 << 16
 
 
 def _png_chunk(name: bytes, body: bytes) -> bytes:
@@ -19,27 +21,33 @@ def png_filter(rows: np.ndarray) -> np.ndarray:
 
     rows: (height, width * 4). Ties take the lower filter.
     """
-    x = rows.astype(np.int16)
-    left = np.zeros_like(x)
-    left[:, 4:] = x[:, :-4]
-    up = np.zeros_like(x)
-    up[1:] = x[:-1]
-    corner = np.zeros_like(x)
-    corner[1:, 4:] = x[:-1, :-4]
-    guess = left + up - corner
-    to_left, to_up, to_corner = np.abs(guess - left), np.abs(guess - up), np.abs(guess - corner)
+    left = np.zeros_like(rows)
+    left[:, 4:] = rows[:, :-4]
+    up = np.zeros_like(rows)
+    up[1:] = rows[:-1]
+    corner = np.zeros_like(rows)
+    corner[1:, 4:] = rows[:-1, :-4]
+    a, b, c = (v.astype(np.int16) for v in (left, up, corner))
+    to_left, to_up, to_corner = np.abs(b - c), np.abs(a - c), np.abs(a + b - 2 * c)  # of the guess left + up - corner
     paeth = np.where((to_left <= to_up) & (to_left <= to_corner), left, np.where(to_up <= to_corner, up, corner))
-    options = np.stack([(x - p).astype(np.uint8) for p in (np.zeros_like(x), left, up, (left + up) >> 1, paeth)])
-    best = np.abs(options.view(np.int8).astype(np.int32)).sum(axis=2).argmin(axis=0)
-    out = np.empty((len(x), x.shape[1] + 1), np.uint8)
+    options = np.stack((rows, rows - left, rows - up, rows - ((a + b) >> 1).astype(np.uint8), rows - paeth))
+    size = np.minimum(options, -options)  # the absolute value of a signed byte
+    best = size.sum(axis=2, dtype=np.uint32).argmin(axis=0)
+    out = np.empty((len(rows), rows.shape[1] + 1), np.uint8)
     out[:, 0] = best
-    out[:, 1:] = options[best, np.arange(len(x))]
+    out[:, 1:] = options[best, np.arange(len(rows))]
     return out
 
 
-def png(rgba: np.ndarray) -> bytes:
+def png(rgba: np.ndarray, level: int = 3) -> bytes:
     h, w = rgba.shape[:2]
-    data = zlib.compress(png_filter(rgba.reshape(h, w * 4)).tobytes())
+    rows = rgba.reshape(h, w * 4)
+    squeeze = zlib.compressobj(level)
+    parts = []
+    band = max(1, BAND_BYTES // (4 * w))
+    for y in range(0, h, band):  # the row above a band is filtered with it, and its result dropped
+        parts.append(squeeze.compress(png_filter(rows[max(0, y - 1) : y + band])[min(y, 1) :]))
+    data = b"".join([*parts, squeeze.flush()])
     body = b"".join(_png_chunk(b"IDAT", data[i : i + IDAT_BYTES]) for i in range(0, len(data), IDAT_BYTES))
     return b"\x89PNG\r\n\x1a\n" + _png_chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 6, 0, 0, 0)) + body + _png_chunk(b"IEND", b"")
 

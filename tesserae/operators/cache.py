@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections import OrderedDict
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tesserae.operators.folds import fold
+
 
 def evictions(entries: DataFrame, max_bytes: int, reserve: int, by: str) -> DataFrame:
     """The entries (by, seq, size) to evict, oldest first, until the sizes and the reserve fit.
@@ -95,18 +96,15 @@ TRACE = "session string, seq bigint, op string, hit boolean, evicted bigint, byt
 def trace(events: DataFrame, max_bytes: int) -> DataFrame:
     """Replays cache events (session, seq, op get or put, level, tx, ty, span, byte_size) per session, in order.
 
-    A session's events fold one after the other, so a group is one session.
+    A session's events fold one after the other, in batches: a long session needs no more memory.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        lru, rows = Lru(max_bytes), []
-        for e in pdf.sort_values("seq").itertuples():
-            key = (e.level, e.tx, e.ty, e.span)
-            hit, gone = (lru.get(key), []) if e.op == "get" else (key in lru.entries, lru.put(key, e.byte_size))
-            rows.append((e.session, e.seq, e.op, hit, len(gone), lru.bytes, len(lru.entries)))
-        return pd.DataFrame(rows, columns=["session", "seq", "op", "hit", "evicted", "bytes", "tiles"])
+    def handle(lru: Lru, e) -> list[tuple]:
+        key = (e.level, e.tx, e.ty, e.span)
+        hit, gone = (lru.get(key), []) if e.op == "get" else (key in lru.entries, lru.put(key, e.byte_size))
+        return [(e.session, e.seq, e.op, hit, len(gone), lru.bytes, len(lru.entries))]
 
-    return events.groupBy("session").applyInPandas(fold, TRACE)
+    return fold(events, "session", "seq", lambda: Lru(max_bytes), handle, TRACE)
 
 
 def admitted(results: DataFrame, budgets: DataFrame, cached: DataFrame) -> DataFrame:

@@ -95,9 +95,9 @@ def load(requests: DataFrame, folder: str, max_bytes: int = DEFAULT_BYTES) -> Da
                 try:
                     v = slide.levels[level]
                     if level not in tables:
-                        tables[level] = v.tile_table(), v.ifd.raw(347)
-                    data = slide.tile_bytes(level, tx, ty, tables[level][0])
-                    image = raster.decode_tile(data, v.compression, v.photometric, tables[level][1], reduction) if data else None
+                        tables[level] = v.ifd.raw(347)
+                    data = slide.tile_bytes(level, tx, ty)
+                    image = raster.decode_tile(data, v.compression, v.photometric, tables[level], reduction) if data else None
                     origin, landed = "slide" if data else "sparse", reduction
                 except (SlideError, IndexError, KeyError, ValueError):
                     origin = "error"

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tesserae.functions import annotations as A
+from tesserae.operators.folds import fold
 
 #: Screen pixels within which a tap hits an outline.
 TOLERANCE = 12.0
@@ -117,16 +117,13 @@ def drawn(log: DataFrame) -> DataFrame:
     """SHAPE: what each session's log (session, seq, op, mode, x, y) commits, with the seq of the committing event.
 
     Whether a finish commits depends on all events since the last commit, so a session's events
-    fold one after the other; a session is what a person does by hand.
+    fold one after the other.
     """
 
-    def fold(key: tuple, events: pd.DataFrame) -> pd.DataFrame:
-        drafts, rows = Drafts(), []
-        for e in events.sort_values("seq").itertuples(index=False):
-            shape = drafts.handle(e.op, e.mode, e.x, e.y)
-            if shape:
-                rows.append((key[0], e.seq, shape[0], [{"x": x, "y": y} for x, y in shape[1]]))
-        return pd.DataFrame(rows, columns=["session", "seq", "type", "points"])
+    def handle(drafts: Drafts, e) -> list[tuple]:
+        shape = drafts.handle(e.op, e.mode, e.x, e.y)
+        return [(e.session, e.seq, shape[0], [x for x, _ in shape[1]], [y for _, y in shape[1]])] if shape else []
 
-    shapes = log.select("session", "seq", "op", "mode", "x", "y").groupBy("session").applyInPandas(fold, "session string, seq bigint, type string, points array<struct<x:double,y:double>>")
-    return shapes.select("session", "seq", annotation_id(F.col("session"), F.col("seq")).alias("id"), "type", "points")
+    rows = fold(log.select("session", "seq", "op", "mode", "x", "y"), "session", "seq", Drafts, handle, "session string, seq bigint, type string, xs array<double>, ys array<double>")
+    points = F.transform(F.arrays_zip("xs", "ys"), lambda p: F.struct(p["xs"].alias("x"), p["ys"].alias("y")))
+    return rows.select("session", "seq", annotation_id(F.col("session"), F.col("seq")).alias("id"), "type", points.alias("points"))

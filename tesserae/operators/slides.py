@@ -121,9 +121,9 @@ def read_pieces(planned: DataFrame) -> DataFrame:
                     v, tile = slide.levels[r["level"]], (path, r["level"], r["tx"], r["ty"])
                     if tile != key:
                         if r["level"] not in tables:
-                            tables[r["level"]] = v.tile_table(), v.ifd.raw(347)
-                        data = slide.tile_bytes(r["level"], r["tx"], r["ty"], tables[r["level"]][0])
-                        image = raster.decode_tile(data, v.compression, v.photometric, tables[r["level"]][1]) if data else None
+                            tables[r["level"]] = v.ifd.raw(347)
+                        data = slide.tile_bytes(r["level"], r["tx"], r["ty"])
+                        image = raster.decode_tile(data, v.compression, v.photometric, tables[r["level"]]) if data else None
                         if image is not None:  # a tile at the edge may be padded beyond its level
                             image = image[: v.height - r["ty"] * v.tile_h, : v.width - r["tx"] * v.tile_w]
                         key = tile

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tesserae.functions import annotations as A, geometry as G, metadata as M
-from tesserae.operators import annotate, cache, viewport
+from tesserae.operators import annotate, cache, interaction, viewport
 from tesserae.plans.slide import PIXELS_SQL, table
 
 LEVELS = [
@@ -61,8 +61,15 @@ def description_build(spark, sf_dir):
 
 def jp2k_ratio(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    sizes = F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "n_chars"))), lambda s: s["n_chars"].cast("long"))
-    return d.groupBy((F.col("doc_id") % 97).alias("slide")).agg(sizes.alias("b")).select("slide", F.round(M.jp2k_ratio(F.col("b"), F.lit(256 * 256 * 3)), 6).alias("ratio"))
+    by = Window.partitionBy("slide")
+    ranked = d.select((F.col("doc_id") % 97).alias("slide"), "doc_id", F.col("n_chars").cast("long").alias("n"))
+    ranked = ranked.select("*", (F.row_number().over(by.orderBy("doc_id")) - 1).alias("place"), F.count(F.lit(1)).over(by).alias("total"))
+    # of the rows in order, the ones that evenly spaced tiles stand for: eight a slide at most are collected
+    k = F.least("total", F.lit(8))
+    i = F.ceil(F.col("place") * k / F.col("total"))
+    picked = ranked.where((i < k) & (F.floor(i * F.col("total") / k) == F.col("place")))
+    sizes = F.transform(F.sort_array(F.collect_list(F.struct("place", "n"))), lambda s: s["n"])
+    return picked.groupBy("slide").agg(sizes.alias("b")).select("slide", F.round(M.jp2k_ratio(F.col("b"), F.lit(256 * 256 * 3)), 6).alias("ratio"))
 
 
 def _viewports(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,10 +202,8 @@ def hit_test_top(spark, sf_dir):
     o = F.col("o_orderkey").cast("long")
     x, y = (o * 3 % 80).cast("double"), (o * 5 % 80).cast("double")
     pts = F.array(F.struct(x.alias("x"), y.alias("y")), F.struct((x + 40.0).alias("x"), (y + 30.0).alias("y")))
-    shapes = table(spark, sf_dir, "orders").select((o % 2000).alias("slide"), o.alias("ord"), o.alias("id"), pts.alias("points"))
-    shapes = shapes.select("*", A.bounding_box(F.col("points")).alias("box"))
-    near = F.col("px").between(F.col("box.left") - 2, F.col("box.right") + 2) & F.col("py").between(F.col("box.top") - 2, F.col("box.bottom") + 2)
-    met = taps.join(shapes, "slide").where(near).where(A.hit(F.lit("rectangle"), F.col("points"), F.lit(True), F.col("px"), F.col("py"), F.lit(2.0)))
+    shapes = table(spark, sf_dir, "orders").select((o % 2000).alias("slide"), o.alias("ord"), o.alias("id"), F.lit("rectangle").alias("type"), pts.alias("points"), F.lit(True).alias("filled"))
+    met = interaction.hits(taps.withColumn("tolerance", F.lit(2.0)), shapes, 25.0, 2.0)
     return annotate.topmost(met)
 
 
@@ -262,7 +267,7 @@ def label_anchor(spark, sf_dir):
 def find_fallback(spark, sf_dir):
     v = _viewports(spark, sf_dir)
     k = F.col("event_id").cast("long")
-    cached = table(spark, sf_dir, "events").where("event_id % 3 = 0").select((k % 3).cast("int").alias("level"), (k % 2).cast("int").alias("span"), (k * 5 % 30).alias("tx"), (k * 7 % 20).alias("ty")).distinct()
+    cached = table(spark, sf_dir, "events").select((F.floor(k / 3) % 3).cast("int").alias("level"), (k % 2).cast("int").alias("span"), (k * 5 % 30).alias("tx"), (k * 7 % 20).alias("ty")).distinct()
     return viewport.fallback(v, viewport.plan(v, LEVELS), cached, LEVELS)
 
 
@@ -350,7 +355,15 @@ o AS (SELECT *, sum(size) OVER (PARTITION BY session) - coalesce(sum(size) OVER
     ),
     "cache_groups": (cache_groups, "SELECT level, span, count(*) AS n FROM (SELECT DISTINCT event_id % 3 AS level, event_id % 17 AS tx, event_id % 11 AS ty, event_id % 2 AS span FROM events) GROUP BY ALL"),
     "count_in_range": (count_in_range, "SELECT count(*) AS n FROM (SELECT DISTINCT event_id % 3 AS level, event_id % 17 AS tx, event_id % 11 AS ty, event_id % 2 AS span FROM events) WHERE level = 1 AND span = 0 AND tx BETWEEN 2 AND 9 AND ty BETWEEN 3 AND 8"),
-    "lru_trace": (lru_trace, None),
+    "lru_trace": (
+        lru_trace,
+        """WITH RECURSIVE e AS (SELECT CAST(event_id % 50 AS VARCHAR) AS session, CAST(event_id AS BIGINT) AS seq, event_id % 3 <> 0 AS put, concat_ws(',', event_id % 4, event_id * 7 % 19, event_id * 5 % 13) AS key, CAST(event_id % 64 + 1 AS BIGINT) AS size, row_number() OVER (PARTITION BY event_id % 50 ORDER BY event_id) AS n FROM events),
+s AS (SELECT session, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(k VARCHAR, b BIGINT)[]) AS l, CAST(0 AS BIGINT) AS seq, false AS put, false AS hit, CAST(0 AS BIGINT) AS evicted FROM (SELECT DISTINCT session FROM e)
+UNION ALL SELECT session, n, CASE WHEN put THEN list_append(kept, struct_pack(k := key, b := size)) WHEN hit THEN list_append(rest, own) ELSE l END, seq, put, hit, CASE WHEN put THEN len(rest) - len(kept) ELSE 0 END
+FROM (SELECT *, list_filter(rest, lambda x, i: list_sum(list_transform(rest[i:], lambda y: y.b)) + size <= 800) AS kept FROM (
+SELECT e.session, e.n, e.seq, e.put, e.key, e.size, s.l, len(list_filter(s.l, lambda x: x.k = e.key)) > 0 AS hit, list_filter(s.l, lambda x: x.k <> e.key) AS rest, list_filter(s.l, lambda x: x.k = e.key)[1] AS own FROM s JOIN e ON e.session = s.session AND e.n = s.n + 1)))
+SELECT session, seq, CASE WHEN put THEN 'put' ELSE 'get' END AS op, hit, evicted, CAST(coalesce(list_sum(list_transform(l, lambda x: x.b)), 0) AS BIGINT) AS bytes, CAST(len(l) AS BIGINT) AS tiles FROM s WHERE n > 0""",
+    ),
     "bbox": (bbox, 'SELECT CAST(l_orderkey AS BIGINT) AS l_orderkey, CAST(min(l_partkey % 1000) AS DOUBLE) AS "left", CAST(min(l_suppkey * 7 % 1000) AS DOUBLE) AS top, CAST(max(l_partkey % 1000) AS DOUBLE) AS "right", CAST(max(l_suppkey * 7 % 1000) AS DOUBLE) AS bottom FROM lineitem GROUP BY l_orderkey'),
     "polyline_length": (polyline_length, f"WITH {_VERTICES} SELECT l_orderkey, CASE WHEN max(n) >= 2 THEN round(sum(CASE WHEN i < n THEN sqrt(((nx - x) * 0.5) * ((nx - x) * 0.5) + ((ny - y) * 0.25) * ((ny - y) * 0.25)) ELSE 0 END), 6) END AS length_um FROM e GROUP BY l_orderkey"),
     "polygon_area": (polygon_area, f"WITH {_VERTICES} SELECT l_orderkey, CASE WHEN max(n) >= 3 THEN abs(sum((x * 0.5) * (ny * 0.5) - (nx * 0.5) * (y * 0.5))) / 2 END AS area_um2 FROM e GROUP BY l_orderkey"),
@@ -407,7 +420,7 @@ SELECT vid, CAST(160 AS DOUBLE) AS box_w, CAST(80 AS DOUBLE) AS box_h, round(gre
     ),
     "find_fallback": (
         find_fallback,
-        f"""WITH {_PLANNED}, k AS (SELECT DISTINCT event_id % 3 AS kl, event_id % 2 AS ks, event_id * 5 % 30 AS tx, event_id * 7 % 20 AS ty FROM events WHERE event_id % 3 = 0),
+        f"""WITH {_PLANNED}, k AS (SELECT DISTINCT event_id // 3 % 3 AS kl, event_id % 2 AS ks, event_id * 5 % 30 AS tx, event_id * 7 % 20 AS ty FROM events),
 q AS (SELECT DISTINCT kl, ks, CASE kl WHEN 2 THEN 16.0 WHEN 1 THEN 4.0 ELSE 1.0 END::DOUBLE AS kd, CAST(256 << ks AS BIGINT) AS kt, CASE kl WHEN 2 THEN 2500 WHEN 1 THEN 10000 ELSE 40000 END AS kw, CASE kl WHEN 2 THEN 1875 WHEN 1 THEN 7500 ELSE 30000 END AS kh FROM k),
 z AS (SELECT vid, level, span, kl, ks, least(greatest(floor(ox / kd / kt), 0), ceil(kw / kt) - 1) AS x0, least(greatest(floor((ox + w / scale) / kd / kt), 0), ceil(kw / kt) - 1) AS x1,
 least(greatest(floor(oy / kd / kt), 0), ceil(kh / kt) - 1) AS y0, least(greatest(floor((oy + h / scale) / kd / kt), 0), ceil(kh / kt) - 1) AS y1 FROM p, q WHERE kl <> level OR ks <> span),

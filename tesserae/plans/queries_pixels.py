@@ -122,11 +122,18 @@ def value_histogram(spark, sf_dir):
 
 
 def tile_offsets(spark, sf_dir):
-    """File offsets of blobs in sequence, each aligned to an even place, per source."""
-    d = table(spark, sf_dir, "documents")
-    n = F.col("n_chars").cast("long")
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    return d.select("doc_id", "source", n.alias("byte_count"), (F.coalesce(F.sum(n + n % 2).over(w), F.lit(0)) + 16).alias("file_offset"))
+    """File offsets of blobs in sequence, each aligned to an even place, per source.
+
+    A running sum in two levels: within ranges of ids, and over the sums of the ranges, so that no
+    source is summed up in one task.
+    """
+    n = F.col("byte_count")
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.col("n_chars").cast("long").alias("byte_count"), F.floor(F.col("doc_id") / 4096).alias("range"))
+    sums = d.groupBy("source", "range").agg(F.sum(n + n % 2).alias("sum"))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select("source", "range", F.coalesce(F.sum("sum").over(before.partitionBy("source").orderBy("range")), F.lit(0)).alias("base"))
+    inside = F.coalesce(F.sum(n + n % 2).over(before.partitionBy("source", "range").orderBy("doc_id")), F.lit(0))
+    return d.withColumn("inside", inside).join(bases, ["source", "range"]).select("doc_id", "source", "byte_count", (F.col("base") + F.col("inside") + 16).alias("file_offset"))
 
 
 _FULL = "(SELECT CAST((n + tw - 1) // tw AS BIGINT) AS th FROM grid)"

@@ -13,8 +13,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tesserae.codecs import jpeg2000, raster, strips
-from tesserae.operators import slides
+from tesserae.codecs import jpeg2000, raster, webp_reader
+from tesserae.functions.adjust import Adjustments
+from tesserae.operators import disk_cache, slides
+from tesserae.plans.queries_codecs import read_bmp, read_png, read_tiff
 from tesserae.plans.slide import PIXELS_SQL, TILE, grid_width, pixels, table
 from tesserae.sinks.tiff_writer import LevelSpec, write
 from tesserae.sources.datasource import register
@@ -41,8 +43,9 @@ def workspace(spark: SparkSession) -> str:
 def slide_file(spark: SparkSession, sf_dir: str) -> str:
     """The virtual slide (its colours) as a lossless JPEG 2000 slide with tiles of SIDE pixels.
 
-    Tiles are composed and encoded in groups; the driver writes them in file order.
+    Tiles are composed and encoded in groups; the driver writes them one by one in file order.
     """
+    register(spark)
     e = table(spark, sf_dir, "embeddings")
     n, across = e.count(), grid_width(e)
     width, height = across * TILE, -(-n // across) * TILE
@@ -56,14 +59,28 @@ def slide_file(spark: SparkSession, sf_dir: str) -> str:
         out[y % SIDE, x % SIDE, c] = v
         return pa.table({"tile": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([jpeg2000.encode(out)], pa.binary())})
 
-    stored = {r["tile"]: bytes(r["data"]) for r in p.withColumn("tile", key).groupBy("tile").applyInArrow(compose, "tile int, data binary").toLocalIterator()}
-    data = [stored.get(i, b"") for i in range(nx * -(-height // SIDE))]
-    path = os.path.join(workspace(spark), "virtual.svs")
-    with open(path, "wb") as f:
-        write(f, [LevelSpec(width, height, SIDE, SIDE, raster.JP2K, DESCRIPTION)], [[len(d) for d in data]], data)
+    folder = workspace(spark)
+    p.withColumn("tile", key).groupBy("tile").applyInArrow(compose, "tile int, data binary").write.parquet(f"file://{folder}/tiles")
+    stored = spark.read.parquet(f"file://{folder}/tiles").orderBy("tile")
+    sizes = [0] * (nx * -(-height // SIDE))
+    for r in stored.select("tile", F.octet_length("data").alias("n")).toLocalIterator():
+        sizes[r["tile"]] = r["n"]
+    path = os.path.join(folder, "virtual.svs")
+    with open(path, "wb") as f:  # sparse tiles have no bytes
+        write(f, [LevelSpec(width, height, SIDE, SIDE, raster.JP2K, DESCRIPTION)], [sizes], in_places(stored, len(sizes)))
     return path
 
 
+def in_places(stored: DataFrame, n: int) -> Iterator[bytes]:
+    """The tiles (tile, data) in order, b"" where there is none."""
+    at = 0
+    for r in stored.toLocalIterator():
+        yield from (b"" for _ in range(at, r["tile"]))
+        yield bytes(r["data"])
+        at = r["tile"] + 1
+    yield from (b"" for _ in range(at, n))
+
+
 def raster_pixels(rasters: DataFrame, tile: int) -> DataFrame:
     """(level, x, y, c, v) of the colours of decoded tiles."""
 
@@ -80,16 +97,15 @@ def raster_pixels(rasters: DataFrame, tile: int) -> DataFrame:
 
 
 def slide_levels(spark, sf_dir):
-    register(spark)
     path = slide_file(spark, sf_dir)
     long = lambda c: F.col(c).cast("long").alias(c)
     return spark.read.format("slide_levels").load(path).select(*(long(c) for c in ("level", "width", "height", "tile_w", "tile_h", "compression", "photometric", "tiles_x", "tiles_y")), "downsample", "description")
 
 
 def slide_tags(spark, sf_dir):
-    register(spark)
     path = slide_file(spark, sf_dir)
-    return spark.read.format("slide_tags").load(path).where("tag_id in (256, 257, 259, 322)").select(F.col("tag_id").cast("long").alias("tag_id"), "tag_name", F.col("value.ints")[0].alias("value"))
+    tags = spark.read.format("slide_tags").load(path).where("ifd_index = 0 and size(value.ints) = 1 and tag_id not in (324, 325)")
+    return tags.select(F.col("tag_id").cast("long").alias("tag_id"), "tag_name", F.col("value.ints")[0].alias("value"))
 
 
 def slide_region(spark, sf_dir):
@@ -113,26 +129,82 @@ def slide_pyramid(spark, sf_dir):
     return p.where("x < width and y < height").select("level", "x", "y", "c", "v")
 
 
-def codec_roundtrip(spark, sf_dir):
-    """Whether each lossless codec gives a tile's bytes back."""
+def decoded_pixels(images: DataFrame, read) -> DataFrame:
+    """(x, y, c, v) of the colours of encoded images, by a reader."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for vec, e in zip(batch.column("vec_id").to_pylist(), batch.column("embedding").to_pylist()):
-                raw = np.clip(np.floor((np.array(e, np.float64) + 0.5) * 255), 0, 255).astype(np.uint8)
-                image = raw.reshape(4, 4, 4)
-                back = {
-                    "lzw": strips.lzw_decode(strips.lzw_encode(raw.tobytes()), 64) == raw.tobytes(),
-                    "packbits": strips.unpack_bits(strips.pack_bits(raw.tobytes()), 64) == raw.tobytes(),
-                    "predictor": bool((strips.undo_predictor(strips.apply_predictor(image)) == image).all()),
-                    "jpeg2000": bool((jpeg2000.decode(jpeg2000.encode(image)) == image).all()),
-                }
-                rows += [(vec, k, ok) for k, ok in back.items()]
-            a, b, c = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.string()), pa.array(c, pa.bool_())], names=["vec_id", "codec", "same"])
-
-    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInArrow(run, "vec_id bigint, codec string, same boolean")
+            for data in batch.column("image").to_pylist():
+                a = read(data)[..., :3]
+                y, x, c = (i.reshape(-1) for i in np.indices(a.shape))
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(c), pa.array(a.reshape(-1).astype(np.int64))], names=["x", "y", "c", "v"])
+
+    return images.select("image").mapInArrow(run, "x bigint, y bigint, c bigint, v bigint")
+
+
+def exported(kind: str, read):
+    """A crop exported as an image file, with its highlights raised, read back."""
+
+    def query(spark, sf_dir):
+        path = slide_file(spark, sf_dir)
+        one = spark.createDataFrame([(0, path, 0, 2, 7, 33, 21)], "region_id long, slide_id string, level int, x int, y int, width int, height int")
+        return decoded_pixels(slides.read_regions(spark, path, one, kind, adjustments=Adjustments(brightness=0.5)), read)
+
+    return query
+
+
+def level_export(spark, sf_dir):
+    """The whole level as a file written beside its target, read back."""
+    path = slide_file(spark, sf_dir)
+    target = os.path.join(workspace(spark), "level.bmp")
+    slides.level_to_file(spark, path, target, 0, kind="bmp")
+    return decoded_pixels(spark.read.format("binaryFile").load(target).select(F.col("content").alias("image")), read_bmp)
+
+
+def preserved_levels(spark, sf_dir):
+    """A crop with the source's own levels, each cut from the matching one: the second level of a rebuilt slide."""
+    path, folder = slide_file(spark, sf_dir), workspace(spark)
+    lossless = slides.Encoding(raster.JP2K, ratio=0)
+    rebuilt, target = os.path.join(folder, "rebuilt.svs"), os.path.join(folder, "crop.svs")
+    slides.rebuild(spark, path, rebuilt, f"file://{folder}/work", match_source=False, encoding=lossless, tile=SIDE, level_count=2)
+    slides.to_file(slides.export_preserving, spark, rebuilt, target, f"file://{folder}/crop", level=0, x=8, y=4, width=32, height=24, encoding=lossless, tile=SIDE)
+    tiles = spark.read.format("slide_tiles").load(target)
+    return raster_pixels(slides.decode_tiles(tiles), SIDE).where("x < shiftright(32, cast(level as int)) and y < shiftright(24, cast(level as int))")
+
+
+def span_composites(spark, sf_dir):
+    """Composites of 2 x 2 tiles at half size."""
+    path = slide_file(spark, sf_dir)
+    merged = slides.composites(slides.decode_tiles(spark.read.format("slide_tiles").load(path)), 1, 1, SIDE, SIDE)
+    return raster_pixels(merged, SIDE).drop("level")
+
+
+def slide_info(spark, sf_dir):
+    """The dump of a slide: every number that its level's directory has by name, and its metadata."""
+    info = slides.read_info(spark, slide_file(spark, sf_dir))
+    tags = info.select("metadata", F.explode(F.get("levels", F.lit(0))["tags"]).alias("name", "value"))
+    some = tags.where(F.size("value.ints") == 1).select("name", F.col("value.ints")[0].alias("value"), F.col("metadata")["AppMag"].alias("app_mag"))
+    return some.where("name not in ('TileOffsets', 'TileByteCounts')")
+
+
+def load_path(spark, sf_dir):
+    """Every tile asked for twice: the second time from the disk cache, where the first was on the screen."""
+    path, folder = slide_file(spark, sf_dir), os.path.join(workspace(spark), "cache")
+    index = spark.read.format("slide_tile_index").load(path)
+    ask = index.select("slide_id", "level", "tx", "ty", F.lit(0).alias("reduction"), ((F.col("tx") + F.col("ty")) % 2 == 0).alias("visible"))
+    disk_cache.load(ask, folder).count()  # fills the cache
+    again = disk_cache.load(ask, folder)
+    long = lambda c: F.col(c).cast("long").alias(c)
+    return again.select(long("tx"), long("ty"), "origin", long("width"), long("height"))
+
+
+def disk_listing(spark, sf_dir):
+    """The cache's folder as a table: names, and sizes of 8 bytes and four a pixel."""
+    path, folder = slide_file(spark, sf_dir), os.path.join(workspace(spark), "cache")
+    index = spark.read.format("slide_tile_index").load(path)
+    disk_cache.load(index.select("slide_id", "level", "tx", "ty", F.lit(0).alias("reduction"), F.lit(True).alias("visible")), folder).count()
+    (sub,) = os.listdir(folder)
+    return disk_cache.listing(spark, os.path.join(folder, sub)).select(*(F.col(c).cast("long").alias(c) for c in ("level", "tx", "ty", "size")))
 
 
 _SIZE = "(SELECT tw * 4 AS w, ((n + tw - 1) // tw) * 4 AS h FROM grid)"
@@ -140,6 +212,10 @@ _HALF = "SELECT x // 2 AS x, y // 2 AS y, c, CAST((2 * sum(v) + count(*)) // (2
 _GRID = f"""g AS (SELECT x, unnest(range(0, h)) AS y, w, h FROM (SELECT unnest(range(0, w)) AS x, w, h FROM {_SIZE}) t),
 full_px AS (SELECT CAST(g.x AS BIGINT) AS x, CAST(g.y AS BIGINT) AS y, CAST(k.c AS BIGINT) AS c, coalesce(p.v, 0) AS v FROM g CROSS JOIN range(0, 3) k(c) LEFT JOIN pixels p ON p.x = g.x AND p.y = g.y AND p.c = k.c)"""
 
+#: All pixels of the stored tiles, which are padded to whole tiles.
+_TILED = f"""s AS (SELECT DISTINCT x // 16 AS tx, y // 16 AS ty FROM pixels),
+tiled_px AS (SELECT CAST(s.tx * 16 + k % 16 AS BIGINT) AS x, CAST(s.ty * 16 + k // 16 AS BIGINT) AS y, CAST(j.c AS BIGINT) AS c, coalesce(p.v, 0) AS v FROM s CROSS JOIN range(0, 256) r(k) CROSS JOIN range(0, 3) j(c) LEFT JOIN pixels p ON p.x = s.tx * 16 + k % 16 AND p.y = s.ty * 16 + k // 16 AND p.c = j.c)"""
+
 QUERIES = {
     "slide_levels": (
         slide_levels,
@@ -147,9 +223,29 @@ QUERIES = {
     ),
     "slide_tags": (
         slide_tags,
-        f"{WITH} SELECT CAST(256 AS BIGINT) AS tag_id, 'ImageWidth' AS tag_name, CAST(w AS BIGINT) AS value FROM {_SIZE} UNION ALL SELECT 257, 'ImageLength', h FROM {_SIZE} UNION ALL SELECT 259, 'Compression', 33005 UNION ALL SELECT 322, 'TileWidth', 16",
+        f"{WITH} SELECT CAST(id AS BIGINT) AS tag_id, name AS tag_name, CAST(value AS BIGINT) AS value FROM (SELECT unnest([256, 257, 259, 262, 277, 322, 323]) AS id, unnest(['ImageWidth', 'ImageLength', 'Compression', 'PhotometricInterpretation', 'SamplesPerPixel', 'TileWidth', 'TileLength']) AS name, unnest([w, h, 33005, 2, 3, 16, 16]) AS value FROM {_SIZE})",
     ),
     "slide_region": (slide_region, f"{WITH} SELECT x - 5 AS x, y - 3 AS y, c, v FROM pixels WHERE x BETWEEN 5 AND 44 AND y BETWEEN 3 AND 32 AND c < 3"),
     "slide_pyramid": (slide_pyramid, f"{WITH}, {_GRID}, a AS ({_HALF.format('full_px')}), b AS ({_HALF.format('a')}) SELECT CAST(1 AS BIGINT) AS level, * FROM a UNION ALL SELECT CAST(2 AS BIGINT), * FROM b"),
-    "codec_roundtrip": (codec_roundtrip, "SELECT vec_id, unnest(['lzw', 'packbits', 'predictor', 'jpeg2000']) AS codec, true AS same FROM embeddings"),
+    "level_export": (level_export, f"{WITH}, {_GRID} SELECT x, y, c, v FROM full_px"),
+    "preserved_levels": (
+        preserved_levels,
+        f"{WITH}, {_GRID}, a AS ({_HALF.format('full_px')}) SELECT CAST(0 AS BIGINT) AS level, x - 8 AS x, y - 4 AS y, c, v FROM full_px WHERE x BETWEEN 8 AND 39 AND y BETWEEN 4 AND 27 UNION ALL SELECT CAST(1 AS BIGINT), x - 4, y - 2, c, v FROM a WHERE x BETWEEN 4 AND 19 AND y BETWEEN 2 AND 13",
+    ),
+    "span_composites": (
+        span_composites,
+        f"{WITH}, {_TILED}, a AS ({_HALF.format('tiled_px')}) SELECT * FROM a",
+    ),
+    "slide_info": (
+        slide_info,
+        f"{WITH}, s AS (SELECT w, h FROM {_SIZE}) SELECT name, CAST(value AS BIGINT) AS value, '20' AS app_mag FROM (SELECT unnest(['ImageWidth', 'ImageLength', 'Compression', 'PhotometricInterpretation', 'SamplesPerPixel', 'TileWidth', 'TileLength']) AS name, unnest([w, h, 33005, 2, 3, 16, 16]) AS value FROM s)",
+    ),
+    "load_path": (
+        load_path,
+        f"{WITH}, t AS (SELECT x AS tx, unnest(range(0, (h + 15) // 16)) AS ty FROM (SELECT unnest(range(0, (w + 15) // 16)) AS x, h FROM {_SIZE}) u), s AS (SELECT DISTINCT x // 16 AS tx, y // 16 AS ty FROM pixels) SELECT CAST(t.tx AS BIGINT) AS tx, CAST(t.ty AS BIGINT) AS ty, CASE WHEN s.tx IS NULL THEN 'sparse' WHEN (t.tx + t.ty) % 2 = 0 THEN 'disk' ELSE 'slide' END AS origin, CASE WHEN s.tx IS NOT NULL THEN CAST(16 AS BIGINT) END AS width, CASE WHEN s.tx IS NOT NULL THEN CAST(16 AS BIGINT) END AS height FROM t LEFT JOIN s USING (tx, ty)",
+    ),
+    "disk_listing": (disk_listing, f"{WITH} SELECT DISTINCT CAST(0 AS BIGINT) AS level, CAST(x // 16 AS BIGINT) AS tx, CAST(y // 16 AS BIGINT) AS ty, CAST(8 + 16 * 16 * 4 AS BIGINT) AS size FROM pixels"),
 }
+_BRIGHT = "CAST(floor(least(greatest(v + 63.75, 0), 255) + 0.5) AS BIGINT)"
+for _kind, _read in (("png", read_png), ("bmp", read_bmp), ("tiff", read_tiff), ("webp", webp_reader.read)):
+    QUERIES[f"export_{_kind}"] = (exported(_kind, _read), f"{WITH}, {_GRID} SELECT x - 2 AS x, y - 7 AS y, c, {_BRIGHT} AS v FROM full_px WHERE x BETWEEN 2 AND 34 AND y BETWEEN 7 AND 27")

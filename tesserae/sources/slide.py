@@ -34,10 +34,18 @@ class Level:
 
     def tile_table(self) -> tuple[list[int], list[int]]:
         """Offsets and byte counts, row by row; the tables must fill the grid."""
-        offsets, counts = self.ifd.ints(324), self.ifd.ints(325)
-        if not len(offsets) == len(counts) == self.tiles_x * self.tiles_y:
-            raise SlideFormatError(f"level {self.index}: {len(offsets)} offsets and {len(counts)} counts for {self.tiles_x} x {self.tiles_y} tiles")
-        return offsets, counts
+        self._check()
+        return self.ifd.ints(324), self.ifd.ints(325)
+
+    def tile_place(self, i: int) -> tuple[int, int]:
+        """Offset and byte count of one tile, without the tables of a large level."""
+        self._check()
+        return self.ifd.int_at(324, i), self.ifd.int_at(325, i)
+
+    def _check(self) -> None:
+        offsets, counts = (self.ifd.tags[t].count if t in self.ifd.tags else 0 for t in (324, 325))
+        if not offsets == counts == self.tiles_x * self.tiles_y:
+            raise SlideFormatError(f"level {self.index}: {offsets} offsets and {counts} counts for {self.tiles_x} x {self.tiles_y} tiles")
 
 
 @dataclass
@@ -84,10 +92,10 @@ class Slide:
         lv = self.levels[level]
         if not (0 <= tx < lv.tiles_x and 0 <= ty < lv.tiles_y):
             raise TileReadError(f"tile {tx}, {ty} lies outside level {level}")
-        offsets, counts = tables or lv.tile_table()
         i = ty * lv.tiles_x + tx
-        data = self.source.read(offsets[i], counts[i]) if counts[i] else b""
-        if len(data) != counts[i]:
+        offset, count = (tables[0][i], tables[1][i]) if tables else lv.tile_place(i)
+        data = self.source.read(offset, count) if count else b""
+        if len(data) != count:
             raise TileReadError(f"tile {tx}, {ty} of level {level} is cut off")
         return data
 

@@ -85,6 +85,17 @@ class Ifd:
             raise SlideFormatError(f"tag {tag_id} is not an integer")
         return self._array(tag).tolist()
 
+    def int_at(self, tag_id: int, i: int) -> int:
+        """One of a tag's integers, without reading the others where they lie elsewhere."""
+        tag = self.tags.get(tag_id)
+        if tag is None or tag.kind not in INTEGERS or not 0 <= i < tag.count:
+            raise SlideFormatError(f"tag {tag_id} has no integer {i}")
+        size = type_size(tag.kind)
+        if size * tag.count <= len(tag.raw):
+            return self._array(tag).tolist()[i]
+        at = int.from_bytes(tag.raw, "little" if self.header.order == "<" else "big")
+        return np.frombuffer(exactly(self.source, at + i * size, size), self.header.order + TYPES[tag.kind][0]).tolist()[0]
+
     def int(self, tag_id: int, default: int | None = None) -> int:
         if tag_id not in self.tags and default is not None:
             return default

@@ -129,7 +129,7 @@ def under_pressure(events: DataFrame, pressure_ms: int = PRESSURE_MS) -> DataFra
     """events (session, ts, op, ...) with pressed: whether a memory warning came within pressure_ms before."""
     before = Window.partitionBy("session").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     last = F.max(F.when(F.col("op") == "pressure", F.col("ts"))).over(before)
-    ms = F.expr("unix_millis(ts)") - F.unix_millis(last)
+    ms = F.unix_millis(F.col("ts").cast("timestamp")) - F.unix_millis(last.cast("timestamp"))
     return events.withColumn("pressed", F.coalesce(ms < pressure_ms, F.lit(False)))
 
 

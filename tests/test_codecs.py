@@ -208,3 +208,13 @@ def test_tag_tree_and_header(w, h, seed):
         while not tree.read(read, i % w, i // w, n):
             n += 1
         assert n - 1 == v and read.passes() == 1 + v * 31
+
+
+def test_png_bands_do_not_show(monkeypatch):
+    from tesserae.codecs import flat
+    from tesserae.plans.queries_codecs import read_png
+
+    a = np.random.default_rng(6).integers(0, 256, (23, 9, 4)).astype(np.uint8)
+    whole = flat.png(a)
+    monkeypatch.setattr(flat, "BAND_BYTES", 100)
+    assert (read_png(flat.png(a)) == a).all() and (read_png(whole) == a).all()
