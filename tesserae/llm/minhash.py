@@ -290,10 +290,13 @@ def all_pairs(here: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     whole, share = 100 + s.percent, s.percent
     sizes = 100 * F.least("n", "n2") >= share * F.greatest("n", "n2")
 
+    # what is known of each hub goes to all tasks where hubs are few, after a count: a hub's members need not meet for it
+    keyed = F.broadcast if near.select("hub").distinct().count() <= s.broadcast_ids else lambda df: df
+
     # the overlaps with the hub could do alone: both sides need one as large as the least partner asks
     least = told.groupBy("hub").agg(F.min("n").alias("n_least"))
-    big = told.drop("outside").join(least, "hub").where(whole * F.col("c") >= share * (F.col("n") + F.col("n_least")))
-    big = big.join(mixed(big, "hub"), "hub")
+    big = told.drop("outside").join(keyed(least), "hub").where(whole * F.col("c") >= share * (F.col("n") + F.col("n_least")))
+    big = big.join(keyed(mixed(big, "hub")), "hub")
     inside = big.join(other(big, "hub"), "hub").where((F.col("comp") < F.col("comp2")) & sizes & (whole * F.least("c", "c2") >= share * (F.col("n") + F.col("n2"))))
 
     # they meet in a shingle outside the hub
