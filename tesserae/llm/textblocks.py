@@ -23,13 +23,13 @@ FIELD = (1 << 61) - 1
 #: The points at which the lanes evaluate.
 POINTS = (0x0B5297A4D3F1C68E, 0x15D4E8A36F09B27C)
 #: Symbols whose terms are added up before they are reduced.
-SEGMENT = 1 << 21
+SEGMENT = 1 << 19
 _TABLE = np.random.default_rng(20240229).integers(0, 1 << 64, 256, dtype=np.uint64)
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-BLOCK = 1 << 19
+BLOCK = 1 << 18
 #: Masks of the first bytes of a 64-bit integer.
 _HEAD = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 _P, _LOW31, _LOW30 = np.uint64(FIELD), np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
@@ -44,7 +44,12 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 def powers_to(base: int, n: int) -> np.ndarray:
-    return powers(base, 1 << max(20, int(n).bit_length()))[:n]
+    return powers(base, at_least(n))[:n]
+
+
+def at_least(n: int) -> int:
+    """The next multiple of half a million: tables of powers grow with the longest text, not with the power of two above."""
+    return max(1, -(-n >> 19)) << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -103,40 +108,36 @@ def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-@lru_cache(maxsize=8)
-def field_powers(point: int, n: int) -> np.ndarray:
-    out = np.ones(n, np.uint64)
+@lru_cache(maxsize=4)
+def field_powers(point: int) -> np.ndarray:
+    """The first SEGMENT powers."""
+    out = np.ones(SEGMENT, np.uint64)
     size = 1
-    while size < n:
-        out[size : 2 * size] = times(out[: min(size, n - size)], np.uint64(pow(point, size, FIELD)))
+    while size < SEGMENT:
+        out[size : 2 * size] = times(out[: min(size, SEGMENT - size)], np.uint64(pow(point, size, FIELD)))
         size *= 2
     return out
 
 
-@lru_cache(maxsize=4)
-def split_powers(point: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    every = field_powers(point, n)
-    return every & _LOW31, every >> _31
-
-
-def at_least(n: int) -> int:
-    return 1 << max(20, int(n).bit_length())
-
-
 def lane_prefix(data: np.ndarray, lane: int) -> np.ndarray:
-    """p with p[j] - p[i] = sum of (data[k] + 1) * POINTS[lane]**k over i <= k < j, in the field."""
+    """p with p[j] - p[i] = sum of (data[k] + 1) * POINTS[lane]**k over i <= k < j, in the field.
+
+    Segments take the same powers, times that of their first place.
+    """
     out = np.zeros(len(data) + 1, np.uint64)
-    low, high = split_powers(POINTS[lane], at_least(len(data)))
+    powers_here = field_powers(POINTS[lane])
     carry = np.uint64(0)
     for lo in range(0, len(data), SEGMENT):
         hi = min(len(data), lo + SEGMENT)
         symbol = data[lo:hi].astype(np.uint64)
         symbol += _1
-        top = np.cumsum(symbol * high[lo:hi], dtype=np.uint64)
+        top = np.cumsum(symbol * (powers_here[: hi - lo] >> _31), dtype=np.uint64)
         top = (top & _P) + (top >> _61)
-        symbol *= low[lo:hi]
+        symbol *= powers_here[: hi - lo] & _LOW31
         part = np.cumsum(symbol, dtype=np.uint64, out=symbol)
-        part = (part & _P) + (part >> _61) + (top >> _30) + ((top & _LOW30) << _31) + carry  # top * 2**31
+        part = (part & _P) + (part >> _61) + (top >> _30) + ((top & _LOW30) << _31)  # top * 2**31
+        part = times(part, np.uint64(pow(POINTS[lane], lo, FIELD))) if lo else part
+        part += carry
         part = (part & _P) + (part >> _61)
         out[lo + 1 : hi + 1] = part
         carry = part[-1]
@@ -145,9 +146,13 @@ def lane_prefix(data: np.ndarray, lane: int) -> np.ndarray:
 
 def lane_span(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int) -> np.ndarray:
     """Mixed residues of the spans [starts, ends): a function of their bytes alone."""
-    back = field_powers(pow(POINTS[lane], -1, FIELD), at_least(len(prefix)))
+    inverse = pow(POINTS[lane], -1, FIELD)
     # prefixes are below FIELD + 8
-    return mix(times(prefix[ends] + _P + _P - prefix[starts], back[starts]))
+    out = prefix[ends] + _P + _P - prefix[starts]
+    if len(prefix) <= SEGMENT:
+        return mix(times(out, field_powers(inverse)[starts]))
+    segments = np.array([pow(inverse, lo, FIELD) for lo in range(0, len(prefix), SEGMENT)], np.uint64)
+    return mix(times(times(out, field_powers(inverse)[starts % SEGMENT]), segments[starts // SEGMENT]))
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:

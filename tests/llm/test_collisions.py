@@ -50,12 +50,14 @@ def test_op2(spark):
 
 def test_lanes_are_polynomials_over_the_field(monkeypatch):
     monkeypatch.setattr(textblocks, "SEGMENT", 5)
+    textblocks.field_powers.cache_clear()
     data = np.random.default_rng(0).integers(0, 256, 41).astype(np.uint8)
     for lane, x in enumerate(textblocks.POINTS):
         p = textblocks.lane_prefix(data, lane)
         for i, j in ((0, 41), (3, 4), (7, 30), (12, 17)):
             want = sum((int(data[k]) + 1) * pow(x, k - i, textblocks.FIELD) for k in range(i, j)) % textblocks.FIELD
             assert textblocks.lane_span(p, np.array([i]), np.array([j]), lane)[0] == textblocks.mix(np.array([want], np.uint64))[0]
+    textblocks.field_powers.cache_clear()
 
 
 def test_pairs_with_one_half_in_common_are_told_apart():
