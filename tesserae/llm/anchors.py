@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tesserae.llm.common import chunks_for, text_bytes
-from tesserae.llm.textblocks import Block, Words, blocks, prefix_hash, rank_pairs, sequence_prefix, span_hash, values, window_hash, words
+from tesserae.llm.textblocks import Block, Words, blocks, prefix_hash, rank_pairs, released, sequence_prefix, span_hash, values, window_hash, words
 
 #: Bits of a packed minimum that hold its place in a segment of a text.
 PLACE = np.uint64((1 << 22) - 1)
@@ -179,12 +179,13 @@ class Chunk:
 def read_chunk(group: pa.Table, scheme: Scheme) -> Chunk:
     group = group.combine_chunks().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     ids = group.column("doc_id").combine_chunks()
-    some = [symbols(b, scheme) for b in blocks(values(group.column("text")))]
-    each = [runs(s, scheme) for s in some]
+    some, each = [], []
+    for b in blocks(values(group.column("text"))):
+        some.append(symbols(b, scheme))
+        each.append(runs(some[-1], scheme))
+        some[-1].forget()  # prefixes are eight times as long as texts
     joined = Runs.join(each)
     order = np.asarray(ids.fill_null((1 << 63) - 1), np.int64)  # nulls sort last
-    for s in some:  # prefixes are long and not needed again
-        s.forget()
     return Chunk(group.drop_columns(["chunk"]), order, some, joined, np.repeat(np.arange(len(each)), [len(r.key) for r in each]))
 
 
@@ -461,13 +462,14 @@ def repeated(docs: DataFrame, scheme: Scheme, solver: Callable[[Strings], np.nda
     # rows without an id are dealt by their text
     spread = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(n_chunks)).cast("int")).otherwise(spread)
     dealt = docs.select("doc_id", "text", *keep, spread.alias("chunk")).repartition(n_chunks, "chunk")
-    asked = dealt.groupBy("chunk").applyInArrow(ask(scheme, n_buckets), "chunk int, bucket int, keys binary, again binary, strings binary")
-    met = asked.groupBy("bucket").applyInArrow(answer(scheme), "chunk int, bucket int, met binary, crowded binary")
-    sent = dealt.groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(send(scheme, n_buckets), "chunk int, bucket int, rows binary, body binary")
-    masks = sent.groupBy("bucket").applyInArrow(solve(scheme, solver, first_stays), "chunk int, keys binary, masks binary")
+    asking, answering, sending, solving = ask(scheme, n_buckets), answer(scheme), send(scheme, n_buckets), solve(scheme, solver, first_stays)
+    asked = dealt.groupBy("chunk").applyInArrow(lambda key, group: released(asking, key, group), "chunk int, bucket int, keys binary, again binary, strings binary")
+    met = asked.groupBy("bucket").applyInArrow(lambda key, group: released(answering, key, group), "chunk int, bucket int, met binary, crowded binary")
+    sent = dealt.groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(lambda key, group, answers: released(sending, key, group, answers), "chunk int, bucket int, rows binary, body binary")
+    masks = sent.groupBy("bucket").applyInArrow(lambda key, group: released(solving, key, group), "chunk int, keys binary, masks binary")
 
-    def apply(key: tuple, group: pa.Table, answers: pa.Table) -> pa.Table:
+    def applying(key: tuple, group: pa.Table, answers: pa.Table) -> pa.Table:
         c = read_chunk(group, scheme)
         return finish(c, removed(c, answers, scheme, first_stays))
 
-    return dealt.groupBy("chunk").cogroup(masks.groupBy("chunk")).applyInArrow(apply, schema)
+    return dealt.groupBy("chunk").cogroup(masks.groupBy("chunk")).applyInArrow(lambda key, group, answers: released(applying, key, group, answers), schema)

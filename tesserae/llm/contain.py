@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tesserae.llm.textblocks import blocks, distinct, shingles, values, words
+from tesserae.llm.textblocks import blocks, distinct, releasing, shingles, values, words
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -139,4 +139,4 @@ def _search_block(docs: DataFrame, sketches: Sketches, width: int) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "item_id", "item_shingles", "shared"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, PAIRS)
+    return docs.select("doc_id", "text").mapInArrow(releasing(run), PAIRS)

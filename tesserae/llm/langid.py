@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tesserae.llm.textblocks import mix, values
+from tesserae.llm.textblocks import mix, releasing, values
 
 DIM = 1024
 #: Fixed-point scale in which vectors are summed, so that sums do not depend on their order.
@@ -128,7 +128,7 @@ def learn(train: DataFrame, dim: int = DIM) -> tuple[list[str], np.ndarray]:
         if sums:
             yield pa.RecordBatch.from_pydict({"lang": list(sums), "v": [x.tolist() for x in sums.values()]})
 
-    parts = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang").mapInArrow(partial, "lang string, v array<bigint>")
+    parts = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang").mapInArrow(releasing(partial), "lang string, v array<bigint>")
     sums = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
     rows = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "x")))["x"].alias("v")).orderBy("lang").collect()
     return [r["lang"] for r in rows], np.array([r["v"] for r in rows], np.float64).reshape(len(rows), dim)
@@ -174,4 +174,4 @@ def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, keep:
             more["margin"] = pa.array(margin, from_pandas=True)
         return pa.RecordBatch.from_arrays([*cols, *more.values()], names=[*keep, *more])
 
-    return kept.mapInArrow(score, f"{out_fields}, lang_pred string, score double" + ", margin double" * bool(declared))
+    return kept.mapInArrow(releasing(score), f"{out_fields}, lang_pred string, score double" + ", margin double" * bool(declared))

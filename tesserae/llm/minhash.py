@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tesserae.llm.common import materialize, scratch
-from tesserae.llm.textblocks import blocks, distinct, mix, shingles, values, words
+from tesserae.llm.textblocks import blocks, distinct, mix, releasing, shingles, values, words
 
 
 @dataclass(frozen=True)
@@ -103,7 +103,7 @@ def signatures(docs: DataFrame, s: Settings) -> DataFrame:
                 ids = batch.column("doc_id").slice(b.lo, len(b.starts))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(bounds).astype(np.int64)), pa.array(k1), pa.array(k2), lists], names=["doc_id", "n_shingles", "k1", "k2", "keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, keys array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(releasing(run), "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, keys array<bigint>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
@@ -127,7 +127,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
 
     keyed = F.broadcast(wanted) if few else wanted.hint("shuffle_hash")
     found = docs.select(F.col("doc_id").alias("first_id"), "text").join(keyed, "first_id")
-    return found.select("rep", "k1", "k2", "text").mapInArrow(run, "rep bigint, hashes array<bigint>")
+    return found.select("rep", "k1", "k2", "text").mapInArrow(releasing(run), "rep bigint, hashes array<bigint>")
 
 
 def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -147,7 +147,7 @@ def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = sets.select(F.col("rep").alias("a"), F.col("hashes").alias("x"))
     right = sets.select(F.col("rep").alias("b"), F.col("hashes").alias("y"))
-    return edges.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    return edges.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(releasing(run), "a bigint, b bigint")
 
 
 def components(labels: DataFrame, edges: DataFrame) -> DataFrame:
@@ -276,7 +276,7 @@ def against_hubs(near: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     right = right.select("hub", "y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     dealt = near.join(keyed, "hub").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     met = dealt.join(left, "rep").join(right, ["hub", "part"]).select("hub", "rep", "comp", "n", "u", "x", "y")
-    return met.mapInArrow(run, "hub bigint, rep bigint, comp bigint, n bigint, u bigint, c bigint, outside array<bigint>")
+    return met.mapInArrow(releasing(run), "hub bigint, rep bigint, comp bigint, n bigint, u bigint, c bigint, outside array<bigint>")
 
 
 def all_pairs(here: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tesserae.llm.common import materialize
+from tesserae.llm.textblocks import releasing
 
 CAPACITY = 1024
 END_ID = 2
@@ -48,14 +49,14 @@ def encoder(path: str):
     import tiktoken
     from tokenizers import Tokenizer
 
-    library = Tokenizer.from_file(path)
+    library = lru_cache(maxsize=1)(lambda: Tokenizer.from_file(path))  # as large as all the rest, and rarely needed
     spare = iter(range(256, 512))
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}  # bytes that stand for themselves in the vocabulary
     to_byte = {chr(b if b in shown else next(spare)): b for b in range(256)}
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
     if any(t[k] for t in model["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
-        return lambda text: library.encode(text, add_special_tokens=False).ids
+        return lambda text: library().encode(text, add_special_tokens=False).ids
     special = {t["content"]: t["id"] for t in model["added_tokens"]}
     ranks = {bytes(to_byte[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
     ordinary = tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
@@ -63,7 +64,7 @@ def encoder(path: str):
 
     def encode(text: str) -> list[int]:
         if len(text) > LONG_RUN and any(m.end() - m.start() > LONG_RUN for m in re.finditer(r"\s+", text)):
-            return library.encode(text, add_special_tokens=False).ids
+            return library().encode(text, add_special_tokens=False).ids
         out, at = [], 0
         for m in literals.finditer(text):
             out += [*ordinary(text[at : m.start()]), special[m[0]]]
@@ -93,7 +94,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
             columns = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in PIECES.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(releasing(run), PIECES)
 
 
 def lower_bound(counts: np.ndarray) -> int:

@@ -9,7 +9,8 @@ Grams that only choose places (anchors, features) are hashed modulo 2**64, which
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -69,6 +70,36 @@ def values(column: pa.Array) -> list[bytes]:
     return pc.fill_null(column.cast(pa.binary()), b"").to_pylist()
 
 
+@lru_cache(maxsize=1)
+def _trimmer() -> Callable[[int], int] | None:
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Gives freed memory back to the system: workers live on, and what they keep counts beside the next stage."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trimmer():
+        trim(0)
+
+
+def released(run: Callable, *args: object) -> object:
+    """run(*args), for one group; what it freed goes back."""
+    try:
+        return run(*args)
+    finally:
+        release()
+
+
+def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, over a task's batches; what it freed goes back at its end."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return inner
+
+
 @dataclass
 class Block:
     lo: int  # first row
