@@ -19,7 +19,7 @@ from tesserae.session import reachable
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches of few megabytes, in which whole texts go to Python and back; results do not depend on it."""
     reachable(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
