@@ -45,6 +45,8 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir()}"
 
 
+#: Whether Spark removes the shuffle files of a query at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Of the scratch() blocks that are open, the tables written in each.
 _SCRATCH: list[list[str]] = []
 
@@ -79,6 +81,20 @@ def scratch(spark: SparkSession) -> Iterator[list[str]]:
             remove(spark, path)
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Removes the shuffle files of every query in the block as it ends, not when the driver happens to collect its garbage.
+
+    Frames that callers act on are made after the block: a second action would have to run their stages again.
+    """
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes of a whole text column; sizes partitions, never results."""
     return df.agg(F.sum(F.octet_length(F.col(column)))).first()[0] or 0

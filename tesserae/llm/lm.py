@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tesserae.llm.common import chunks_for, materialize, text_bytes
+from tesserae.llm.common import chunks_for, freed_shuffles, materialize, text_bytes
 from tesserae.llm.textblocks import blocks, mix, rank_pairs, values, words
 
 #: Numbers of the sentinels; words have larger ones.
@@ -196,9 +196,12 @@ def answer_words(n_buckets: int) -> Callable:
         h, check = ([np.frombuffer(k, np.uint64) for k in group.column(c).to_pylist()] for c in ("a", "b"))
         first, at, _ = rank_pairs(np.concatenate(h), np.concatenate(check))
         train, fit = sums(kinds, [expand(n) for n in group.column("n").to_pylist()], at, len(first))
+        # frequent words get the smaller numbers, which take fewer bytes in questions about pairs
+        rank = np.empty(len(first), np.int64)
+        rank[np.argsort(-train, kind="stable")] = np.arange(len(first))
         rows = []
         for chunk, kind, w in zip(group.column("chunk").to_pylist(), kinds, np.split(at, np.cumsum([len(k) for k in h])[:-1])):
-            rows.append((chunk, kind, 1, bucket, squeeze(FIRST + bucket + w * n_buckets), squeeze(train[w]), squeeze(fit[w]) if kind == DEV else None, None, None, None, None, None))
+            rows.append((chunk, kind, 1, bucket, squeeze(FIRST + bucket + rank[w] * n_buckets), squeeze(train[w]), squeeze(fit[w]) if kind == DEV else None, None, None, None, None, None))
         return tabled(ANSWERS, [*rows, (-1, -1, 1, bucket, *[None] * 5, int(train.sum()), int(fit.sum()), int((train > 0).sum()))])
 
     return run
@@ -363,11 +366,12 @@ def scorer(s: Counts, weights: np.ndarray) -> Callable:
     return run
 
 
-def score(docs: DataFrame, training, order: int = 3) -> DataFrame:
-    """SCORES of (doc_id, text); training: a condition on doc_id, true for the documents to learn from.
+def meet(some: DataFrame, answers: DataFrame, run: Callable, schema: str) -> DataFrame:
+    return some.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
 
-    A ninth of the training documents, by the hash of their id, is what the weights must explain.
-    """
+
+def learn(docs: DataFrame, training, order: int) -> tuple[DataFrame, DataFrame, Counts, np.ndarray]:
+    """The documents by chunk, the answers to each chunk, and what the driver knows of the training documents, with the weights."""
     total = text_bytes(docs)
     n_chunks, n_words, n_grams = chunks_for(total), max(16, -(-total // WORD_BYTES)), max(16, -(-total // GRAM_BYTES))
     dev = F.pmod(F.xxhash64("doc_id", F.lit("dev")), F.lit(9)) == 0
@@ -383,7 +387,6 @@ def score(docs: DataFrame, training, order: int = 3) -> DataFrame:
     of_words = materialize(questions.groupBy("bucket").applyInArrow(answer_words(n_words), ANSWERS), "words")
     totals = [x or 0 for x in of_words.where("chunk = -1").agg(F.sum("n_train"), F.sum("n_fit"), F.sum("kinds")).first()]
     of_words = of_words.where("chunk >= 0")
-    meet = lambda some, answers, run, schema: some.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
     # a chunk of empty texts asks about no word
     questions = meet(dealt, of_words, ask_grams(n_words, n_grams, order), QUESTIONS)
     of_grams = materialize(questions.groupBy("bucket").applyInArrow(answer_grams, ANSWERS), "grams")
@@ -398,4 +401,14 @@ def score(docs: DataFrame, training, order: int = 3) -> DataFrame:
     learned = cells.groupBy("bucket").applyInArrow(learn_bucket(1 / (kinds + 1)), "bucket bigint, m3 double, m2 double, m1 double, m0 double").collect()
     weights = all_weights({r["bucket"]: np.array([r["m3"], r["m2"], r["m1"], r["m0"]]) for r in learned})
     train = Counts("train", totals[0] + n_train, n_train, kinds, n_words, n_grams, order)
+    return dealt, answers, train, weights
+
+
+def score(docs: DataFrame, training, order: int = 3) -> DataFrame:
+    """SCORES of (doc_id, text); training: a condition on doc_id, true for the documents to learn from.
+
+    A ninth of the training documents, by the hash of their id, is what the weights must explain.
+    """
+    with freed_shuffles(docs.sparkSession):
+        dealt, answers, train, weights = learn(docs, training, order)
     return meet(dealt, answers, scorer(train, weights), SCORES)

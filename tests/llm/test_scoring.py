@@ -1,7 +1,9 @@
 """op3, op4 and op6."""
 
 import collections
+import glob
 import math
+import time
 import zlib
 
 import duckdb
@@ -11,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserae.llm import langid, lm, toxicity
-from tesserae.llm.common import split_of
+from tesserae.llm.common import CLEANUP, split_of
 from tesserae.llm.queries_langid import op6_hyperdimensional
 from tesserae.llm.queries_lm import op3_deleted_interpolation
 from tesserae.llm.queries_toxicity import op4_positive_unlabelled
@@ -97,6 +99,28 @@ def test_op3_empty(spark, empty):
     assert op3_deleted_interpolation(spark, empty).count() == 0
 
 
+def test_op3_frees_shuffle_files_between_steps(spark, sf):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {p for d in manager.localDirsString() for p in glob.glob(f"{d}/**/shuffle_*.data", recursive=True)}
+    kept = spark.conf.get(CLEANUP)
+    before = files()
+    scored = op3_deleted_interpolation(spark, sf)
+    until = time.monotonic() + 20
+    while files() - before and time.monotonic() < until:
+        time.sleep(0.2)
+    assert not files() - before and spark.conf.get(CLEANUP) == kept
+    assert sorted(scored.collect()) == sorted(scored.collect())
+
+
+def test_frequent_words_have_small_numbers():
+    """Two chunks ask about words of one bucket: equal words get one number, the most frequent the least."""
+    keys = lambda *a: np.array(a, np.uint64).tobytes()
+    asked = [(0, lm.FIT, 3, keys(5, 7, 9), keys(1, 1, 1), lm.squeeze(np.array([1, 2, 50])), *[None] * 3), (1, lm.DEV, 3, keys(7), keys(1), lm.squeeze(np.array([9])), *[None] * 3)]
+    rows = lm.answer_words(4)((pa.scalar(3),), lm.tabled(lm.QUESTIONS, asked)).to_pylist()
+    assert [lm.expand(r["number"]).tolist() for r in rows[:2]] == [[lm.FIRST + 3 + 8, lm.FIRST + 3 + 4, lm.FIRST + 3], [lm.FIRST + 3 + 4]]
+    assert lm.expand(rows[0]["train"]).tolist() == [1, 11, 50] and lm.expand(rows[1]["train"]).tolist() == [11]
+
+
 def test_counts_beyond_32_bits():
     """A word that two chunks hold five thousand million times each, by the messages that say so."""
     n = 5_000_000_000
