@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -11,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tesserae.codecs import jpeg2000, raster, webp_reader
@@ -26,16 +29,57 @@ SIDE = 16
 DESCRIPTION = "virtual|AppMag = 20|MPP = 0.5000"
 
 
+def local_path(spark: SparkSession, folder: str | None) -> str | None:
+    """Where a folder, which is made, stands as files: with or without file:, by the default store, or behind a mount of viewfs."""
+    if not folder:
+        return None
+    try:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if store.getUri().getScheme() not in ("file", "viewfs"):
+            return None
+        store.mkdirs(path)
+        found = store.resolvePath(path).toUri()
+    except Py4JJavaError:
+        return None
+    return found.getPath() if found.getScheme() == "file" else None
+
+
+def is_shared(spark: SparkSession, folder: str) -> bool:
+    """Whether tasks see what the driver writes to a local folder, and the driver what they write."""
+    n = 2 * spark.sparkContext.defaultParallelism
+    with open(os.path.join(folder, "driver"), "w"):
+        pass
+
+    def look(i: int) -> bool:
+        with contextlib.suppress(OSError):
+            os.makedirs(folder, exist_ok=True)  # on a disk of its own it would be missing
+            with open(os.path.join(folder, f"task-{i}"), "w"):
+                return os.path.exists(os.path.join(folder, "driver"))
+        return False
+
+    seen = spark.sparkContext.parallelize(range(n), n).map(look).collect()
+    return all(seen) and all(os.path.exists(os.path.join(folder, f"task-{i}")) for i in range(n))
+
+
 def workspace(spark: SparkSession) -> str:
-    """A folder that driver and executors share; a temporary one in local mode."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or ""
-    if shared.startswith("file:"):
-        path = os.path.join(shared.removeprefix("file://").removeprefix("file:"), f"tesserae-{uuid.uuid4().hex}")
-        os.makedirs(path)
-        return path
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("spark.checkpoint.dir must name a file: folder that all executors share")
-    path = tempfile.mkdtemp(prefix="tesserae-")
+    """A new folder that driver and executors share, removed at the end of the process.
+
+    It lies below spark.checkpoint.dir, or below the warehouse if tasks do share that. Files are
+    read and written by their places, so a store that is no file system doesn't do. In local mode
+    without spark.checkpoint.dir it is a temporary folder.
+    """
+    context = spark.sparkContext
+    named = local_path(spark, context.getConf().get("spark.checkpoint.dir"))
+    if not named and re.fullmatch(r"local(\[.*\])?", context.master):
+        path = tempfile.mkdtemp(prefix="tesserae-")
+    else:
+        found = named or local_path(spark, spark.conf.get("spark.sql.warehouse.dir"))
+        path = os.path.join(found, f"tesserae-{uuid.uuid4().hex}") if found else None
+        if path:
+            os.makedirs(path)
+        if not path or not (named or is_shared(spark, path)):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share as files")
     atexit.register(shutil.rmtree, path, ignore_errors=True)
     return path
 
