@@ -54,6 +54,20 @@ def hits(probes: DataFrame, shapes: DataFrame, cell: float, most_tolerance: floa
     return met.where(near).where(A.hit(F.col("type"), F.col("points"), F.col("filled"), F.col("px"), F.col("py"), t)).drop("gx", "gy", "box")
 
 
+def tallied(probes: DataFrame, shapes: DataFrame, cell: float, most_tolerance: float) -> DataFrame:
+    """(probe, n, id) of the probes that hit anything: how many shapes, and the id of the last added of them.
+
+    Columns as for hits(), whose pairs are never listed by row: taps of one place and tolerance are
+    one, and so are the equal shapes of a slide, with their number and last id. Pairs that remain
+    are those of taps and shapes that differ.
+    """
+    place = ["slide", "px", "py", "tolerance"]
+    last = F.max_by("id", "ord").alias("id"), F.max("ord").alias("ord")
+    kinds = shapes.groupBy("slide", "type", "points", "filled").agg(F.count(F.lit(1)).alias("n"), *last)
+    met = hits(probes.select(*place).distinct(), kinds, cell, most_tolerance).groupBy(*place).agg(F.sum("n").alias("n"), *last)
+    return probes.join(met, place).groupBy("probe").agg(F.sum("n").alias("n"), last[0])
+
+
 def selection(log: DataFrame, live: DataFrame) -> DataFrame:
     """(session, selected_id, selected) after a log (session, seq, op, id) of selects; a null id clears.
 

@@ -187,7 +187,7 @@ def grid_hits(spark, sf_dir):
     at = lambda x, y: F.struct(double(x).alias("x"), double(y).alias("y"))
     points = F.array(at(o * 3 % 80, o * 5 % 80), at(o * 3 % 80 + 10, o * 5 % 80 + 15))
     shapes = table(spark, sf_dir, "orders").select((o % 2000).alias("slide"), o.alias("ord"), o.alias("id"), F.lit("rectangle").alias("type"), points.alias("points"), F.lit(True).alias("filled"))
-    return interaction.hits(e, shapes, 16.0, 2.0).groupBy("probe").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top"))
+    return interaction.tallied(e, shapes, 16.0, 2.0).withColumnRenamed("id", "top")
 
 
 def annotation_lists(spark, sf_dir):
