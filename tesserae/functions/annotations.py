@@ -139,13 +139,20 @@ def from_json(text: Column) -> Column:
 
 
 
-def format_length(um: Column) -> Column:
-    """Microns below a millimetre, else millimetres."""
-    return F.when(um < 1000, F.concat(fixed_exact(um, 1), F.lit(" µm"))).otherwise(F.concat(fixed_exact(um / 1000, 2), F.lit(" mm")))
+def format_length(um: Column, fixed: Callable[[Column, int], Column] | None = None) -> Column:
+    """Microns below a millimetre, else millimetres; fixed: fixed_exact for doubles, fixed_decimal for decimals."""
+    fixed = fixed or fixed_exact
+    return F.when(um < 1000, F.concat(fixed(um, 1), F.lit(" µm"))).otherwise(F.concat(fixed(um / 1000, 2), F.lit(" mm")))
 
 
-def format_area(um2: Column) -> Column:
-    return F.when(um2 < 1e6, F.concat(fixed_exact(um2, 1), F.lit(" µm²"))).otherwise(F.concat(fixed_exact(um2 / 1e6, 2), F.lit(" mm²")))
+def format_area(um2: Column, fixed: Callable[[Column, int], Column] | None = None) -> Column:
+    fixed = fixed or fixed_exact
+    return F.when(um2 < 1_000_000, F.concat(fixed(um2, 1), F.lit(" µm²"))).otherwise(F.concat(fixed(um2 / 1_000_000, 2), F.lit(" mm²")))
+
+
+def fixed_decimal(v: Column, digits: int) -> Column:
+    """Decimals of a decimal value, ties away from zero: 2.445 is 2.45, where the double next to it lies below the tie."""
+    return F.round(v, digits).cast("string")
 
 
 def fixed_exact(v: Column, digits: int) -> Column:
