@@ -32,3 +32,14 @@ def of_regions(regions: DataFrame, pixels: DataFrame, tile: int) -> DataFrame:
     keyed = regions.withColumn("tx", span(F.col("x0"), F.col("w"))).withColumn("ty", span(F.col("y0"), F.col("h")))
     inside = F.col("x").between(F.col("x0"), F.col("x0") + F.col("w") - 1) & F.col("y").between(F.col("y0"), F.col("y0") + F.col("h") - 1)
     return keyed.join(pixels, ["tx", "ty"]).where(inside)
+
+
+def totals(regions: DataFrame, pixels: DataFrame, tile: int) -> DataFrame:
+    """(region_id, n, total) of rectangles (region_id, x0, y0, w, h) that meet pixels: their number, and the sum of v.
+
+    Equal rectangles are read once, so that a much wanted place costs by its different rectangles.
+    """
+    box = ["x0", "y0", "w", "h"]
+    sums = lambda n, v: (F.sum(n).alias("n"), F.sum(v).alias("total"))
+    met = of_regions(regions.select(*box).distinct(), pixels, tile).groupBy(*box).agg(*sums(F.lit(1), "v"))
+    return regions.join(met, box).groupBy("region_id").agg(*sums("n", "total"))

@@ -58,8 +58,7 @@ def _rects(spark, sf_dir):
 
 
 def regions_batch(spark, sf_dir):
-    met = region.of_regions(_rects(spark, sf_dir), pixels(spark, sf_dir), TILE)
-    return met.groupBy("region_id").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"))
+    return region.totals(_rects(spark, sf_dir), pixels(spark, sf_dir), TILE)
 
 
 def blit_plan(spark, sf_dir):

@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserae.functions import annotations as A
-from tesserae.operators import interaction
-from tesserae.plans import queries_interaction, queries_meta
+from tesserae.operators import interaction, region
+from tesserae.plans import queries_interaction, queries_meta, queries_pixels
 
 
 @pytest.mark.parametrize("query", [queries_interaction.grid_hits, queries_meta.hit_test_top])
@@ -40,3 +40,30 @@ def test_tallied_against_brute_force(spark):
     want = {r["probe"]: (r["n"], r["id"]) for r in pairs.groupBy("probe").agg(F.count(F.lit(1)).alias("n"), F.max_by("id", "ord").alias("id")).collect()}
     got = {r["probe"]: (r["n"], r["id"]) for r in interaction.tallied(p, s, 4.0, 2.0).collect()}
     assert got == want and len(want) > 50
+
+
+def test_equal_rectangles_are_read_once(spark, tmp_path, monkeypatch, sf):
+    """300 rectangles, all of one place and size, meet the pixels of one."""
+    spark.range(300).select((F.col("id") * 300 + 7).alias("p_partkey"), F.lit(20).alias("p_size")).write.parquet(f"{tmp_path}/part.parquet")
+    spark.read.parquet(f"{sf}/embeddings.parquet").write.parquet(f"{tmp_path}/embeddings.parquet")
+    met, of_regions = [], region.of_regions
+    monkeypatch.setattr(region, "of_regions", lambda *a: met.append(of_regions(*a)) or met[-1])
+    rows = queries_pixels.regions_batch(spark, str(tmp_path)).collect()
+    area = (20 % 9 + 1) * (20 % 7 + 1) * 4
+    assert met[0].count() == area and len(rows) == 300 and {r["n"] for r in rows} == {area}
+
+
+def test_region_totals_against_brute_force(spark):
+    rnd = np.random.default_rng(5)
+    values = rnd.integers(0, 256, (12, 16))
+    pixels = spark.createDataFrame([(x // 4, y // 4, x, y, 0, int(values[y, x])) for y in range(12) for x in range(16) if (x // 4, y // 4) != (1, 1)], "tx long, ty long, x long, y long, c long, v long")
+    rects = [(i, *(int(v) for v in rnd.integers(-3, 18, 2)), *(int(v) for v in rnd.integers(1, 9, 2))) for i in range(60)]
+    rects += [(i + 100, *r) for i, *r in rects[::3]] + [rects[0]]
+    want: dict = {}
+    for i, x0, y0, w, h in rects:
+        some = [int(values[y, x]) for y in range(max(0, y0), min(12, y0 + h)) for x in range(max(0, x0), min(16, x0 + w)) if (x // 4, y // 4) != (1, 1)]
+        if some:
+            n, total = want.get(i, (0, 0))
+            want[i] = (n + len(some), total + sum(some))
+    got = region.totals(spark.createDataFrame(rects, "region_id long, x0 long, y0 long, w long, h long"), pixels, 4).collect()
+    assert {r["region_id"]: (r["n"], r["total"]) for r in got} == want
