@@ -125,6 +125,19 @@ def in_places(stored: DataFrame, n: int) -> Iterator[bytes]:
     yield from (b"" for _ in range(at, n))
 
 
+#: Samples of an image handed on at a time.
+SAMPLES = 1 << 18
+
+
+def samples(a: np.ndarray, x0: int = 0, y0: int = 0) -> Iterator[list[pa.Array]]:
+    """x, y, c and v of the colours of an image that stands at (x0, y0), in bands of its rows."""
+    step = max(1, SAMPLES // max(1, a.shape[1] * 3))
+    for top in range(0, a.shape[0], step):
+        band = a[top : top + step, :, :3]
+        y, x, c = (i.reshape(-1) for i in np.indices(band.shape))
+        yield [pa.array(k) for k in (x + x0, y + (y0 + top), c, band.reshape(-1).astype(np.int64))]
+
+
 def raster_pixels(rasters: DataFrame, tile: int) -> DataFrame:
     """(level, x, y, c, v) of the colours of decoded tiles."""
 
@@ -133,9 +146,8 @@ def raster_pixels(rasters: DataFrame, tile: int) -> DataFrame:
             for r in batch.to_pylist():
                 if r["rgba"] is None:
                     continue
-                a = slides.array(r["width"], r["height"], r["rgba"])[..., :3]
-                y, x, c = (i.reshape(-1) for i in np.indices(a.shape))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(a.size, r["level"])), pa.array(x + r["tx"] * tile), pa.array(y + r["ty"] * tile), pa.array(c), pa.array(a.reshape(-1).astype(np.int64))], names=["level", "x", "y", "c", "v"])
+                for columns in samples(slides.array(r["width"], r["height"], r["rgba"]), r["tx"] * tile, r["ty"] * tile):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), r["level"])), *columns], names=["level", "x", "y", "c", "v"])
 
     return rasters.select("level", "tx", "ty", "width", "height", "rgba").mapInArrow(run, "level bigint, x bigint, y bigint, c bigint, v bigint")
 
@@ -178,10 +190,9 @@ def decoded_pixels(images: DataFrame, read) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column("image").to_pylist():
-                a = read(data)[..., :3]
-                y, x, c = (i.reshape(-1) for i in np.indices(a.shape))
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(c), pa.array(a.reshape(-1).astype(np.int64))], names=["x", "y", "c", "v"])
+            for data in batch.column("image"):
+                for columns in samples(read(data.as_py())):
+                    yield pa.RecordBatch.from_arrays(columns, names=["x", "y", "c", "v"])
 
     return images.select("image").mapInArrow(run, "x bigint, y bigint, c bigint, v bigint")
 

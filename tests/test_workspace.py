@@ -2,9 +2,11 @@
 
 import os
 
+import numpy as np
 import pytest
 from pyspark import SparkConf
 
+from tesserae.operators import disk_cache
 from tesserae.plans import queries_slides
 
 
@@ -44,3 +46,24 @@ def test_the_warehouse_is_shared_too(spark, conf, tmp_path, monkeypatch, folder)
 def test_local_mode_needs_no_shared_folder(spark, conf, master):
     conf(master, None)
     assert os.path.isdir(queries_slides.workspace(spark))
+
+
+def test_large_images_are_handed_on_in_bands():
+    a = np.arange(900 * 700 * 4, dtype=np.uint32).astype(np.uint8).reshape(900, 700, 4)
+    got = list(queries_slides.samples(a, 5, 7))
+    assert len(got) > 5 and max(len(c[0]) for c in got) <= queries_slides.SAMPLES
+    x, y, c, v = (np.concatenate([k.to_numpy() for k in column]) for column in zip(*got))
+    assert len(v) == 900 * 700 * 3 and (v == a[y - 7, x - 5, c]).all() and y.max() == 906
+
+
+def test_the_cache_keeps_count_of_its_bytes(tmp_path):
+    cache, rnd = disk_cache.DiskTileCache(str(tmp_path), 1000), np.random.default_rng(1)
+    for i in rnd.integers(0, 40, 300):
+        if i % 3:
+            cache.put(0, int(i), 0, np.zeros((1 + int(i) % 5, 8, 4), np.uint8))
+        else:
+            cache.get(0, int(i) + 1, 0)
+        on_disk = {e.name: e.stat().st_size for e in os.scandir(tmp_path)}
+        assert on_disk == dict(cache.files) and cache.bytes == sum(on_disk.values()) <= 1000
+    cache.put(0, 99, 0, np.zeros((20, 20, 4), np.uint8))
+    assert list(cache.files) == ["L0_X99_Y0.tile"]  # one beyond the budget stays alone
