@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tesserae.codecs import jpeg2000, raster, webp_reader
@@ -40,7 +41,7 @@ def local_path(spark: SparkSession, folder: str | None) -> str | None:
             return None
         store.mkdirs(path)
         found = store.resolvePath(path).toUri()
-    except Py4JJavaError:
+    except (Py4JJavaError, PySparkException):  # a store that is not known, or not there
         return None
     return found.getPath() if found.getScheme() == "file" else None
 

@@ -31,7 +31,7 @@ def test_a_shared_folder_may_be_named_in_any_way(spark, conf, tmp_path, form):
     assert os.path.isdir(path) and os.path.dirname(path) == f"{tmp_path}/not yet"
 
 
-@pytest.mark.parametrize("folder", [None, "nosuch://store/folder"])
+@pytest.mark.parametrize("folder", [None, "nosuch://store/folder", "hdfs://no.such.host.invalid:1/folder"])
 def test_the_warehouse_is_shared_too(spark, conf, tmp_path, monkeypatch, folder):
     conf("local-cluster[3,4,10240]", folder)
     monkeypatch.setattr(type(spark.conf), "get", lambda self, key, *default: f"{tmp_path}/warehouse" if key == "spark.sql.warehouse.dir" else None)
